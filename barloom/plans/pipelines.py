@@ -1,0 +1,97 @@
+"""Multi-step pipelines: clean bars, evaluate all models, residual tables."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from barloom.functions.columns import range_pct, zero_flag
+from barloom.operators import autoregression, datasets, forecasters, joins, metrics, stats
+from barloom.operators.grid import exclude_day, fill_grid
+from barloom.operators.ordered import gap_aware_change
+from barloom.operators.outliers import classify_outliers, impute_outliers, outlier_thresholds
+from barloom.operators.tests_of_series import dm_test
+from barloom.plans.blocks import BLOCK_ROWS, KEY, number_rows
+from barloom.plans.staging import stage
+
+
+def derived_bars(df: DataFrame, step_seconds: int, day: str | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Grid, removal of a day, zero-volume flag, change and spread."""
+    grid = fill_grid(df, step_seconds, block_rows)
+    if day:
+        grid = number_rows(exclude_day(grid, day).drop("pos"), step_seconds, block_rows)
+    flagged = grid.withColumns({"is_zero_volume": zero_flag("volume"), "intra_minute_spread": range_pct()})
+    return gap_aware_change(flagged, "close", step_seconds, block_rows)
+
+
+def clean_bars(
+    df: DataFrame, step_seconds: int = 60, day: str | None = None, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Full cleaning.  The derived table is read by thresholds, classes and repair, so it is staged."""
+    derived = stage(derived_bars(df, step_seconds, day, block_rows), "derived-bars")
+    limits = outlier_thresholds(derived, block_rows)
+    return impute_outliers(derived, classify_outliers(derived, limits, block_rows), block_rows)
+
+
+def residual_panel(predictions: DataFrame, lags: int, block_rows: int = BLOCK_ROWS) -> dict[str, DataFrame]:
+    """Tables behind a residual plot of one model: series, histogram, density, correlations, quantiles."""
+    series = metrics.residuals(predictions)
+    return {
+        "series": series,
+        "histogram": stats.histogram(series, "residual", 30, block_rows),
+        "density": stats.kernel_density(series, "residual", 1000, 0.5, block_rows),
+        "acf": stats.autocorrelation(series, "residual", lags, block_rows),
+        "pacf": stats.partial_autocorrelation(series, "residual", lags, block_rows),
+        "quantiles": stats.normal_quantile_points(series, "residual", block_rows),
+    }
+
+
+def evaluate_all(
+    bars: DataFrame, features: DataFrame, numeric: list[str], h: int, window: int, order=(5, 1, 0),
+    learners: dict[str, object] | None = None, align: str = "strict", block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Predictions on the test rows of all models: persistence, autoregression, direct learners and
+    a stack of persistence with each learner.
+
+    ``bars`` and ``features`` carry ``split`` and share positions.  Both should be staged tables:
+    each model reads them.
+    """
+    learners = learners or {"linear": forecasters.linear_learner()}
+    matrix = stage(datasets.model_matrix(features, numeric, "log_returns_close", block_rows), "matrix")
+    lag_table = datasets.lag_feature_table(matrix, window, [h], block_rows)
+    parts = [
+        forecasters.persistence(bars, h, "test", block_rows),
+        autoregression.ar_backtest(bars, order, window + 40, h, "test", block_rows=block_rows),
+    ]
+    frames = {s: datasets.walk_forward_frames(matrix, window, h, s, align, block_rows) for s in ("valid", "test")}
+    for name, learner in learners.items():
+        first = forecasters.fit_direct(lag_table, learner, h, ("train",))
+        refit = forecasters.fit_direct(lag_table, learner, h, ("train", "valid"))
+        valid = forecasters.apply_direct(first, frames["valid"], name)
+        test = forecasters.apply_direct(refit, frames["test"], name).select(*forecasters.PREDICTION_COLUMNS)
+        bases = ["persistence", name]
+        meta = forecasters.stack_fit(
+            joins.union_splits(
+                forecasters.persistence(features, h, "valid", block_rows),
+                valid.select(*forecasters.PREDICTION_COLUMNS),
+            ),
+            bases,
+        )
+        both = joins.union_splits(forecasters.persistence(features, h, "test", block_rows), test)
+        parts += [test, forecasters.stack_predictions(both, meta, bases, f"stack_{name}", block_rows)]
+    return stage(joins.union_splits(*[p.select(*forecasters.PREDICTION_COLUMNS) for p in parts]), "predictions")
+
+
+def compare_models(predictions: DataFrame, models: list[str], sort_by: str = "da") -> tuple[DataFrame, DataFrame]:
+    """Leaderboard and pairwise accuracy tests (absolute loss) of one prediction table."""
+    return metrics.leaderboard(metrics.score(predictions), sort_by), dm_test(predictions, models, norm=1)
+
+
+def union_all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def series_count(df: DataFrame) -> DataFrame:
+    return df.groupBy(KEY).agg(F.count(F.lit(1)).alias("rows"))
