@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 # Published response-surface coefficients for the unit-root test with a
 # constant (MacKinnon 1994 for the p-value, MacKinnon 2010 for the critical values).
@@ -55,17 +56,17 @@ def unit_root_critical(level: str, n: int) -> float:
     return sum(c / n**k for k, c in enumerate(UNIT_ROOT_CRITICAL[level]))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_cdf(x: pd.Series) -> pd.Series:
     return x.map(normal_cdf_value, na_action="ignore").astype("float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     inverse = NormalDist().inv_cdf
     return p.map(inverse, na_action="ignore").astype("float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else chi2_tail_value(a, int(k)) for a, k in zip(x, df)], dtype="float64")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from barloom.functions.columns import HOLD_THRESHOLD
 from barloom.operators.forecasters import final_forecast
@@ -160,7 +161,7 @@ def project(logs: np.ndarray, d: int, const: float, phi: np.ndarray, theta: np.n
 def _projection(steps: int):
     """Forecast prices of one window under a list of parameter sets, as a vectorised function."""
 
-    @pandas_udf("array<double>")
+    @pandas_udf(ArrayType(DoubleType()))
     def forecast(logs: pd.Series, orders: pd.Series) -> pd.Series:
         out = np.empty(len(logs), dtype=object)
         # Rows of one series share their parameters: project them together.

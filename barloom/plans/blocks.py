@@ -121,7 +121,8 @@ def _before() -> WindowSpec:
 
 
 def _after() -> WindowSpec:
-    return Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+    # Backwards from the end: a frame to unbounded following is recomputed for every row.
+    return Window.partitionBy(KEY).orderBy(F.desc(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _up_to_here() -> WindowSpec:
@@ -173,18 +174,14 @@ def neighbours(df: DataFrame, cols: list[str], block_rows: int = BLOCK_ROWS) ->
         KEY,
         BLOCK,
         *[F.last(f"_l_{c}", True).over(_before()).alias(f"_lc_{c}") for c in cols],
-        *[F.first(f"_f_{c}", True).over(_after()).alias(f"_fc_{c}") for c in cols],
+        *[F.last(f"_f_{c}", True).over(_after()).alias(f"_fc_{c}") for c in cols],
     )
     here = _up_to_here()
-    onward = ordered().rowsBetween(0, Window.unboundedFollowing)
-    out = tagged.join(carry, [KEY, BLOCK])
-    for c in cols:
-        out = out.withColumns(
-            {
-                f"_prev_{c}": F.coalesce(F.last(f"_o_{c}", True).over(here), F.col(f"_lc_{c}")),
-                f"_next_{c}": F.coalesce(F.first(f"_o_{c}", True).over(onward), F.col(f"_fc_{c}")),
-            }
-        )
+    backwards = Window.partitionBy(KEY, BLOCK).orderBy(F.desc(POS)).rowsBetween(Window.unboundedPreceding, 0)
+    out = tagged.join(carry, [KEY, BLOCK]).withColumns(
+        {f"_prev_{c}": F.coalesce(F.last(f"_o_{c}", True).over(here), F.col(f"_lc_{c}")) for c in cols}
+        | {f"_next_{c}": F.coalesce(F.last(f"_o_{c}", True).over(backwards), F.col(f"_fc_{c}")) for c in cols}
+    )
     return out.drop(BLOCK, *[f"{p}_{c}" for c in cols for p in ("_o", "_lc", "_fc")])
 
 
