@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import crossover, finite_or_null, range_pct, rsi_state
 from barloom.operators.bars import BAR_COLUMNS
 from barloom.operators.ewm import macd_columns, macd_reach, rsi_columns, rsi_reach
-from barloom.operators.joins import MACRO_COLUMNS, add_macro
+from barloom.operators.joins import MACRO_COLUMNS, join_macro
 from barloom.operators.ordered import log_return, rolling_mean_of, signed_volume, true_range
-from barloom.plans.blocks import BLOCK_ROWS, KEY, POS, TS, fill_forward, over_blocks, running_total
+from barloom.plans.blocks import BLOCK_ROWS, KEY, POS, TS, accumulate, over_blocks, running_total
+from barloom.plans.staging import stage
 
 INDICATORS = [
     "sma_50", "rsi_14", "atr_14", "obv", "macd_12_26_9", "macd_signal_12_26_9", "macd_hist_12_26_9",
@@ -28,24 +29,17 @@ def model_columns(columns: list[str]) -> tuple[list[str], list[str]]:
 
 
 def _frame_indicators(t: DataFrame, sma: int, rsi: int, atr: int) -> DataFrame:
-    t = t.withColumns({f"sma_{sma}": rolling_mean_of("close", sma), "_tr": true_range(), "_move": signed_volume()})
+    t = t.withColumns({f"sma_{sma}": rolling_mean_of("close", sma), "_tr": true_range(), "_signed": signed_volume()})
     t = rsi_columns(t.withColumn(f"atr_{atr}", rolling_mean_of("_tr", atr)).drop("_tr"), rsi, f"rsi_{rsi}")
     return macd_columns(t, 12, 26, 9)
 
 
-def _add_relations(df: DataFrame, sma: int, rsi: int, block_rows: int) -> DataFrame:
-    return (
-        running_total(df, {"_obv": "_move"}, block_rows)
-        .withColumns(
-            {
-                "obv": F.when(F.col("_move").isNotNull(), F.col("_obv")),
-                "price_vs_sma": F.try_divide("close", f"sma_{sma}"),
-                "rsi_state": rsi_state(f"rsi_{rsi}"),
-                "macd_crossover": crossover("macd_12_26_9", "macd_signal_12_26_9"),
-            }
-        )
-        .drop("_move", "_obv")
-    )
+def _relations(sma: int, rsi: int) -> dict:
+    return {
+        "price_vs_sma": F.try_divide("close", f"sma_{sma}"),
+        "rsi_state": rsi_state(f"rsi_{rsi}"),
+        "macd_crossover": crossover("macd_12_26_9", "macd_signal_12_26_9"),
+    }
 
 
 def technical_indicators(
@@ -54,7 +48,11 @@ def technical_indicators(
     """All indicators in one spread of the table; only the volume balance needs a carry."""
     reach = max(sma, atr + 1, rsi_reach(rsi), macd_reach(26, 9))
     framed = over_blocks(df, lambda t: _frame_indicators(t, sma, rsi, atr), behind=reach, block_rows=block_rows)
-    return _add_relations(framed, sma, rsi, block_rows)
+    return (
+        running_total(framed, {"_obv": "_signed"}, block_rows)
+        .withColumns({"obv": F.when(F.col("_signed").isNotNull(), F.col("_obv")), **_relations(sma, rsi)})
+        .drop("_signed", "_obv")
+    )
 
 
 def drop_incomplete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,10 +71,19 @@ def feature_table(df: DataFrame, macro: DataFrame, columns: list[str] = BAR_COLU
         return _frame_indicators(t, 50, 14, 14)
 
     wide = over_blocks(df, framed, behind=macd_reach(26, 9), block_rows=block_rows)
-    wide = add_macro(_add_relations(wide, 50, 14, block_rows), macro, block_rows)
-    made = [*[f"{p}_{c}" for c in columns for p in ("log", "log_returns")], "price_range_pct", *INDICATORS]
+    wide = wide.withColumns({**_relations(50, 14), "_moved": F.col("_signed").isNotNull().cast("int")})
+    wide = join_macro(wide, macro)
+    logs = [f"{p}_{c}" for c in columns for p in ("log", "log_returns")]
+    made = [*logs, "price_range_pct", *[i for i in INDICATORS if i != "obv"]]
     numeric = [c for c, t in wide.dtypes if t == "double"]
-    clean = wide.withColumns({c: finite_or_null(c) for c in numeric})
-    filled = fill_forward(clean, [*BAR_COLUMNS, *made], block_rows)
-    order = [c for c in (KEY, TS, POS, "split") if c in filled.columns] + [*BAR_COLUMNS, *made, *MACRO_COLUMNS]
-    return filled.na.drop(subset=[*BAR_COLUMNS, *made]).select(*order)
+    # The frames are computed once; sums and last values both read the staged result.
+    clean = stage(wide.withColumns({c: finite_or_null(c) for c in numeric}), "frames")
+    filled = accumulate(
+        clean, {"_obv": "_signed", "_moves": "_moved"}, [*BAR_COLUMNS, *made, *MACRO_COLUMNS], block_rows
+    )
+    # Carried forward, the volume balance is its running sum from the first move on.
+    filled = filled.withColumn("obv", F.when(F.col("_moves") > 0, F.col("_obv")))
+    filled = filled.na.fill(0.0, subset=MACRO_COLUMNS)
+    required = [*BAR_COLUMNS, *logs, "price_range_pct", *INDICATORS]
+    order = [c for c in (KEY, TS, POS, "split") if c in filled.columns] + [*required, *MACRO_COLUMNS]
+    return filled.na.drop(subset=required).select(*order)

@@ -79,6 +79,19 @@ def exclude_day(df: DataFrame, day: str) -> DataFrame:
     return df.where((F.col(TS) < start) | (F.col(TS) >= start + F.expr("INTERVAL '1' DAY")))
 
 
+def exclude_grid_day(grid: DataFrame, day: str, step_seconds: int) -> DataFrame:
+    """``exclude_day`` on a complete grid, closing the hole in ``pos``: how many grid rows the
+    day held follows from the start of the series, so no row has to be counted."""
+    start = epoch_seconds(TS) - (F.col(POS) - 1) * step_seconds
+    first = epoch_seconds(F.lit(f"{day} 00:00:00").cast("timestamp_ntz"))
+
+    def rows_before(t):
+        return F.greatest(F.ceil((t - start) / step_seconds), F.lit(0)).cast("bigint")
+
+    removed = F.when(epoch_seconds(TS) >= first + 86400, rows_before(first + 86400) - rows_before(first)).otherwise(0)
+    return exclude_day(grid.withColumn(POS, F.col(POS) - removed), day)
+
+
 def interpolate_grid(grid: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Linear interpolation by position.  Leading nulls stay; trailing nulls take the last value."""
     out = neighbours(grid, columns, block_rows)

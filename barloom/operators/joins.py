@@ -38,10 +38,14 @@ def macro_table(rate: DataFrame, supply: DataFrame, rate_lag_months: int = 0) ->
     return changed.select("month", "fed_rate", "m2_supply_mom_pct")
 
 
+def join_macro(df: DataFrame, macro: DataFrame) -> DataFrame:
+    """Left join on the calendar month.  The macro side has 12 rows a year."""
+    return df.withColumn("month", month_key(TS)).join(macro, "month", "left").drop("month")
+
+
 def add_macro(df: DataFrame, macro: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Left join on the calendar month, then last value forward, then 0 before the first."""
-    joined = df.withColumn("month", month_key(TS)).join(macro, "month", "left").drop("month")
-    return fill_forward(joined, MACRO_COLUMNS, block_rows).na.fill(0.0, subset=MACRO_COLUMNS)
+    """Month values, then the last value forward, then 0 before the first."""
+    return fill_forward(join_macro(df, macro), MACRO_COLUMNS, block_rows).na.fill(0.0, subset=MACRO_COLUMNS)
 
 
 def union_splits(*parts: DataFrame) -> DataFrame:

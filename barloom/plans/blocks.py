@@ -8,7 +8,7 @@ work on blocks of ``BLOCK_ROWS`` consecutive positions instead:
   (map-side combined), adds up the counts, and ranks inside the block only.
 * ``spread`` copies the last ``behind`` (first ``ahead``) rows of a block into
   its neighbours, so a bounded frame finds all its rows inside one block.
-* ``running_total``, ``fill_forward`` and ``neighbours`` have unbounded frames.
+* ``accumulate`` (sums, last values) and ``neighbours`` have unbounded frames.
   They reduce each block to one row, scan those rows, and join the carry back
   on ``(series_id, block)``.
 
@@ -129,36 +129,38 @@ def _up_to_here() -> WindowSpec:
     return ordered().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def running_total(df: DataFrame, totals: dict[str, str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Cumulative sums: ``{new column: summed column}``; nulls count as 0."""
+def accumulate(
+    df: DataFrame, totals: dict[str, str], fills: list[str], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Cumulative sums ``{new column: summed column}`` (nulls count as 0) and last observations
+    carried forward, with one pass for the block ends and one for the rows."""
     tagged = with_block(df, block_rows)
-    parts = tagged.groupBy(KEY, BLOCK).agg(*[F.sum(c).alias(f"_s_{out}") for out, c in totals.items()])
-    carry = parts.select(
-        KEY, BLOCK, *[F.coalesce(F.sum(f"_s_{o}").over(_before()), F.lit(0)).alias(f"_c_{o}") for o in totals]
+    ends = tagged.groupBy(KEY, BLOCK).agg(
+        *[F.sum(c).alias(f"_s_{out}") for out, c in totals.items()],
+        *[F.expr(f"max_by(`{c}`, {POS}) FILTER (WHERE `{c}` IS NOT NULL)").alias(f"_t_{c}") for c in fills],
+    )
+    carry = ends.select(
+        KEY,
+        BLOCK,
+        *[F.coalesce(F.sum(f"_s_{o}").over(_before()), F.lit(0)).alias(f"_c_{o}") for o in totals],
+        *[F.last(f"_t_{c}", True).over(_before()).alias(f"_p_{c}") for c in fills],
     )
     here = _up_to_here()
+    sums = {o: F.col(f"_c_{o}") + F.coalesce(F.sum(c).over(here), F.lit(0)) for o, c in totals.items()}
+    filled = {c: F.coalesce(F.last(c, True).over(here), F.col(f"_p_{c}")) for c in fills}
     return (
         tagged.join(carry, [KEY, BLOCK])
-        .withColumns({o: F.col(f"_c_{o}") + F.coalesce(F.sum(c).over(here), F.lit(0)) for o, c in totals.items()})
-        .drop(BLOCK, *[f"_c_{o}" for o in totals])
+        .withColumns(sums | filled)
+        .drop(BLOCK, *[f"_c_{o}" for o in totals], *[f"_p_{c}" for c in fills])
     )
 
 
-def _last_in_block(c: str) -> Column:
-    return F.expr(f"max_by(`{c}`, {POS}) FILTER (WHERE `{c}` IS NOT NULL)")
+def running_total(df: DataFrame, totals: dict[str, str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return accumulate(df, totals, [], block_rows)
 
 
 def fill_forward(df: DataFrame, cols: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Last observation carried forward."""
-    tagged = with_block(df, block_rows)
-    tails = tagged.groupBy(KEY, BLOCK).agg(*[_last_in_block(c).alias(f"_t_{c}") for c in cols])
-    carry = tails.select(KEY, BLOCK, *[F.last(f"_t_{c}", True).over(_before()).alias(f"_c_{c}") for c in cols])
-    here = _up_to_here()
-    return (
-        tagged.join(carry, [KEY, BLOCK])
-        .withColumns({c: F.coalesce(F.last(c, True).over(here), F.col(f"_c_{c}")) for c in cols})
-        .drop(BLOCK, *[f"_c_{c}" for c in cols])
-    )
+    return accumulate(df, {}, cols, block_rows)
 
 
 def neighbours(df: DataFrame, cols: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from barloom.functions.columns import range_pct, zero_flag
 from barloom.operators import autoregression, datasets, forecasters, joins, metrics, stats
-from barloom.operators.grid import exclude_day, fill_grid
+from barloom.operators.grid import exclude_grid_day, fill_grid
 from barloom.operators.ordered import gap_aware_change
 from barloom.operators.outliers import classify_outliers, impute_outliers, outlier_thresholds
 from barloom.operators.tests_of_series import dm_test
-from barloom.plans.blocks import BLOCK_ROWS, KEY, number_rows
+from barloom.plans.blocks import BLOCK_ROWS
 from barloom.plans.staging import stage
 
 
@@ -21,8 +18,8 @@ def derived_bars(df: DataFrame, step_seconds: int, day: str | None, block_rows:
     """Grid, removal of a day, zero-volume flag, change and spread."""
     grid = fill_grid(df, step_seconds, block_rows)
     if day:
-        grid = number_rows(exclude_day(grid, day).drop("pos"), step_seconds, block_rows)
-    flagged = grid.withColumns({"is_zero_volume": zero_flag("volume"), "intra_minute_spread": range_pct()})
+        grid = exclude_grid_day(grid, day, step_seconds)
+    flagged = stage(grid, "grid").withColumns({"is_zero_volume": zero_flag("volume"), "intra_minute_spread": range_pct()})
     return gap_aware_change(flagged, "close", step_seconds, block_rows)
 
 
@@ -87,11 +84,3 @@ def evaluate_all(
 def compare_models(predictions: DataFrame, models: list[str], sort_by: str = "da") -> tuple[DataFrame, DataFrame]:
     """Leaderboard and pairwise accuracy tests (absolute loss) of one prediction table."""
     return metrics.leaderboard(metrics.score(predictions), sort_by), dm_test(predictions, models, norm=1)
-
-
-def union_all(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
-
-
-def series_count(df: DataFrame) -> DataFrame:
-    return df.groupBy(KEY).agg(F.count(F.lit(1)).alias("rows"))

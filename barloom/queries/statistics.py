@@ -187,9 +187,9 @@ def ljung_box(spark, sf_dir):
     return stats.ljung_box(stage(metrics.residuals(forecasters.persistence(s, H, "test")), "residuals"), "residual", 14)
 
 
-# Normal distribution function in SQL, by its power series.
-_PHI = """(0.5 + {x} / sqrt(2 * pi()) * (SELECT sum(pow(-1, j) * pow({x} * {x} / 2, j) / (gamma(j + 1) * (2 * j + 1)))
-  FROM range(0, 60) AS t(j)))"""
+# Normal distribution function in SQL: density times the sum of x^(2j+1) / (1*3*...*(2j+1)), all of one sign.
+_PHI = """(0.5 + sign({x}) * exp(-{x} * {x} / 2) / sqrt(2 * pi()) * (SELECT sum(exp((2 * j + 1) * ln(abs({x})) - (j + 1) * ln(2)
+  - lgamma(j + 1.5) + ln(pi()) / 2)) FROM range(0, 200) AS t(j)))"""
 
 
 def _dm_sql(norm: int) -> str:
