@@ -87,10 +87,13 @@ def renumber(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 def spread(df: DataFrame, behind: int = 0, ahead: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Place each row in its own block and in every block whose frames reach it."""
+    """Place each row in its own block and in every block whose frames reach it.
+
+    The explicit shuffle by ``(series_id, block)`` also serves windows over parts of a block.
+    """
     first = F.greatest(block_of(F.col(POS) - ahead, block_rows), F.lit(0).cast("bigint"))
     last = block_of(F.col(POS) + behind, block_rows)
-    return df.withColumn(BLOCK, F.explode(F.sequence(first, last)))
+    return df.withColumn(BLOCK, F.explode(F.sequence(first, last))).repartition(KEY, BLOCK)
 
 
 def own_rows(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
