@@ -11,43 +11,62 @@ from barloom.plans.blocks import (
     KEY,
     POS,
     TS,
-    block_of,
     epoch_seconds,
+    fill_forward,
     from_epoch,
     neighbours,
-    ordered,
 )
 
 
-def fill_grid(df: DataFrame, step_seconds: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def on_grid(df: DataFrame, step_seconds: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows whose distance from the start of their series is a whole number of steps."""
+    seconds = epoch_seconds(TS)
+    starts = df.groupBy(KEY).agg(F.min(seconds).alias("_start"), F.max(seconds).alias("_end"))
+    # Starts are spread over time blocks before the join, so a hot series is not one join key.
+    width = F.lit(step_seconds * block_rows)
+    copies = starts.withColumn(
+        "_tb", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_end") / width)))
+    )
+    joined = df.withColumn("_tb", F.floor(seconds / width)).join(copies, [KEY, "_tb"])
+    return joined.where((seconds - F.col("_start")) % step_seconds == 0).select(*df.columns)
+
+
+def fill_grid(
+    df: DataFrame, step_seconds: int, block_rows: int = BLOCK_ROWS, aligned: bool = False
+) -> DataFrame:
     """Put each series on min..max of its time at a fixed step; missing rows are null.
 
     On a grid the position follows from the time, so nothing has to be ranked.  Each
     row emits itself and the missing rows up to its successor, so the grid is neither
-    generated apart nor shuffled.  Rows off the grid are dropped, as a reindex does.
+    generated apart nor shuffled.  Rows off the grid are dropped, as a reindex does;
+    ``aligned`` says there are none (bars of a fixed frequency) and saves that check.
     """
     values = [c for c in df.columns if c not in (KEY, TS, POS)]
-    starts = df.groupBy(KEY).agg(F.min(epoch_seconds(TS)).alias("_start"), F.max(epoch_seconds(TS)).alias("_end"))
-    # Starts are spread over time blocks before the join, so a hot series is not one join key.
-    width = F.lit(step_seconds * block_rows)
-    copies = starts.withColumn(
-        "_tb", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_end") / width)))
+    source = df if aligned else on_grid(df, step_seconds, block_rows)
+    rows = source.select(KEY, epoch_seconds(TS).alias("_s"), *values).withColumn(
+        BLOCK, F.floor(F.col("_s") / F.lit(step_seconds * block_rows))
+    )
+    # Per time block: the start of the series and the first row of the next block.
+    whole = Window.partitionBy(KEY)
+    blocks = (
+        rows.groupBy(KEY, BLOCK)
+        .agg(F.min("_s").alias("_first"))
+        .select(
+            KEY,
+            BLOCK,
+            F.min("_first").over(whole).alias("_start"),
+            F.lead("_first").over(whole.orderBy(BLOCK)).alias("_onward"),
+        )
     )
-    offset = F.col("_s") - F.col("_start")
-    rows = (
-        df.withColumn("_s", epoch_seconds(TS))
-        .withColumn("_tb", F.floor(F.col("_s") / width))
-        .join(copies, [KEY, "_tb"])
-        .where(offset % step_seconds == 0)
-        .withColumn(POS, F.floor(offset / step_seconds).cast("bigint") + 1)
-        .withColumn(BLOCK, block_of(POS, block_rows))
-        .select(KEY, BLOCK, POS, "_start", *values)
+    inside = Window.partitionBy(KEY, BLOCK).orderBy("_s")
+    following = F.coalesce(F.lead("_s").over(inside), F.col("_onward"), F.col("_s") + step_seconds)
+
+    def place(seconds):
+        return F.floor((seconds - F.col("_start")) / step_seconds).cast("bigint") + 1
+
+    gaps = rows.join(blocks, [KEY, BLOCK]).withColumn("_next", following).select(
+        KEY, "_start", place(F.col("_s")).alias(POS), place(F.col("_next")).alias("_until"), *values
     )
-    firsts = rows.groupBy(KEY, BLOCK).agg(F.min(POS).alias("_first"))
-    following = Window.partitionBy(KEY).orderBy(BLOCK)
-    nexts = firsts.select(KEY, BLOCK, F.lead("_first").over(following).alias("_onward"))
-    until = F.coalesce(F.lead(POS).over(ordered()), F.col("_onward"), F.col(POS) + 1)
-    gaps = rows.join(nexts, [KEY, BLOCK]).withColumn("_until", until)
     # Long gaps unfold in two steps, so no array exceeds block_rows entries.
     chunks = gaps.withColumn(
         "_from", F.explode(F.sequence(F.col(POS), F.col("_until") - 1, F.lit(block_rows).cast("bigint")))
@@ -107,12 +126,11 @@ def interpolate_grid(grid: DataFrame, columns: list[str], block_rows: int = BLOC
 
 
 def fill_gaps(
-    df: DataFrame, step_seconds: int, columns: list[str], method: str = "linear", block_rows: int = BLOCK_ROWS
-) -> DataFrame:
+    df: DataFrame, step_seconds: int, columns: list[str], method: str = "linear", block_rows: int = BLOCK_ROWS,
+    aligned: bool = False,
+) -> DataFrame:
     """Complete grid, then interpolation (``linear``) or last value (``ffill``)."""
-    from barloom.plans.blocks import fill_forward
-
-    grid = fill_grid(df, step_seconds, block_rows)
+    grid = fill_grid(df, step_seconds, block_rows, aligned)
     if method == "linear":
         return interpolate_grid(grid, columns, block_rows)
     if method == "ffill":

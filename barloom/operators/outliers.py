@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.operators.bars import BAR_COLUMNS
 from barloom.operators.quantiles import exact_quantiles
 from barloom.plans.blocks import BLOCK_ROWS, KEY, POS, attach_series, fill_forward, ordered, over_blocks, series_length
+from barloom.plans.staging import stage
 
 # Quantile levels, share of a spike that must revert, class labels.
 EXTREME_LEVEL = 0.9999
@@ -41,18 +42,17 @@ def outlier_thresholds(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
         F.abs("intra_minute_spread").alias("_spread"),
         F.when(F.col("volume") > 0, F.col("volume")).alias("_volume"),
     )
-    parts = [
-        exact_quantiles(sized, [KEY], c, {name: level}, block_rows=block_rows)
-        for c, name, level in (
-            ("_move", "pct_change_threshold", EXTREME_LEVEL),
-            ("_spread", "spread_threshold", EXTREME_LEVEL),
-            ("_volume", "volume_threshold", LOW_VOLUME_LEVEL),
-        )
-    ]
-    out = series_length(df)
-    for part in parts:
-        out = out.join(part, KEY, "left")
-    return out
+    limits = exact_quantiles(
+        sized,
+        [KEY],
+        {
+            "pct_change_threshold": ("_move", EXTREME_LEVEL),
+            "spread_threshold": ("_spread", EXTREME_LEVEL),
+            "volume_threshold": ("_volume", LOW_VOLUME_LEVEL),
+        },
+        block_rows=block_rows,
+    )
+    return series_length(df).join(limits, KEY, "left")
 
 
 def outlier_candidates(df: DataFrame, thresholds: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -87,10 +87,14 @@ def classify_outliers(df: DataFrame, thresholds: DataFrame, block_rows: int = BL
 
 
 def impute_outliers(df: DataFrame, classified: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Blank the bars of both error classes and carry the last bar forward."""
+    """Blank the bars of both error classes and carry the last bar forward.
+
+    The few wrong rows are staged: both passes of the fill read them.
+    """
     wrong = classified.where(F.col("classification").isin(HIGH_CONFIDENCE, LIKELY)).select(
         KEY, POS, F.lit(True).alias("_wrong")
     )
+    wrong = stage(wrong, "wrong-bars")
     blanked = df.join(wrong, [KEY, POS], "left")
     blanked = blanked.withColumns({c: F.when(F.col("_wrong").isNull(), F.col(c)) for c in BAR_COLUMNS})
     return fill_forward(blanked.drop("_wrong"), BAR_COLUMNS, block_rows)

@@ -8,8 +8,6 @@ wider than the sketch's error, and the counts below it are taken from the data.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,63 +16,58 @@ from barloom.plans.blocks import BLOCK, BLOCK_ROWS, KEY, POS, block_of, with_blo
 SKETCH_ACCURACY = 100_000
 
 
-def _bracketed(
-    df: DataFrame, keys: list[str], column: str, probs: list[float], accuracy: int, block_rows: int
+def exact_quantiles(
+    df: DataFrame,
+    keys: list[str],
+    quantiles: dict[str, tuple[str, float]],
+    accuracy: int = SKETCH_ACCURACY,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Values of ``column`` joined with ``(p, lo, hi, rank)`` of their group."""
+    """One row per group with linear-interpolated quantiles ``{name: (column, probability)}``.
+
+    All columns share the two passes.  Nulls are left out per column.
+    """
+    specs = [(name, c, float(p)) for name, (c, p) in quantiles.items()]
+    columns = sorted({c for _, c, _ in specs})
     margin = 3.0 / accuracy
-    x = F.col(column)
-    brackets = (
-        df.where(x.isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.count(x).alias("_n"),
-            F.max(POS).alias("_last"),
-            F.percentile_approx(x, [max(0.0, p - margin) for p in probs], accuracy).alias("_lo"),
-            F.percentile_approx(x, [min(1.0, p + margin) for p in probs], accuracy).alias("_hi"),
-        )
-    )
+    sketches = [F.max(POS).alias("_last")]
+    for c in columns:
+        probs = [p for _, col, p in specs if col == c]
+        wide = [max(0.0, p - margin) for p in probs] + [min(1.0, p + margin) for p in probs]
+        sketches += [F.count(c).alias(f"_n_{c}"), F.percentile_approx(c, wide, accuracy).alias(f"_cut_{c}")]
+    brackets = df.groupBy(*keys).agg(*sketches)
     if keys == [KEY]:
         # One row per block of the series, so that a hot series is many join keys.
         copies = brackets.withColumn(
             BLOCK, F.explode(F.sequence(F.lit(0).cast("bigint"), block_of("_last", block_rows)))
         )
-        joined = with_block(df.where(x.isNotNull()), block_rows).join(copies, [KEY, BLOCK])
+        joined = with_block(df.select(*keys, POS, *columns), block_rows).join(copies, [KEY, BLOCK])
     else:
-        joined = df.where(x.isNotNull()).join(brackets, keys)
-    return joined.select(*keys, x.alias("_x"), "_n", "_lo", "_hi")
-
+        joined = df.select(*keys, *columns).join(brackets, keys)
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    column: str,
-    probs: dict[str, float],
-    accuracy: int = SKETCH_ACCURACY,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """One row per group with the linear-interpolated quantiles ``{name: probability}``."""
-    names, ps = list(probs), [float(p) for p in probs.values()]
-    rows = _bracketed(df, keys, column, ps, accuracy, block_rows)
-
-    # Distance code per probability: below, inside or above the bracket.  Values outside collapse
-    # to one row per side, values inside to one row per distinct value, all on the map side.
+    # Side of the bracket: values outside collapse to one row per side, values inside to one row per
+    # distinct value, both on the map side.
     def placed(i: int):
-        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
-        inside = (F.col("_x") >= lo) & (F.col("_x") <= hi)
-        side = F.when(F.col("_x") < lo, -1).when(F.col("_x") > hi, 1).otherwise(0)
-        return F.struct(F.lit(i).alias("i"), side.alias("side"), F.when(inside, F.col("_x")).alias("v"))
+        name, c, _ = specs[i]
+        same = [n for n, col, _ in specs if col == c]
+        at = same.index(name)
+        lo, hi = F.col(f"_cut_{c}")[at], F.col(f"_cut_{c}")[at + len(same)]
+        x = F.col(c).cast("double")
+        side = F.when(x < lo, -1).when(x > hi, 1).otherwise(0)
+        return F.struct(
+            F.lit(i).alias("i"), F.col(f"_n_{c}").alias("n"), side.alias("side"),
+            F.when((x >= lo) & (x <= hi), x).alias("v"), x.alias("x"),
+        )
 
     counted = (
-        rows.select(*keys, "_x", "_n", F.explode(F.array(*[placed(i) for i in range(len(ps))])).alias("_p"))
-        .groupBy(*keys, "_n", F.col("_p.i").alias("_i"), F.col("_p.side").alias("_side"), F.col("_p.v").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_min"), F.max("_x").alias("_max"))
-    )
-    upto = (
-        Window.partitionBy(*keys, "_i").orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
+        joined.select(*keys, F.explode(F.array(*[placed(i) for i in range(len(specs))])).alias("_p"))
+        .where(F.col("_p.x").isNotNull())
+        .groupBy(*keys, *[F.col(f"_p.{f}").alias(f"_{f}") for f in ("n", "i", "side", "v")])
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_p.x").alias("_min"), F.max("_p.x").alias("_max"))
     )
+    upto = Window.partitionBy(*keys, "_i").orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("_to", F.sum("_c").over(upto)).withColumn("_from", F.col("_to") - F.col("_c"))
-    p = reduce(lambda acc, i: acc.when(F.col("_i") == i, ps[i]), range(len(ps)), F.when(F.lit(False), 0.0))
+    p = F.element_at(F.array(*[F.lit(p) for _, _, p in specs]), F.col("_i") + 1)
     target = p * (F.col("_n") - 1)
     low, high = F.floor(target), F.ceil(target)
 
@@ -90,13 +83,9 @@ def exact_quantiles(
 
     picked = (
         ranked.groupBy(*keys, "_i")
-        .agg(
-            value_at(low).alias("_a"),
-            value_at(high).alias("_b"),
-            F.max(target - low).alias("_share"),
-        )
+        .agg(value_at(low).alias("_a"), value_at(high).alias("_b"), F.max(target - low).alias("_share"))
         .withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_share"))
     )
     return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, name in enumerate(names)]
+        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(name) for i, (name, _, _) in enumerate(specs)]
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,23 +34,21 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 def describe_exact(df: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per series and column: count, mean, deviation, extremes and exact quartiles."""
     types = dict(df.dtypes)
-
-    def one(c: str) -> DataFrame:
+    moments, quartiles = [], {}
+    for c in columns:
         x = F.col(c).cast("double")
-        moments = df.groupBy(KEY).agg(
-            F.count(x).alias("count"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-        )
-        return (
-            moments.join(exact_quantiles(df, [KEY], c, QUARTILES, block_rows=block_rows), KEY, "left")
-            .withColumns({"column": F.lit(c), "dtype": F.lit(types[c])})
-            .select(KEY, "column", "dtype", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
-        )
-
-    return reduce(DataFrame.unionByName, [one(c) for c in columns])
+        named = {"count": F.count(x), "mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+        moments += [value.alias(f"{c}.{name}") for name, value in named.items()]
+        quartiles |= {f"{c}.{name}": (c, p) for name, p in QUARTILES.items()}
+    wide = df.groupBy(KEY).agg(*moments).join(
+        exact_quantiles(df, [KEY], quartiles, block_rows=block_rows), KEY, "left"
+    )
+    measures = ["count", "mean", "std", "min", *QUARTILES, "max"]
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("dtype"), *[F.col(f"`{c}.{m}`").alias(m) for m in measures])
+        for c in columns
+    ]
+    return wide.select(KEY, F.explode(F.array(*rows)).alias("_r")).select(KEY, "_r.*")
 
 
 def _binned(df: DataFrame, column: str, bins: int, block_rows: int) -> DataFrame:
@@ -119,7 +115,9 @@ def kernel_density(
 def monthly_box_stats(df: DataFrame, column: str) -> DataFrame:
     """Per month: quartiles, whisker ends inside 1.5 quartile ranges, number of outliers."""
     keyed = df.select(KEY, POS, month_key(TS).alias("month"), column)
-    boxes = exact_quantiles(keyed, [KEY, "month"], column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    boxes = exact_quantiles(
+        keyed, [KEY, "month"], {"q1": (column, 0.25), "median": (column, 0.5), "q3": (column, 0.75)}
+    )
     reach = (F.col("q3") - F.col("q1")) * WHISKER
     x = F.col(column)
     inside = (x >= F.col("q1") - reach) & (x <= F.col("q3") + reach)

@@ -14,9 +14,11 @@ from barloom.plans.blocks import BLOCK_ROWS
 from barloom.plans.staging import stage
 
 
-def derived_bars(df: DataFrame, step_seconds: int, day: str | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def derived_bars(
+    df: DataFrame, step_seconds: int, day: str | None, block_rows: int = BLOCK_ROWS, aligned: bool = False
+) -> DataFrame:
     """Grid, removal of a day, zero-volume flag, change and spread."""
-    grid = fill_grid(df, step_seconds, block_rows)
+    grid = fill_grid(df, step_seconds, block_rows, aligned)
     if day:
         grid = exclude_grid_day(grid, day, step_seconds)
     flagged = stage(grid, "grid").withColumns({"is_zero_volume": zero_flag("volume"), "intra_minute_spread": range_pct()})
@@ -24,10 +26,10 @@ def derived_bars(df: DataFrame, step_seconds: int, day: str | None, block_rows:
 
 
 def clean_bars(
-    df: DataFrame, step_seconds: int = 60, day: str | None = None, block_rows: int = BLOCK_ROWS
+    df: DataFrame, step_seconds: int = 60, day: str | None = None, block_rows: int = BLOCK_ROWS, aligned: bool = False
 ) -> DataFrame:
     """Full cleaning.  The derived table is read by thresholds, classes and repair, so it is staged."""
-    derived = stage(derived_bars(df, step_seconds, day, block_rows), "derived-bars")
+    derived = stage(derived_bars(df, step_seconds, day, block_rows, aligned), "derived-bars")
     limits = outlier_thresholds(derived, block_rows)
     return impute_outliers(derived, classify_outliers(derived, limits, block_rows), block_rows)
 

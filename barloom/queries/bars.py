@@ -254,7 +254,7 @@ _GRID = f"{S.MINUTES}, {S.grid('MINUTE', 'm_bars', 'g')}"
 
 @query("grid_asfreq", S.BARS + " pos:i", f"WITH {_GRID} SELECT * FROM g")
 def grid_asfreq(spark, sf_dir):
-    return grid.fill_grid(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60)
+    return grid.fill_grid(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, aligned=True)
 
 
 @query(
@@ -264,7 +264,7 @@ def grid_asfreq(spark, sf_dir):
     count(*) FILTER (close IS NULL) / count(*) * 100 AS missing_pct FROM g GROUP BY 1""",
 )
 def missing_share(spark, sf_dir):
-    return grid.missing_share(grid.fill_grid(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60))
+    return grid.missing_share(grid.fill_grid(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, aligned=True))
 
 
 def _interpolated(c: str) -> str:
@@ -280,7 +280,7 @@ def _interpolated(c: str) -> str:
     f"WITH {_GRID} SELECT series_id, ts, pos, {', '.join(_interpolated(c) for c in B.BAR_COLUMNS)} FROM g",
 )
 def interpolate_linear(spark, sf_dir):
-    return grid.fill_gaps(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, B.BAR_COLUMNS)
+    return grid.fill_gaps(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, B.BAR_COLUMNS, aligned=True)
 
 
 # ------------------------------------------------------------------ outliers
@@ -309,12 +309,12 @@ _DERIVED_SPEC = S.BARS + " is_zero_volume:i pct_change:6 intra_minute_spread:6"
 
 def _derived(spark, sf_dir):
     bars = stage(T.event_bars(spark, sf_dir, "min"), "minute-bars")
-    return stage(derived_bars(bars, 60, EXCLUDED), "derived-bars")
+    return stage(derived_bars(bars, 60, EXCLUDED, aligned=True), "derived-bars")
 
 
 @query("pct_change_gap_aware", "series_id ts:t close:4 pct_change:6", f"WITH {_DERIVED} SELECT * FROM k2")
 def pct_change_gap_aware(spark, sf_dir):
-    return derived_bars(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, EXCLUDED)
+    return derived_bars(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, EXCLUDED, aligned=True)
 
 
 @query(
@@ -356,4 +356,4 @@ def outlier_impute(spark, sf_dir):
 
 @query("clean_bars", _DERIVED_SPEC, f"WITH {_REPAIRED} SELECT * FROM r")
 def clean(spark, sf_dir):
-    return clean_bars(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, EXCLUDED)
+    return clean_bars(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, EXCLUDED, aligned=True)

@@ -18,7 +18,7 @@ _HGRID = f"{S.HOURLY}, {S.grid('HOUR', 'h_bars', 'g')}"
 
 def _hour_grid(spark, sf_dir):
     """Hourly grid with holes, staged: carries read it twice."""
-    return stage(grid.fill_grid(T.event_bars(spark, sf_dir, "h"), 3600), "hour-grid")
+    return stage(grid.fill_grid(T.event_bars(spark, sf_dir, "h"), 3600, aligned=True), "hour-grid")
 
 
 _RETURNS = " ".join(f"log_{c}:6 log_returns_{c}:6" for c in ("open", "close", "volume"))

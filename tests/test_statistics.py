@@ -20,7 +20,8 @@ def test_quantiles_are_exact_with_ties_and_a_hot_series(series, frame, accuracy,
     """A third of the rows hold one value; a coarse sketch must still give the exact answer."""
     hot = np.concatenate([np.full(300, 2.5), RNG.normal(0, 3, 600)])
     data = {"hot": {"x": hot}, "b": {"x": RNG.integers(0, 5, 37).astype(float)}, "one": {"x": [4.0]}}
-    got = frame(exact_quantiles(series(data), ["series_id"], "x", PROBS, accuracy, rows), "lo").set_index("series_id")
+    quantiles = {k: ("x", p) for k, p in PROBS.items()}
+    got = frame(exact_quantiles(series(data), ["series_id"], quantiles, accuracy, rows), "lo").set_index("series_id")
     for key, columns in data.items():
         want = np.quantile(columns["x"], list(PROBS.values()))
         np.testing.assert_allclose(got.loc[key, list(PROBS)].to_numpy(dtype=float), want, rtol=1e-12)
