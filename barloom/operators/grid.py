@@ -116,13 +116,11 @@ def interpolate_grid(grid: DataFrame, columns: list[str], block_rows: int = BLOC
     out = neighbours(grid, columns, block_rows)
 
     def blend(c: str):
-        p, n = F.col(f"_prev_{c}"), F.col(f"_next_{c}")
-        share = (F.col(POS) - p["p"]) / (n["p"] - p["p"])
-        return F.when(F.col(c).isNotNull() | n.isNull(), p["v"]).otherwise(p["v"] + (n["v"] - p["v"]) * share)
+        before, after = F.col(f"_pv_{c}"), F.col(f"_nv_{c}")
+        share = (F.col(POS) - F.col(f"_pp_{c}")) / (F.col(f"_np_{c}") - F.col(f"_pp_{c}"))
+        return F.when(F.col(c).isNotNull() | after.isNull(), before).otherwise(before + (after - before) * share)
 
-    return out.withColumns({c: blend(c) for c in columns}).drop(
-        *[f"_{side}_{c}" for c in columns for side in ("prev", "next")]
-    )
+    return out.withColumns({c: blend(c) for c in columns}).select(*grid.columns)
 
 
 def fill_gaps(

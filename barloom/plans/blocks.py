@@ -167,27 +167,32 @@ def fill_forward(df: DataFrame, cols: list[str], block_rows: int = BLOCK_ROWS) -
 
 
 def neighbours(df: DataFrame, cols: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For each column add ``_prev_c`` and ``_next_c``: the nearest non-null value at or
-    before (at or after) the row, as a struct ``(p, v)`` of its position and value."""
-    tagged = with_block(df, block_rows).withColumns(
-        {f"_o_{c}": F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("p"), F.col(c).alias("v"))) for c in cols}
-    )
+    """Nearest non-null values.  For each column ``c`` add the position ``_pp_c`` and value
+    ``_pv_c`` of the last one at or before the row, ``_np_c`` and ``_nv_c`` of the next one."""
+    marks = {f"_at_{c}": F.when(F.col(c).isNotNull(), F.col(POS)) for c in cols}
+    tagged = with_block(df, block_rows).withColumns(marks)
     ends = tagged.groupBy(KEY, BLOCK).agg(
-        *[F.max(f"_o_{c}").alias(f"_l_{c}") for c in cols], *[F.min(f"_o_{c}").alias(f"_f_{c}") for c in cols]
+        *[F.max(m).alias(f"_pp{m}") for m in marks],
+        *[F.min(m).alias(f"_np{m}") for m in marks],
+        *[F.max_by(c, f"_at_{c}").alias(f"_pv_at_{c}") for c in cols],
+        *[F.min_by(c, f"_at_{c}").alias(f"_nv_at_{c}") for c in cols],
     )
     carry = ends.select(
         KEY,
         BLOCK,
-        *[F.last(f"_l_{c}", True).over(_before()).alias(f"_lc_{c}") for c in cols],
-        *[F.last(f"_f_{c}", True).over(_after()).alias(f"_fc_{c}") for c in cols],
+        *[F.last(f"{k}{m}", True).over(_before()).alias(f"{k}{m}") for m in marks for k in ("_pp", "_pv")],
+        *[F.last(f"{k}{m}", True).over(_after()).alias(f"{k}{m}") for m in marks for k in ("_np", "_nv")],
     )
     here = _up_to_here()
     backwards = Window.partitionBy(KEY, BLOCK).orderBy(F.desc(POS)).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(carry, [KEY, BLOCK]).withColumns(
-        {f"_prev_{c}": F.coalesce(F.last(f"_o_{c}", True).over(here), F.col(f"_lc_{c}")) for c in cols}
-        | {f"_next_{c}": F.coalesce(F.last(f"_o_{c}", True).over(backwards), F.col(f"_fc_{c}")) for c in cols}
-    )
-    return out.drop(BLOCK, *[f"{p}_{c}" for c in cols for p in ("_o", "_lc", "_fc")])
+    found = {}
+    for c in cols:
+        for side, frame in (("p", here), ("n", backwards)):
+            for kind, source in (("p", f"_at_{c}"), ("v", c)):
+                near = F.last(source, True).over(frame)
+                found[f"_{side}{kind}_{c}"] = F.coalesce(near, F.col(f"_{side}{kind}_at_{c}"))
+    spare = [f"_{k}_at_{c}" for c in cols for k in ("pp", "pv", "np", "nv")]
+    return tagged.join(carry, [KEY, BLOCK]).withColumns(found).drop(BLOCK, *marks, *spare)
 
 
 # ------------------------------------------------------------- series values
