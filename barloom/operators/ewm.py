@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.ordered import difference
@@ -80,29 +80,53 @@ def ewm_mean(df: DataFrame, outputs: dict[str, tuple[str, float]], block_rows: i
     return fill_forward(means, list(outputs), block_rows)
 
 
+def gains_and_losses(t: DataFrame) -> DataFrame:
+    """Frame columns ``_gain`` and ``_loss`` of the close."""
+    move = difference("close")
+    t = t.withColumn("_move", move)
+    gain, loss = F.greatest("_move", F.lit(0.0)), F.greatest(-F.col("_move"), F.lit(0.0))
+    known = F.col("_move").isNotNull()
+    return t.withColumns({"_gain": F.when(known, gain), "_loss": F.when(known, loss)}).drop("_move")
+
+
+def strength_index(up: str, down: str) -> Column:
+    """Index of mean gain and mean loss; loss 0 with a gain gives 100, 0/0 null."""
+    u, d = F.col(up), F.col(down)
+    return F.when((d == 0) & (u > 0), 100.0).when(d > 0, 100 - 100 / (1 + u / d))
+
+
 def rsi_columns(t: DataFrame, rows: int, out: str) -> DataFrame:
-    """Frame columns of the relative strength index; loss 0 with a gain gives 100, 0/0 null."""
-    alpha = 1.0 / rows
-    t = t.withColumn("_move", difference("close"))
-    t = t.withColumns({"_gain": F.greatest("_move", F.lit(0.0)), "_loss": F.greatest(-F.col("_move"), F.lit(0.0))})
-    t = t.withColumns({c: F.when(F.col("_move").isNotNull(), F.col(c)) for c in ("_gain", "_loss")})
-    t = add_ewm(t, {"_up": ("_gain", alpha), "_down": ("_loss", alpha)})
-    index = (
-        F.when((F.col("_down") == 0) & (F.col("_up") > 0), 100.0)
-        .when(F.col("_down") > 0, 100 - 100 / (1 + F.col("_up") / F.col("_down")))
-    )
-    return t.withColumn(out, index).drop("_move", "_gain", "_loss", "_up", "_down")
+    """Frame columns of the relative strength index."""
+    t = add_ewm(gains_and_losses(t), {"_up": ("_gain", 1.0 / rows), "_down": ("_loss", 1.0 / rows)})
+    return t.withColumn(out, strength_index("_up", "_down")).drop("_gain", "_loss", "_up", "_down")
 
 
 def macd_columns(t: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
     """Frame columns of the difference of two means, its own mean, and the rest."""
-    tag = f"{fast}_{slow}_{signal}"
     t = add_ewm(t, {"_fast": ("close", span_alpha(fast)), "_slow": ("close", span_alpha(slow))})
+    return add_signal(t, fast, slow, signal)
+
+
+def add_signal(t: DataFrame, fast: int, slow: int, signal: int) -> DataFrame:
+    """Line, signal and histogram from the means ``_fast`` and ``_slow``."""
+    tag = f"{fast}_{slow}_{signal}"
     t = t.withColumn(f"macd_{tag}", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
     t = add_ewm(t, {f"macd_signal_{tag}": (f"macd_{tag}", span_alpha(signal))})
     return t.withColumn(f"macd_hist_{tag}", F.col(f"macd_{tag}") - F.col(f"macd_signal_{tag}"))
 
 
+def rsi_and_macd_columns(t: DataFrame, rows: int, fast: int, slow: int, signal: int) -> DataFrame:
+    """Both indicators with one set of running sums for all means of the first level."""
+    means = {
+        "_up": ("_gain", 1.0 / rows),
+        "_down": ("_loss", 1.0 / rows),
+        "_fast": ("close", span_alpha(fast)),
+        "_slow": ("close", span_alpha(slow)),
+    }
+    t = add_ewm(gains_and_losses(t), means).withColumn(f"rsi_{rows}", strength_index("_up", "_down"))
+    return add_signal(t.drop("_gain", "_loss", "_up", "_down"), fast, slow, signal)
+
+
 def rsi_reach(rows: int) -> int:
     return memory_rows(1.0 / rows) + 1
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.columns import crossover, finite_or_null, range_pct, rsi_state
 from barloom.operators.bars import BAR_COLUMNS
-from barloom.operators.ewm import macd_columns, macd_reach, rsi_columns, rsi_reach
+from barloom.operators.ewm import macd_reach, rsi_and_macd_columns, rsi_reach
 from barloom.operators.joins import MACRO_COLUMNS, join_macro
 from barloom.operators.ordered import log_return, rolling_mean_of, signed_volume, true_range
 from barloom.plans.blocks import BLOCK_ROWS, KEY, POS, TS, accumulate, over_blocks, running_total
@@ -30,8 +30,8 @@ def model_columns(columns: list[str]) -> tuple[list[str], list[str]]:
 
 def _frame_indicators(t: DataFrame, sma: int, rsi: int, atr: int) -> DataFrame:
     t = t.withColumns({f"sma_{sma}": rolling_mean_of("close", sma), "_tr": true_range(), "_signed": signed_volume()})
-    t = rsi_columns(t.withColumn(f"atr_{atr}", rolling_mean_of("_tr", atr)).drop("_tr"), rsi, f"rsi_{rsi}")
-    return macd_columns(t, 12, 26, 9)
+    t = t.withColumn(f"atr_{atr}", rolling_mean_of("_tr", atr)).drop("_tr")
+    return rsi_and_macd_columns(t, rsi, 12, 26, 9)
 
 
 def _relations(sma: int, rsi: int) -> dict:

@@ -212,17 +212,17 @@ def seasonal_decompose(
     trended = over_blocks(rows, add, behind=half, ahead=half, block_rows=block_rows)
     free = (F.col(column) - F.col("trend")) if additive else F.try_divide(column, "trend")
     phased = trended.withColumns({"_phase": F.pmod(F.col(POS) - 1, F.lit(period)), "_free": free})
-    means = phased.groupBy(KEY, "_phase").agg(F.avg("_free").alias("_raw"))
+    means = phased.groupBy(KEY, "_phase").agg(F.avg("_free").alias("_raw"), F.max(POS).alias("_last"))
     overall = F.avg("_raw").over(Window.partitionBy(KEY))  # ``period`` rows per series
     seasons = means.select(
-        KEY, "_phase", (F.col("_raw") - overall if additive else F.col("_raw") / overall).alias("_season")
+        KEY, "_phase", "_last", (F.col("_raw") - overall if additive else F.col("_raw") / overall).alias("_season")
     )
     # ``period`` values per series travel as one array, attached block by block.
+    in_order = F.sort_array(F.collect_list(F.struct("_phase", "_season")))
     packed = seasons.groupBy(KEY).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_phase", "_season"))), lambda s: s["_season"]).alias("_seasons")
+        F.transform(in_order, lambda s: s["_season"]).alias("_seasons"), F.max("_last").alias("n")
     )
-    sized = packed.join(series_length(rows), KEY)
-    out = attach_series(phased, sized, block_rows=block_rows).withColumn(
+    out = attach_series(phased, packed, block_rows=block_rows).withColumn(
         "seasonal", F.element_at("_seasons", (F.col("_phase") + 1).cast("int"))
     )
     rest = (
