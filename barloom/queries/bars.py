@@ -276,7 +276,7 @@ def _interpolated(c: str) -> str:
 
 @query(
     "interpolate_linear",
-    S.BARS.replace(":4", ":9"),
+    S.BARS.replace(":4", ":10"),
     f"WITH {_GRID} SELECT series_id, ts, pos, {', '.join(_interpolated(c) for c in B.BAR_COLUMNS)} FROM g",
 )
 def interpolate_linear(spark, sf_dir):
