@@ -15,6 +15,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_private: dict[str, str] = {}  # fallback folder by application, for local sessions only
+_shipped: set[str] = set()  # applications that have this package
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,9 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="barloom-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _private:
+        _private[app] = tempfile.mkdtemp(prefix="barloom-")
+    return _private[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -41,9 +44,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Hand this package to the Python workers, once per application; the same as ``--py-files``."""
     app = spark.sparkContext.applicationId

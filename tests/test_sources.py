@@ -61,3 +61,27 @@ def test_macro(spark, tmp_path):
 def test_order_grid(spark):
     got = [tuple(r) for r in order_grid(spark, [0, 1], [1], [0, 2]).collect()]
     assert sorted(got) == [(0, 1, 0), (0, 1, 2), (1, 1, 0), (1, 1, 2)]
+
+
+class _Session:
+    """Stands in for a session without the setting."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = type("C", (), {"master": master, "applicationId": f"app-{master}"})()
+
+
+def test_staging_folder():
+    from barloom.plans.staging import shared_folder
+
+    assert shared_folder(_Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_folder(_Session("local[2]")) == shared_folder(_Session("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(_Session("yarn"))
+
+
+def test_stage_reads_back_the_same(spark):
+    from barloom.plans.staging import stage
+
+    df = spark.range(10).selectExpr("id", "cast(id AS string) AS s")
+    assert sorted(stage(df, "t").collect()) == sorted(df.collect())
