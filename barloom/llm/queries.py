@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import substring_dedup
+from barloom.llm import near_dedup, substring_dedup
 from barloom.llm.steps import table
 
 # DuckDB: words as [^\x20\x09-\x0D]+, a null text has none
@@ -25,5 +25,28 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(co
   'string_agg', ' '), '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
-ORACLES = {"op2_substring_dedup": OP2_SQL}
+
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP4_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+x AS (SELECT doc_id, unnest(s) AS g FROM s),
+rare AS (SELECT x.doc_id, x.g, row_number() OVER (PARTITION BY x.doc_id ORDER BY c, x.g) AS k
+  FROM x JOIN (SELECT g, count(*) AS c FROM x GROUP BY g) USING (g)),
+prefix AS (SELECT doc_id, g, n FROM rare JOIN n USING (doc_id) WHERE k <= n - (75 * n + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b USING (g)
+  WHERE a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)),
+e AS (SELECT a, b FROM c JOIN s l ON l.doc_id = a JOIN s r ON r.doc_id = b
+  WHERE 100 * len(list_intersect(l.s, r.s)) >= 75 * (len(l.s) + len(r.s) - len(list_intersect(l.s, r.s)))),
+u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, u.b FROM reach JOIN u ON u.a = reach.r)
+SELECT doc_id, n AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n"""
+
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_near_dedup": op4_near_dedup}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL}
