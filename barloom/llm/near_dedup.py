@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.steps import per_batch, written
+from barloom.llm.steps import discard, per_batch, written
 from barloom.llm.wordtools import Words, mix, signed, slices, windows
 
 SHINGLE = 5
@@ -143,6 +143,7 @@ def components(edges: DataFrame) -> DataFrame:
         lower = written(lower.select("node", F.col("component").alias("was"), F.least("component", "low").alias("component")), "lower")
         owner = lower.select(F.col("node").alias("component"), F.col("component").alias("top"))
         labels = written(lower.join(owner, "component").select("node", "was", F.col("top").alias("component")), "labels")
+        discard(lower)
         if labels.where("component <> was").isEmpty():
             return labels.select("node", "component")
         labels = labels.drop("was")

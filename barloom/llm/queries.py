@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from barloom.llm import near_dedup, substring_dedup
+from barloom.llm import mixing, near_dedup, substring_dedup
 from barloom.llm.steps import table
 
 # DuckDB: words as [^\x20\x09-\x0D]+, a null text has none
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 
+def op1_mixing(spark, sf_dir):
+    return mixing.mixture_report(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark, sf_dir):
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, u.b FROM reach JOIN u ON u.a = reach.r)
 SELECT doc_id, n AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n"""
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op4_near_dedup": op4_near_dedup}
+QUERIES = {"op1_mixing": op1_mixing, "op2_substring_dedup": op2_substring_dedup, "op4_near_dedup": op4_near_dedup}
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL}
