@@ -52,3 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def numbered(df: DataFrame, key: str = "_row") -> DataFrame:
     """Rows with a number of their own, so that equal rows stay apart; write the result before reading it twice."""
     return df.withColumn(key, F.monotonically_increasing_id())
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later step reads."""
+    for df in tables:
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

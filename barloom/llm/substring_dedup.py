@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.steps import per_batch, written
+from barloom.llm.steps import discard, per_batch, written
 from barloom.llm.wordtools import Words, joined, signed, slices, windows
 
 WIDTH = 13
@@ -122,11 +122,15 @@ def removals(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: t
     shared = written(shared.where("low < high").select("anchor"), "anchors")
     lists = rows.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("_dedup_anchors"))
     lists = written(lists, "anchor-lists")
+    discard(shared)
     found = written(window_rows(docs.select("doc_id", "text").join(lists, "doc_id"), width, period, cover), "windows")
+    discard(lists)
     first = found.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     first = written(first.where("low < high").select("one", "two", "low"), "first-windows")
     later = found.join(first, ["one", "two"]).where("doc_id > low")
-    return written(later.groupBy("doc_id").agg(F.collect_set("one").alias("_dedup_windows")), "removals")
+    gone = written(later.groupBy("doc_id").agg(F.collect_set("one").alias("_dedup_windows")), "removals")
+    discard(found, first)
+    return gone
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
