@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import mixing, near_dedup, substring_dedup
+from barloom.llm import decontamination, mixing, near_dedup, substring_dedup
 from barloom.llm.steps import table
 
 # DuckDB: words as [^\x20\x09-\x0D]+, a null text has none
@@ -52,5 +52,28 @@ u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, u.b FROM reach JOIN u ON u.a = reach.r)
 SELECT doc_id, n AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n"""
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_substring_dedup": op2_substring_dedup, "op4_near_dedup": op4_near_dedup}
-ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL}
+
+def op6_decontamination(spark, sf_dir):
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_PARTS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, {_PARTS} AS w FROM documents), i AS (SELECT item_id, {_PARTS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[k:k + least(len(w), 13) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k
+  FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+m AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw USING (s, n)),
+h AS (SELECT doc_id, count(DISTINCT p) AS hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(hit, 0) > 0 AND 20 * coalesce(hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op4_near_dedup": op4_near_dedup,
+    "op6_decontamination": op6_decontamination,
+}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
