@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontamination, mixing, near_dedup, substring_dedup
+from barloom.llm import decontamination, language_id, mixing, near_dedup, substring_dedup
 from barloom.llm.steps import table
 
 # DuckDB: words as [^\x20\x09-\x0D]+, a null text has none
@@ -70,7 +70,13 @@ t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids F
 SELECT doc_id, len(w) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(hit, 0) > 0 AND 20 * coalesce(hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+
+def op10_language_id(spark, sf_dir):
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_language_id": op10_language_id,
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
