@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontamination, language_id, mixing, near_dedup, substring_dedup
+from barloom.llm import decontamination, language_id, mixing, near_dedup, substring_dedup, suffix_dedup
 from barloom.llm.steps import table
 
 # DuckDB: words as [^\x20\x09-\x0D]+, a null text has none
@@ -57,6 +57,10 @@ def op6_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 _PARTS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, {_PARTS} AS w FROM documents), i AS (SELECT item_id, {_PARTS} AS w FROM benchmark),
@@ -80,6 +84,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
 }
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}

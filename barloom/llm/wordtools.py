@@ -56,6 +56,14 @@ class Powers:
 _POWERS = Powers()
 
 
+def byte_sums(raw: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of weighted bytes, and the factors that make ``(sums[e] - sums[s]) * down[s]`` a hash of ``raw[s:e]``."""
+    up, down = _POWERS.get(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum((mix(_BYTE + np.uint64(salt)) if salt else _BYTE)[raw] * up[:-1], out=sums[1:])
+    return sums, down
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column end to end, and where each row begins (one entry more than rows).  Null: empty."""
     texts = texts.cast(pa.large_binary()) if not isinstance(texts, pa.LargeBinaryArray) else texts
