@@ -6,7 +6,8 @@ Signature: one permutation scatters the shingles over the 32-bit circle, the sec
 
 Documents with equal sets are one node.  A bucket with several nodes links them to a leader (a star, not all pairs);
 buckets that still hold different components get new leaders, and at last their remaining pairs across components are
-tested one by one, so no link between components is lost.  Pairs inside one component need no test.
+tested one by one, so no link between components is lost.  Pairs inside one component need no test, nor pairs whose sizes and
+unshared shingles rule the link out.
 
 Skew: a group of copies is one node, a bucket of m nodes makes m - 1 pairs a round, and joins are plain equi-joins whose
 large partitions Spark splits.
@@ -31,7 +32,7 @@ from barloom.llm.wordtools import Words, mix, signed, slices, windows
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 PERCENT = 75
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 
 def _sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,32 +160,57 @@ def _alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("shared") >= percent * whole).select("a", "b")
 
 
+def _several(members: DataFrame, column: str) -> DataFrame:
+    """The members of buckets in which ``column`` has more than one value."""
+    mixed = members.groupBy("bucket").agg(F.min(column).alias("low"), F.max(column).alias("high")).where("low < high")
+    return members.join(mixed.select("bucket"), "bucket")
+
+
+def _limits(sets: DataFrame, percent: int) -> DataFrame:
+    """``(node, n, cap)`` of the sets that can have a partner, and the largest size it can have.
+
+    A shingle that only one set has is in no intersection, so with ``m`` others in a set of ``n`` the condition
+    ``(100 + percent) * shared >= percent * (n + size)`` bounds the partner's size; it also is at least ``percent`` of ``n``.
+    """
+    own = sets.select("doc_id", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("c"), F.min("doc_id").alias("node"))
+    own = own.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = sets.select(F.col("doc_id").alias("node"), F.size("shingles").cast("long").alias("n")).join(own, "node", "left")
+    cap = F.expr(f"((n - coalesce(own, 0)) * {100 + percent}) div {percent} - n")
+    return sizes.withColumn("cap", cap).where(f"100 * cap >= {percent} * n").select("node", "n", "cap")
+
+
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """Confirmed links ``(a, b)`` between nodes that span every component of the graph of all links.
 
     ``nodes``: ``(doc_id, n, one, two, bands)``, one row for each distinct set.
     """
-    buckets = nodes.select(F.col("doc_id").alias("node"), "n", F.explode("bands").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    open_ = written(buckets.join(several.select("bucket"), "bucket"), "members")
-    involved = nodes.join(open_.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "one", "two")
+    buckets = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
+    members = written(_several(buckets, "node"), "members")
+    involved = nodes.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "one", "two")
     involved = written(involved, "involved")
     texts = docs.select("doc_id", "text").join(involved.select("doc_id"), "doc_id")
     sets = written(shingle_sets(texts, size).join(involved, ["doc_id", "one", "two"]).dropDuplicates(["doc_id"]), "sets")
-    near = f"least(n, m) * 100 >= greatest(n, m) * {percent}"
+    able = written(_limits(sets, percent), "able")
+    open_ = written(_several(members.join(able, "node"), "node"), "members")
+    discard(members, involved)
+    # the copy nearest to the others meets them in most buckets
+    mass = open_.join(open_.groupBy("bucket").agg(F.count("*").alias("k")), "bucket").groupBy("node").agg(F.sum("k").alias("mass"))
+    open_ = written(open_.join(mass, "node").withColumn("component", F.col("node")), "members")
+    fits = f"least(n, m) * 100 >= greatest(n, m) * {percent} AND n <= other_cap AND m <= cap"
     found = tried = None
-    open_ = open_.withColumn("component", F.col("node"))
     for turn in range(STAR_ROUNDS + 1):
+        first = -F.col("mass") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        rank = F.struct(first.alias("rank"), "node", "n", "cap", "component")
+        leaders = open_.groupBy("bucket").agg(F.min(rank).alias("lead"))
         if turn < STAR_ROUNDS:
-            first = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            rank = F.struct(first.alias("rank"), "node", "n", "component")
-            leaders = open_.groupBy("bucket").agg(F.min(rank).alias("lead"))
-            leaders = leaders.select("bucket", F.col("lead.node").alias("b"), F.col("lead.n").alias("m"), F.col("lead.component").alias("other"))
-            pairs = open_.join(leaders, "bucket").where("component <> other")
-        else:
-            other = open_.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = open_.join(other, "bucket").where("component < other")
-        pairs = pairs.where(near).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            other = leaders.selectExpr("bucket", "lead.node b", "lead.n m", "lead.cap other_cap", "lead.component other")
+            pairs = open_.join(other, "bucket").where("component <> other")
+        else:  # each remaining pair has one end outside its bucket's leading component
+            main = leaders.selectExpr("bucket", "lead.component AS main")
+            outside = open_.join(main, "bucket").where("component <> main").drop("main", "mass")
+            other = open_.selectExpr("bucket", "node b", "n m", "cap other_cap", "component other")
+            pairs = outside.join(other, "bucket").where("component <> other")
+        pairs = pairs.where(fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         more = written(_alike(pairs, sets, percent), "links")
@@ -193,9 +219,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, size: int =
             return found
         labels = components(found)
         now = open_.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        now = written(now, "labelled")
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        open_ = written(now.join(mixed.select("bucket"), "bucket"), "members")
+        open_ = written(_several(now, "component"), "members")
         if open_.isEmpty():
             return found
     return found
