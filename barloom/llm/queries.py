@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontamination, language_id, mixing, near_dedup, substring_dedup, suffix_dedup
+from barloom.llm import decontamination, html_extraction, language_id, mixing, near_dedup, substring_dedup, suffix_dedup
 from barloom.llm.steps import table
 
 # DuckDB: words as [^\x20\x09-\x0D]+, a null text has none
@@ -57,6 +57,10 @@ def op6_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return html_extraction.report(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op1_mixing": op1_mixing,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_near_dedup": op4_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_decontamination": op6_decontamination,
