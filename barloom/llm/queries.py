@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontamination, html_extraction, language_id, mixing, near_dedup, substring_dedup, suffix_dedup
+from barloom.llm import decontamination, html_extraction, language_id, metric_search, mixing, near_dedup, substring_dedup, suffix_dedup
 from barloom.llm.steps import table
 
 # DuckDB: words as [^\x20\x09-\x0D]+, a null text has none
@@ -83,6 +83,18 @@ def op10_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents"))
 
 
+def op9_metric_search(spark, sf_dir):
+    return metric_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10"""
+
 QUERIES = {
     "op10_language_id": op10_language_id,
     "op1_mixing": op1_mixing,
@@ -90,6 +102,7 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_near_dedup": op4_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op9_metric_search": op9_metric_search,
     "op6_decontamination": op6_decontamination,
 }
-ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
+ORACLES = {"op9_metric_search": OP9_SQL, "op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
