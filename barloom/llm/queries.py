@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontamination, html_extraction, language_id, metric_search, mixing, near_dedup, substring_dedup, suffix_dedup
+from barloom.llm import (
+    chat_format,
+    decontamination,
+    html_extraction,
+    language_id,
+    licence_scan,
+    metric_search,
+    mixing,
+    near_dedup,
+    substring_dedup,
+    suffix_dedup,
+)
 from barloom.llm.steps import table
 
 # DuckDB: words as [^\x20\x09-\x0D]+, a null text has none
@@ -83,6 +94,46 @@ def op10_language_id(spark, sf_dir):
     return language_id.report(table(spark, sf_dir, "documents"))
 
 
+def op7_chat_format(spark, sf_dir):
+    return chat_format.perspectives(table(spark, sf_dir, "conversations"))
+
+
+OP7_SQL = """
+WITH m AS (SELECT conv_id, turn, role AS speaker, coalesce(text, '') AS body FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM m WHERE speaker <> 'system'),
+b AS (SELECT m.*, perspective, coalesce(speaker = perspective, false) AS trained,
+  CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS role,
+  CASE WHEN speaker = perspective OR speaker = 'system' THEN NULL ELSE coalesce(speaker, 'unknown') END AS name FROM m JOIN p USING (conv_id)),
+h AS (SELECT *, '<|im_start|>' || role || coalesce(' name=' || name, '') || chr(10) AS head FROM b),
+r AS (SELECT *, head || body || '<|im_end|>' || chr(10) AS rendered FROM h),
+s AS (SELECT *, CAST(coalesce(sum(length(rendered)) OVER w, 0) AS BIGINT) AS begin, count(*) OVER w AS seq FROM r
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, perspective, turn, seq, role, name, rendered, begin, CASE WHEN trained THEN begin + length(head) END AS trained_from,
+  CASE WHEN trained THEN begin + length(rendered) END AS trained_to, trained FROM s"""
+
+
+def op8_licence_scan(spark, sf_dir):
+    return licence_scan.matches(table(spark, sf_dir, "documents"))
+
+
+_VALUES = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in t) + ")" for t in licence_scan.TEMPLATES)
+_PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+OP8_SQL = f"""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+e AS (SELECT doc_id, l, list_filter(range(0, len(l) + 2), lambda i: i = 0 OR i = len(l) + 1 OR trim(l[i], ' ') = '') AS e FROM l),
+u AS (SELECT doc_id, 'line' AS kind, i - 1 AS line, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM e)
+  UNION ALL SELECT doc_id, 'paragraph', e[k], array_to_string(l[e[k] + 1:e[k + 1] - 1], chr(10))
+  FROM (SELECT doc_id, l, e, unnest(range(1, len(e))) AS k FROM e) WHERE e[k + 1] - e[k] > 2
+  UNION ALL SELECT doc_id, 'text', 0, array_to_string(l, chr(10)) FROM e WHERE len(e) > 2),
+uw AS (SELECT doc_id, kind, line, {_PARTS} AS w FROM u), ug AS (SELECT doc_id, kind, line, {_PAIRS} AS g FROM uw WHERE len(w) BETWEEN 2 AND 600),
+t AS (SELECT * FROM (VALUES {_VALUES}) AS x(licence, variant, text)),
+tg AS (SELECT licence, variant, {_PAIRS} AS g FROM (SELECT licence, variant, {_PARTS} AS w FROM t)),
+s AS (SELECT doc_id, kind, line, licence, variant, 2.0::DOUBLE * len(list_intersect(ug.g, tg.g)) / (len(ug.g) + len(tg.g)) AS dice
+  FROM ug JOIN tg ON 3 * len(ug.g) >= 2 * len(tg.g) AND 2 * len(ug.g) <= 3 * len(tg.g))
+SELECT doc_id, kind, line, licence, variant, dice FROM s WHERE dice >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY doc_id, kind, line ORDER BY dice DESC, licence, variant) = 1"""
+
+
 def op9_metric_search(spark, sf_dir):
     return metric_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -102,7 +153,9 @@ QUERIES = {
     "op3_html_extraction": op3_html_extraction,
     "op4_near_dedup": op4_near_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_chat_format": op7_chat_format,
+    "op8_licence_scan": op8_licence_scan,
     "op9_metric_search": op9_metric_search,
     "op6_decontamination": op6_decontamination,
 }
-ORACLES = {"op9_metric_search": OP9_SQL, "op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
+ORACLES = {"op7_chat_format": OP7_SQL, "op8_licence_scan": OP8_SQL, "op9_metric_search": OP9_SQL, "op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
