@@ -33,6 +33,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 PERCENT = 75
 STAR_ROUNDS = 2
+GROUPS = 32  # of shingles, for the bound on what two sets can share
 
 
 def _sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +110,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: i
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, one, two, shingles)`` of each row."""
+    """``(doc_id, one, two, shingles, groups)`` of each row; ``groups`` counts the shingles by value modulo ``GROUPS``."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
@@ -119,16 +120,19 @@ def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             if not len(full):
                 continue
             begins = (np.cumsum(sizes) - sizes)[full]
+            group = (value & np.uint64(GROUPS - 1)).astype(np.int64)
+            by_group = np.bincount(row * GROUPS + group, minlength=len(part) * GROUPS).astype(np.int32).reshape(-1, GROUPS)
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id").take(pa.array(full)),
                     "one": signed(np.add.reduceat(mix(value ^ np.uint64(1)), begins)),
                     "two": signed(np.add.reduceat(mix(value ^ np.uint64(2)), begins)),
                     "shingles": pa.ListArray.from_arrays(pa.array(np.r_[begins, len(value)].astype(np.int32)), pa.array(signed(value))),
+                    "groups": pa.FixedSizeListArray.from_arrays(pa.array(by_group[full].ravel()), GROUPS).cast(pa.list_(pa.int32())),
                 }
             )
 
-    return per_batch(docs.select("doc_id", "text"), work, "doc_id long, one long, two long, shingles array<long>")
+    return per_batch(docs.select("doc_id", "text"), work, "doc_id long, one long, two long, shingles array<long>, groups array<int>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -167,16 +171,20 @@ def _several(members: DataFrame, column: str) -> DataFrame:
 
 
 def _limits(sets: DataFrame, percent: int) -> DataFrame:
-    """``(node, n, cap)`` of the sets that can have a partner, and the largest size it can have.
+    """``(node, n, cap, sketch)`` of the sets that can have a partner.
 
-    A shingle that only one set has is in no intersection, so with ``m`` others in a set of ``n`` the condition
-    ``(100 + percent) * shared >= percent * (n + size)`` bounds the partner's size; it also is at least ``percent`` of ``n``.
+    A shingle that only one set has is in no intersection.  With ``m`` others in a set of ``n`` the condition
+    ``(100 + percent) * shared >= percent * (n + size)`` bounds the partner's size by ``cap``; it also is at least ``percent``
+    of ``n``.  ``sketch`` counts the others by group: two sets share at most the sum of the smaller counts.
     """
+    group = F.pmod("g", F.lit(GROUPS)).cast("int").alias("group")
     own = sets.select("doc_id", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("c"), F.min("doc_id").alias("node"))
-    own = own.where("c = 1").groupBy("node").agg(F.count("*").alias("own"))
-    sizes = sets.select(F.col("doc_id").alias("node"), F.size("shingles").cast("long").alias("n")).join(own, "node", "left")
-    cap = F.expr(f"((n - coalesce(own, 0)) * {100 + percent}) div {percent} - n")
-    return sizes.withColumn("cap", cap).where(f"100 * cap >= {percent} * n").select("node", "n", "cap")
+    own = own.where("c = 1").groupBy("node", group).agg(F.count("*").cast("int").alias("c"))
+    own = own.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("group", "c"))).alias("own"), F.sum("c").alias("lost"))
+    sizes = sets.select(F.col("doc_id").alias("node"), F.size("shingles").cast("long").alias("n"), "groups").join(own, "node", "left")
+    cap = F.expr(f"((n - coalesce(lost, 0)) * {100 + percent}) div {percent} - n")
+    sketch = F.expr("transform(groups, (c, g) -> c - coalesce(own[g], 0))")
+    return sizes.withColumn("cap", cap).where(f"100 * cap >= {percent} * n").select("node", "n", "cap", sketch.alias("sketch"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
@@ -196,19 +204,20 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, size: int =
     # the copy nearest to the others meets them in most buckets
     mass = open_.join(open_.groupBy("bucket").agg(F.count("*").alias("k")), "bucket").groupBy("node").agg(F.sum("k").alias("mass"))
     open_ = written(open_.join(mass, "node").withColumn("component", F.col("node")), "members")
-    fits = f"least(n, m) * 100 >= greatest(n, m) * {percent} AND n <= other_cap AND m <= cap"
+    most = "aggregate(zip_with(sketch, other_sketch, (x, y) -> least(x, y)), 0, (t, v) -> t + v)"
+    fits = f"least(n, m) * 100 >= greatest(n, m) * {percent} AND n <= other_cap AND m <= cap AND {100 + percent} * {most} >= {percent} * (n + m)"
     found = tried = None
     for turn in range(STAR_ROUNDS + 1):
         first = -F.col("mass") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        rank = F.struct(first.alias("rank"), "node", "n", "cap", "component")
+        rank = F.struct(first.alias("rank"), "node", "n", "cap", "sketch", "component")
         leaders = open_.groupBy("bucket").agg(F.min(rank).alias("lead"))
         if turn < STAR_ROUNDS:
-            other = leaders.selectExpr("bucket", "lead.node b", "lead.n m", "lead.cap other_cap", "lead.component other")
+            other = leaders.selectExpr("bucket", "lead.node b", "lead.n m", "lead.cap other_cap", "lead.sketch other_sketch", "lead.component other")
             pairs = open_.join(other, "bucket").where("component <> other")
         else:  # each remaining pair has one end outside its bucket's leading component
             main = leaders.selectExpr("bucket", "lead.component AS main")
             outside = open_.join(main, "bucket").where("component <> main").drop("main", "mass")
-            other = open_.selectExpr("bucket", "node b", "n m", "cap other_cap", "component other")
+            other = open_.selectExpr("bucket", "node b", "n m", "cap other_cap", "sketch other_sketch", "component other")
             pairs = outside.join(other, "bucket").where("component <> other")
         pairs = pairs.where(fits).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
