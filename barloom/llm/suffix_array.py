@@ -47,7 +47,7 @@ def _induce(sa: np.ndarray, t: np.ndarray, wanted: np.ndarray, head: np.ndarray)
         if low < end:  # later entries of the block are not final yet
             keep = place[order] < low - at
             bucket, left, target = bucket[keep], left[keep], target[keep]
-            step, at = max(64, 2 * (low - at)), low
+            step, at = min(_MOST, max(64, 2 * (low - at))), low
         else:
             at, step = end, min(2 * step, _MOST)
         sa[target] = left
