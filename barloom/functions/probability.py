@@ -28,19 +28,14 @@ def normal_cdf_value(x: float) -> float:
 
 
 def chi2_tail_value(x: float, df: int) -> float:
-    """P(chi-square with df degrees of freedom > x), by the finite sum over half of df."""
+    """P(chi-square with df degrees of freedom > x): a finite sum over half of df, each term from its logarithm."""
     half = x / 2.0
-    if df % 2 == 0:
-        term, total = 1.0, 1.0
-        for j in range(1, df // 2):
-            term *= half / j
-            total += term
-        return math.exp(-half) * total
-    total, term = 0.0, math.sqrt(half) * 2.0 / math.sqrt(math.pi)
-    for j in range(1, df // 2 + 1):
-        total += term
-        term *= half / (j + 0.5)
-    return math.erfc(math.sqrt(half)) + math.exp(-half) * total
+    if half <= 0:
+        return 1.0
+    shift = 0.0 if df % 2 == 0 else 0.5
+    powers = [j + shift for j in range(df // 2)]
+    total = sum(math.exp(k * math.log(half) - half - math.lgamma(k + 1)) for k in powers)
+    return min(1.0, total if df % 2 == 0 else math.erfc(math.sqrt(half)) + total)
 
 
 def unit_root_p_value(stat: float) -> float:

@@ -9,22 +9,28 @@ from barloom.functions.columns import RSI_LABELS
 from barloom.plans.blocks import BLOCK_ROWS, KEY, POS, TS, attach_series, ordered, over_blocks, series_length, trailing
 
 
-def _in_train(c: str):
-    return F.when(F.col("split") == "train", F.col(c))
+FIRST_FIT = ("train",)
+REFIT = ("train", "valid")  # the joined history that a model is fitted on again before the test
 
 
-def scaler_table(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """Per series: mean and population deviation of the train rows; deviation 0 becomes 1."""
+def _fitted_on(c: str, fit_splits: tuple[str, ...]):
+    return F.when(F.col("split").isin(*fit_splits), F.col(c))
+
+
+def scaler_table(df: DataFrame, numeric: list[str], fit_splits: tuple[str, ...] = FIRST_FIT) -> DataFrame:
+    """Per series: mean and population deviation of the rows of ``fit_splits``; deviation 0 becomes 1."""
     stats = []
     for c in numeric:
-        deviation = F.stddev_pop(_in_train(c))
-        stats += [F.avg(_in_train(c)).alias(f"_mean_{c}"), F.when(deviation == 0, 1.0).otherwise(deviation).alias(f"_std_{c}")]
+        deviation = F.stddev_pop(_fitted_on(c, fit_splits))
+        stats += [F.avg(_fitted_on(c, fit_splits)).alias(f"_mean_{c}"), F.when(deviation == 0, 1.0).otherwise(deviation).alias(f"_std_{c}")]
     return series_length(df, *stats)
 
 
-def standard_scale(df: DataFrame, numeric: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``z_c`` for each numeric column, fitted on train rows only."""
-    scaled = attach_series(df, scaler_table(df, numeric), block_rows=block_rows)
+def standard_scale(
+    df: DataFrame, numeric: list[str], block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT
+) -> DataFrame:
+    """Add ``z_c`` for each numeric column, fitted on the rows of ``fit_splits`` only."""
+    scaled = attach_series(df, scaler_table(df, numeric, fit_splits), block_rows=block_rows)
     return scaled.withColumns(
         {f"z_{c}": (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}") for c in numeric}
     ).drop("n", *[f"_{s}_{c}" for c in numeric for s in ("mean", "std")])
@@ -34,10 +40,12 @@ def state_columns() -> list[str]:
     return [f"state_{label}" for label in sorted(RSI_LABELS)]
 
 
-def one_hot_state(df: DataFrame, column: str = "rsi_state", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """0/1 column per label in alphabetical order; a label unseen in train gives all zeros."""
+def one_hot_state(
+    df: DataFrame, column: str = "rsi_state", block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT
+) -> DataFrame:
+    """0/1 column per label in alphabetical order; a label unseen in ``fit_splits`` gives all zeros."""
     seen = {
-        label: F.coalesce(F.max((F.col("split") == "train") & (F.col(column) == label)), F.lit(False)).alias(f"_seen_{label}")
+        label: F.coalesce(F.max(F.col("split").isin(*fit_splits) & (F.col(column) == label)), F.lit(False)).alias(f"_seen_{label}")
         for label in sorted(RSI_LABELS)
     }
     flagged = attach_series(df, series_length(df, *seen.values()), block_rows=block_rows)
@@ -48,18 +56,20 @@ def one_hot_state(df: DataFrame, column: str = "rsi_state", block_rows: int = BL
     return flagged.withColumns(hot).drop("n", *[f"_seen_{label}" for label in seen])
 
 
-def model_matrix(df: DataFrame, numeric: list[str], target: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def model_matrix(
+    df: DataFrame, numeric: list[str], target: str, block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT
+) -> DataFrame:
     """Scaled numeric and one-hot columns as one array ``x``, with the scale of the target.
 
-    Both fits share one pass and one join.
+    Both are fitted on the rows of ``fit_splits`` and share one pass and one join.
     """
     labels = sorted(RSI_LABELS)
     seen = [
-        F.coalesce(F.max((F.col("split") == "train") & (F.col("rsi_state") == l)), F.lit(False)).alias(f"_seen_{l}")
+        F.coalesce(F.max(F.col("split").isin(*fit_splits) & (F.col("rsi_state") == l)), F.lit(False)).alias(f"_seen_{l}")
         for l in labels
     ]
-    stats = [F.avg(_in_train(c)).alias(f"_mean_{c}") for c in numeric] + [
-        F.stddev_pop(_in_train(c)).alias(f"_std_{c}") for c in numeric
+    stats = [F.avg(_fitted_on(c, fit_splits)).alias(f"_mean_{c}") for c in numeric] + [
+        F.stddev_pop(_fitted_on(c, fit_splits)).alias(f"_std_{c}") for c in numeric
     ]
     fitted = series_length(df, *stats, *seen)
 
@@ -85,17 +95,16 @@ def _window(rows: int, column: str = "x"):
 
 
 def lag_feature_table(
-    matrix: DataFrame, window: int, horizons: list[int], block_rows: int = BLOCK_ROWS
+    matrix: DataFrame, window: int, horizons: list[int], block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT
 ) -> DataFrame:
     """``features`` = the ``window`` rows ending here, ``label_h`` = scaled return h rows on.
-    A label is null unless the whole window and the label lie in the same split."""
+    A label is null unless the whole window and the label lie in the same split; the ``fit_splits`` count as one."""
+    side = F.when(F.col("split").isin(*fit_splits), F.lit(fit_splits[0])).otherwise(F.col("split"))
 
     def add(t: DataFrame) -> DataFrame:
         o = ordered()
-        first = F.lag("split", window - 1).over(o)
-        labels = {
-            f"label_{h}": F.when(F.lead("split", h).over(o) == first, F.lead("z", h).over(o)) for h in horizons
-        }
+        first = F.lag(side, window - 1).over(o)
+        labels = {f"label_{h}": F.when(F.lead(side, h).over(o) == first, F.lead("z", h).over(o)) for h in horizons}
         return t.withColumns({"features": _window(window), **labels})
 
     table = over_blocks(matrix, add, behind=window - 1, ahead=max(horizons), block_rows=block_rows)

@@ -99,6 +99,7 @@ def linear_learner(**params) -> LinearRegression:
 
 def fit_direct(lag_table: DataFrame, learner, h: int, splits: tuple[str, ...] = ("train",)):
     """Fit one learner for one horizon on the complete rows of the given splits, all series pooled."""
+    check_horizon(h, lag_table)
     rows = lag_table.where(F.col("split").isin(*splits) & F.col(f"label_{h}").isNotNull())
     return learner.fit(rows.select(array_to_vector("features").alias("vector"), F.col(f"label_{h}").alias("label")))
 
@@ -114,9 +115,11 @@ def apply_direct(fitted, frames: DataFrame, name: str) -> DataFrame:
     )
 
 
-def check_horizon(h: int, longest: int) -> None:
-    if not 1 <= h <= longest:
-        raise ValueError(f"the horizon must lie between 1 and {longest}")
+def check_horizon(h: int, lag_table: DataFrame) -> None:
+    """A learner can be fitted for the horizons that the table has labels for."""
+    known = sorted(int(c.removeprefix("label_")) for c in lag_table.columns if c.startswith("label_"))
+    if h not in known:
+        raise ValueError(f"no labels for horizon {h}; the table has {known}")
 
 
 def direct_forecast(

@@ -19,7 +19,8 @@ from barloom.plans.blocks import (
 
 
 def on_grid(df: DataFrame, step_seconds: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows whose distance from the start of their series is a whole number of steps."""
+    """Rows whose distance from the start of their series is a whole number of steps; grids begin at whole seconds."""
+    df = df.where(F.expr(f"extract(SECOND FROM {TS}) % 1 = 0"))
     seconds = epoch_seconds(TS)
     starts = df.groupBy(KEY).agg(F.min(seconds).alias("_start"), F.max(seconds).alias("_end"))
     # Starts are spread over time blocks before the join, so a hot series is not one join key.

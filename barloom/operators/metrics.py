@@ -26,7 +26,8 @@ def mape(predictions: DataFrame) -> DataFrame:
 
 def da_by_change(predictions: DataFrame, h: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Direction of change over h rows of truth against that of the prediction; 50 if empty.
-    ``predictions`` holds one model and its positions have no holes."""
+    Each model of a series is numbered by itself; its positions have no holes."""
+    own = predictions.withColumn("_series", F.col(KEY)).withColumn(KEY, F.concat_ws("\x1f", KEY, "model"))
 
     def add(t: DataFrame) -> DataFrame:
         o = ordered()
@@ -34,9 +35,9 @@ def da_by_change(predictions: DataFrame, h: int, block_rows: int = BLOCK_ROWS) -
             {"_dt": F.col("true") - F.lag("true", h).over(o), "_dp": F.col("pred") - F.lag("pred", h).over(o)}
         )
 
-    moved = over_blocks(renumber(predictions, block_rows), add, behind=h, block_rows=block_rows)
+    moved = over_blocks(renumber(own, block_rows), add, behind=h, block_rows=block_rows)
     hit = F.when(F.col("_dt").isNotNull() & F.col("_dp").isNotNull(), F.signum("_dt") == F.signum("_dp"))
-    return moved.groupBy(KEY, "model").agg(_share(hit, 50.0).alias("da"))
+    return moved.groupBy(F.col("_series").alias(KEY), "model").agg(_share(hit, 50.0).alias("da"))
 
 
 def direction_hit(true: str = "true", pred: str = "pred", base: str = "base") -> Column:

@@ -72,14 +72,12 @@ def exact_quantiles(
     low, high = F.floor(target), F.ceil(target)
 
     def value_at(rank):
-        # Rank r (from 0) lies in a counted row when _from <= r < _to.  Outside the bracket only
-        # the value next to it can be asked for: the largest below or the smallest above.
-        return F.max(
-            F.when(
-                (F.col("_from") <= rank) & (rank < F.col("_to")),
-                F.when(F.col("_side") == -1, F.col("_max")).otherwise(F.col("_min")),
-            )
-        )
+        # Rank r (from 0) lies in a counted row when _from <= r < _to.  Outside the bracket only the value next to it
+        # is known, the largest below or the smallest above; any other rank there means that the sketch missed.
+        edge = F.when(F.col("_side") == -1, rank == F.col("_to") - 1).when(F.col("_side") == 1, rank == F.col("_from")).otherwise(True)
+        missed = F.raise_error(F.lit("a quantile lies outside its bracket: raise the accuracy"))
+        value = F.when(F.col("_side") == -1, F.col("_max")).otherwise(F.col("_min"))
+        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_to")), F.when(edge, value).otherwise(missed)))
 
     picked = (
         ranked.groupBy(*keys, "_i")

@@ -51,9 +51,13 @@ def describe_exact(df: DataFrame, columns: list[str], block_rows: int = BLOCK_RO
     return wide.select(KEY, F.explode(F.array(*rows)).alias("_r")).select(KEY, "_r.*")
 
 
-def _binned(df: DataFrame, column: str, bins: int, block_rows: int) -> DataFrame:
+def _spans(df: DataFrame, column: str, bins: int) -> DataFrame:
     spans = series_length(df, F.min(column).alias("_mn"), F.max(column).alias("_mx"))
-    spans = spans.withColumn("_width", (F.col("_mx") - F.col("_mn")) / bins)
+    return spans.withColumn("_width", (F.col("_mx") - F.col("_mn")) / bins)
+
+
+def _binned(df: DataFrame, column: str, bins: int, block_rows: int) -> DataFrame:
+    spans = _spans(df, column, bins)
     place = F.coalesce(F.floor(F.try_divide(F.col(column) - F.col("_mn"), F.col("_width"))), F.lit(0))
     return (
         attach_series(df.select(KEY, POS, column).where(F.col(column).isNotNull()), spans, block_rows=block_rows)
@@ -62,10 +66,11 @@ def _binned(df: DataFrame, column: str, bins: int, block_rows: int) -> DataFrame
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Equal-width bins per series (the last is closed): edges, count and density."""
-    counts = _binned(df, column, bins, block_rows).groupBy(KEY, "bin", "_mn", "_width").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    """Equal-width bins per series (the last is closed), empty ones included: edges, count and density."""
+    filled = _binned(df, column, bins, block_rows).groupBy(KEY, "bin").agg(F.count(F.lit(1)).alias("count"))
+    edges = _spans(df, column, bins).where(F.col("_mn").isNotNull())
+    edges = edges.select(KEY, "_mn", "_width", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
+    counts = edges.join(filled, [KEY, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     total = F.sum("count").over(Window.partitionBy(KEY))  # at most ``bins`` rows per series
     left = F.col("_mn") + F.col("bin") * F.col("_width")
     return counts.select(
@@ -133,6 +138,11 @@ def monthly_box_stats(df: DataFrame, column: str) -> DataFrame:
     )
 
 
+def price_volume_pairs(df: DataFrame) -> DataFrame:
+    """The points of a volume-price scatter: rows that have both."""
+    return df.where(F.col("volume").isNotNull() & F.col("close").isNotNull()).select(KEY, TS, "volume", "close")
+
+
 def price_volume_correlation(df: DataFrame) -> DataFrame:
     return df.groupBy(KEY).agg(F.count(F.lit(1)).alias("pairs"), F.corr("volume", "close").alias("corr"))
 

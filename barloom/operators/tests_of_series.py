@@ -15,18 +15,24 @@ from barloom.operators.ordered import lagged
 from barloom.plans.blocks import BLOCK_ROWS, KEY, POS, TS, attach_series, over_blocks, renumber, series_length
 
 
+TINY = 1e-14  # a residual below this share of the changes is rounding
+
+
 def default_lags(n: int) -> int:
     """Longest lag tried for n observations."""
     return max(0, min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2))
 
 
-def _adf_from_gram(gram: np.ndarray, m: int, lags: int) -> tuple[int, float]:
-    """Pick the lag order by the information criterion on the common sample.
-    Columns: constant, level, lagged changes 1..lags, change."""
-    y = lags + 2
-    best, best_score = 0, math.inf
+def _adf_from_gram(gram: np.ndarray, m: int, lags: int, y: int) -> tuple[int | None, float]:
+    """Pick the lag order by the information criterion on the common sample; none where no order leaves a residual.
+    Columns: constant, level, lagged changes, and the change as column ``y``."""
+    best, best_score = None, math.inf
     for k in range(lags + 1):
+        if m <= k + 2:
+            break
         _, ssr, _ = solve(gram, list(range(k + 2)), y)
+        if not ssr > TINY * gram[y, y]:
+            continue
         score = m * (math.log(2 * math.pi * ssr / m) + 1.0) + 2 * (k + 2)
         if score < best_score:
             best, best_score = k, score
@@ -36,8 +42,9 @@ def _adf_from_gram(gram: np.ndarray, m: int, lags: int) -> tuple[int, float]:
 def adf_test(df: DataFrame, column: str, max_lag: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant, lag order by AIC.
 
-    ``max_lag`` is usually ``default_lags(n)``.  The lag order is chosen on rows that have all
-    ``max_lag`` lags; the statistic uses every row that has the chosen lags, so each row enters
+    A series tries ``default_lags`` of its own length, at most ``max_lag``; one that is too short, constant or without
+    residual gets nulls.  The lag order is chosen on rows that have all
+    those lags; the statistic uses every row that has the chosen lags, so each row enters
     one of ``max_lag + 1`` nested sums: rows are keyed by the number of lags they have.
     """
     rows = renumber(df.select(KEY, POS, column).where(F.col(column).isNotNull()), block_rows)
@@ -61,15 +68,27 @@ def adf_test(df: DataFrame, column: str, max_lag: int, block_rows: int = BLOCK_R
         "m",
     )
 
+    measures = ["stat", "p_value", "used_lag", "nobs", "crit_1", "crit_5", "crit_10", "aic"]
+
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         grams = {int(d): (square(g), int(m)) for d, g, m in zip(pdf["depth"], pdf["gram"], pdf["m"])}
-        full, m = grams[max_lag]
-        lag, score = _adf_from_gram(full, m, max_lag)
+        unknown = pd.DataFrame([{KEY: pdf[KEY].iloc[0]} | dict.fromkeys(measures)])
+        rows_in_all = sum(c for _, c in grams.values())
+        most = min(max_lag, default_lags(rows_in_all + 1))
+        common = [v for d, v in grams.items() if d >= most]
+        if not common:
+            return unknown
+        lag, score = _adf_from_gram(sum(g for g, _ in common), sum(c for _, c in common), most, max_lag + 2)
+        if lag is None:
+            return unknown
         fits = [v for d, v in grams.items() if d >= lag]
         gram, used = sum(g for g, _ in fits), sum(c for _, c in fits)
         xs = list(range(lag + 2))
         beta, ssr, inverse = solve(gram, xs, max_lag + 2)
-        stat = beta[1] / math.sqrt(ssr / (used - len(xs)) * inverse[1, 1])
+        variance = ssr / (used - len(xs)) * inverse[1, 1] if used > len(xs) else 0.0
+        if not variance > 0:
+            return unknown
+        stat = beta[1] / math.sqrt(variance)
         levels = {c: unit_root_critical(c, used) for c in ("crit_1", "crit_5", "crit_10")}
         return pd.DataFrame(
             [{KEY: pdf[KEY].iloc[0], "stat": stat, "p_value": unit_root_p_value(stat), "used_lag": lag,

@@ -49,25 +49,31 @@ def residual_panel(predictions: DataFrame, lags: int, block_rows: int = BLOCK_RO
 
 def evaluate_all(
     bars: DataFrame, features: DataFrame, numeric: list[str], h: int, window: int, order=(5, 1, 0),
-    learners: dict[str, object] | None = None, align: str = "strict", block_rows: int = BLOCK_ROWS,
+    learners: dict[str, object] | None = None, align: str = "strict", block_rows: int = BLOCK_ROWS, ar_memory: int = 40,
 ) -> DataFrame:
     """Predictions on the test rows of all models: persistence, autoregression, direct learners and
     a stack of persistence with each learner.
 
+    Models that are tested are fitted on train and valid together, scaler and labels included; the stack is fitted on
+    what first fits (train only) predict for valid.  The autoregression sees ``ar_memory`` rows more than the window,
+    so that its errors at the start of the window have died out.
+
     ``bars`` and ``features`` carry ``split`` and share positions.  Both should be staged tables:
     each model reads them.
     """
     learners = learners or {"linear": forecasters.linear_learner()}
-    matrix = stage(datasets.model_matrix(features, numeric, "log_returns_close", block_rows), "matrix")
-    lag_table = datasets.lag_feature_table(matrix, window, [h], block_rows)
+    tables, frames = {}, {}
+    for fit_splits, split in ((datasets.FIRST_FIT, "valid"), (datasets.REFIT, "test")):
+        matrix = stage(datasets.model_matrix(features, numeric, "log_returns_close", block_rows, fit_splits), "matrix")
+        tables[split] = datasets.lag_feature_table(matrix, window, [h], block_rows, fit_splits)
+        frames[split] = datasets.walk_forward_frames(matrix, window, h, split, align, block_rows)
     parts = [
         forecasters.persistence(bars, h, "test", block_rows),
-        autoregression.ar_backtest(bars, order, window + 40, h, "test", block_rows=block_rows),
+        autoregression.ar_backtest(bars, order, window + ar_memory, h, "test", datasets.REFIT, block_rows=block_rows),
     ]
-    frames = {s: datasets.walk_forward_frames(matrix, window, h, s, align, block_rows) for s in ("valid", "test")}
     for name, learner in learners.items():
-        first = forecasters.fit_direct(lag_table, learner, h, ("train",))
-        refit = forecasters.fit_direct(lag_table, learner, h, ("train", "valid"))
+        first = forecasters.fit_direct(tables["valid"], learner, h, datasets.FIRST_FIT)
+        refit = forecasters.fit_direct(tables["test"], learner, h, datasets.REFIT)
         valid = forecasters.apply_direct(first, frames["valid"], name)
         test = forecasters.apply_direct(refit, frames["test"], name).select(*forecasters.PREDICTION_COLUMNS)
         bases = ["persistence", name]

@@ -7,6 +7,7 @@ executor re-reads a file instead of replaying the job.
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -29,6 +30,7 @@ def shared_folder(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _private:
         _private[app] = tempfile.mkdtemp(prefix="barloom-")
+        atexit.register(shutil.rmtree, _private[app], ignore_errors=True)
     return _private[app]
 
 

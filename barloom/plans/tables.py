@@ -28,7 +28,7 @@ def event_bars(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
     """Event values as bars, one series per event type."""
     return ticks_to_bars(
         read(spark, sf_dir, "events"),
-        F.col("event_type"), F.col("ts"), F.col("value"), F.col("event_id"), freq,
+        F.col("event_type"), F.col("ts"), F.col("value"), F.struct("ts", "event_id"), freq,
     )
 
 

@@ -44,13 +44,13 @@ def describe_exact(spark, sf_dir):
 
 
 def _histogram_sql(source: str, x: str, bins: int) -> str:
-    return f"""SELECT series_id, bin, mn + bin * width AS "left", mn + bin * width + width AS "right", count(*) AS "count",
-  count(*) / (max(n) * width) AS density FROM (
+    return f"""SELECT series_id, i AS bin, mn + i * width AS "left", mn + i * width + width AS "right", count(*) FILTER (bin = i) AS "count",
+  count(*) FILTER (bin = i) / (max(n) * width) AS density FROM (
     SELECT series_id, mn, width, n, least(CAST(floor(({x} - mn) / width) AS BIGINT), {bins - 1}) AS bin FROM (
       SELECT series_id, {x}, min({x}) OVER (PARTITION BY series_id) AS mn, count({x}) OVER (PARTITION BY series_id) AS n,
         (max({x}) OVER (PARTITION BY series_id) - min({x}) OVER (PARTITION BY series_id)) / {bins} AS width
-      FROM {source} WHERE {x} IS NOT NULL) AS a) AS b
-  GROUP BY series_id, bin, mn, width"""
+      FROM {source} WHERE {x} IS NOT NULL) AS a) AS b, range(0, {bins}) AS r(i)
+  GROUP BY series_id, i, mn, width"""
 
 
 _HIST = "series_id bin:i left:6 right:6 count:i density:9"
@@ -100,12 +100,17 @@ def monthly_box_stats(spark, sf_dir):
     return stats.monthly_box_stats(stage(T.daily(spark, sf_dir), "daily"), "close")
 
 
+@query("price_volume_pairs", "series_id ts:t volume:4 close:4", f"WITH {S.HOURLY} SELECT series_id, ts, volume, close FROM h")
+def price_volume_pairs(spark, sf_dir):
+    return stats.price_volume_pairs(T.event_bars(spark, sf_dir, "h"))
+
+
 @query(
-    "price_volume_pairs",
+    "price_volume_correlation",
     "series_id pairs:i corr:6",
     f"WITH {S.HOURLY} SELECT series_id, count(*) AS pairs, corr(volume, close) AS corr FROM h GROUP BY 1",
 )
-def price_volume_pairs(spark, sf_dir):
+def price_volume_correlation(spark, sf_dir):
     return stats.price_volume_correlation(T.event_bars(spark, sf_dir, "h"))
 
 

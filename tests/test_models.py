@@ -151,7 +151,7 @@ def test_selection(spark):
     with pytest.raises(ValueError):
         metrics.leaderboard(df, "other")
     with pytest.raises(ValueError):
-        forecasters.check_horizon(8, 7)
+        forecasters.check_horizon(8, spark.createDataFrame([], "label_1 double, label_7 double"))
 
 
 def test_empty_direction_defaults(series):
