@@ -196,7 +196,8 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int = PERCENT, size: int =
     members = written(_several(buckets, "node"), "members")
     involved = nodes.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "one", "two")
     involved = written(involved, "involved")
-    texts = docs.select("doc_id", "text").join(involved.select("doc_id"), "doc_id")
+    # one way at every size: a small list would be broadcast, a longer one shuffle the texts
+    texts = docs.select("doc_id", "text").join(involved.select("doc_id").hint("merge"), "doc_id")
     sets = written(shingle_sets(texts, size).join(involved, ["doc_id", "one", "two"]).dropDuplicates(["doc_id"]), "sets")
     able = written(_limits(sets, percent), "able")
     open_ = written(_several(members.join(able, "node"), "node"), "members")
