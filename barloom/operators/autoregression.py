@@ -1,23 +1,23 @@
 """ARIMA-style forecasts by two-stage least squares (Hannan and Rissanen 1982).
 
-Parameters are fitted once on the train rows from summed cross-products; every
-walk-forward step applies them to its own history window, so steps are rows.
+Parameters are fitted once from summed cross-products; every walk-forward step applies them to its own history
+window, so steps are rows.  A forecast under fixed parameters is linear in the logs of its history: its weights are
+worked out once per series and order, and Spark multiplies.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType
 
 from barloom.functions.columns import HOLD_THRESHOLD
+from barloom.operators.datasets import FIRST_FIT, REFIT
 from barloom.operators.forecasters import final_forecast
 from barloom.operators.linear import cross_products, least_squares, solve, square
 from barloom.operators.metrics import direction_hit, mape_of
-from barloom.operators.ordered import lagged
+from barloom.operators.ordered import from_split, lagged
 from barloom.plans.blocks import (
     BLOCK_ROWS,
     KEY,
@@ -27,10 +27,10 @@ from barloom.plans.blocks import (
     ordered,
     over_blocks,
     series_length,
-    trailing,
 )
 
 LONG_LAGS = 20
+EDGE = 0.999  # largest inverse root of the error weights
 
 Order = tuple[int, int, int]
 
@@ -124,62 +124,100 @@ def _order_solver(orders: list[Order], p_max: int, q_max: int):
                     beta = solve(gram, xs, y)[0] if xs else np.zeros(0)
                     const = float(beta[0]) if d == 0 else 0.0
                     beta = beta[1:] if d == 0 else beta
-                    rows.append((key, p, d, q, const, beta[:p].tolist(), beta[p:].tolist()))
+                    rows.append((key, p, d, q, const, beta[:p].tolist(), invertible(beta[p:]).tolist()))
             yield pd.DataFrame(rows, columns=[KEY, "p", "d", "q", "const", "phi", "theta"])
 
     return fit
 
 
-def project(logs: np.ndarray, d: int, const: float, phi: np.ndarray, theta: np.ndarray, steps: int) -> np.ndarray:
-    """Log forecast ``steps`` ahead for windows in rows; errors before the window count as 0."""
-    tails, y = [], logs
-    for _ in range(d):
-        tails.append(y[:, -1])
-        y = np.diff(y, axis=1)
-    p, q = len(phi), len(theta)
-    e = np.zeros_like(y)
-    if q:
-        for t in range(p, y.shape[1]):
-            guess = const + sum(phi[i] * y[:, t - 1 - i] for i in range(p))
-            guess = guess + sum(theta[j] * e[:, t - 1 - j] for j in range(min(q, t)))
-            e[:, t] = y[:, t] - guess
-    ys = [y[:, -1 - i] for i in range(p)]
-    es = [e[:, -1 - j] for j in range(q)]
-    totals = list(tails)
-    value = y[:, -1] if y.shape[1] else np.zeros(len(logs))
+def invertible(theta: np.ndarray) -> np.ndarray:
+    """Error weights with the same autocorrelations whose errors die out: inverse roots outside the circle are
+    reflected, and none is larger than ``EDGE``."""
+    roots = np.roots(np.r_[1.0, theta]).astype(complex)
+    size = np.abs(roots)
+    if not (size > EDGE).any():
+        return theta
+    roots = np.where(size > 1, roots / np.maximum(size, 1.0) ** 2, roots)
+    roots = roots * np.minimum(1.0, EDGE / np.maximum(np.abs(roots), EDGE))
+    return np.poly(roots)[1:].real
+
+
+def memory(p: int, d: int, theta: np.ndarray) -> int:
+    """Rows of history after which an error's weight is below 1e-30; ``EDGE`` bounds it to some 70,000."""
+    reach = p + d + len(theta) + 1
+    size = np.abs(np.roots(np.r_[1.0, theta])).max(initial=0.0)
+    return reach if size < 1e-30 else reach + int(np.ceil(np.log(1e-30) / np.log(min(size, EDGE))))
+
+
+def forecast_weights(
+    rows: int, d: int, const: float, phi: np.ndarray, theta: np.ndarray, steps: int
+) -> tuple[float, np.ndarray] | None:
+    """``c`` and ``w`` (oldest row first) that make ``c + w @ logs`` the forecast ``steps`` ahead of ``rows`` log values.
+
+    With fixed parameters the forecast is linear in its history.  Errors before the history and of its first ``p`` rows
+    count as 0.  Nothing if the history is shorter than the order needs.
+    """
+    p, q, m = len(phi), len(theta), rows - d
+    if m < max(p, 1):
+        return None
+    # the recursion on unit vectors: constant, last p values, last q errors, last level of each difference
+    unit = np.eye(1 + p + q + d)
+    ys, es, totals = list(unit[1 : 1 + p]), list(unit[1 + p : 1 + p + q]), list(unit[1 + p + q :])
     for _ in range(steps):
-        value = const + sum((phi[i] * ys[i] for i in range(p)), np.zeros(len(logs)))
-        value = value + sum((theta[j] * es[j] for j in range(q)), np.zeros(len(logs)))
-        ys = [value, *ys[: p - 1]] if p else ys
-        es = [np.zeros(len(logs)), *es[: q - 1]] if q else es
+        value = const * unit[0] + sum(f * y for f, y in zip(phi, ys)) + sum(t * e for t, e in zip(theta, es))
+        ys, es = [value, *ys][:p], [0 * value, *es][:q]
         for k in range(d - 1, -1, -1):  # add differences up to the level
-            value = totals[k] + value
-            totals[k] = value
-    return value
-
-
-def _projection(steps: int):
-    """Forecast prices of one window under a list of parameter sets, as a vectorised function."""
-
-    @pandas_udf(ArrayType(DoubleType()))
-    def forecast(logs: pd.Series, orders: pd.Series) -> pd.Series:
-        out = np.empty(len(logs), dtype=object)
-        # Rows of one series share their parameters: project them together.
-        keys = orders.map(repr)
-        for _, index in keys.groupby(keys, sort=False).groups.items():
-            x = np.vstack([np.asarray(v, dtype="float64") for v in logs.loc[index]])
-            sets = orders.loc[index[0]]
-            values = np.column_stack(
-                [
-                    np.exp(project(x, int(s["d"]), float(s["const"]), np.asarray(s["phi"]), np.asarray(s["theta"]), steps))
-                    for s in sets
-                ]
-            )
-            for i, row in zip(logs.index.get_indexer(index), values):
-                out[i] = row
-        return pd.Series(out, index=logs.index)
-
-    return forecast
+            value = totals[k] = totals[k] + value
+    c, w = float(value[0]), np.zeros(m)
+    w[m - p :] += value[1 : 1 + p][::-1]
+    # an error is its row's surprise less the weighted errors before it: collect each surprise's weight from the end
+    g = np.zeros(m + q)
+    g[max(m - q, 0) : m] = value[1 + p : 1 + p + q][::-1][-m:] if q else 0.0
+    if q:
+        for t in range(m - 1, p - 1, -1):
+            g[t] -= theta @ g[t + 1 : t + 1 + q]
+    g = g[p:m]
+    w[p:] += g
+    for i, f in enumerate(phi):
+        w[p - 1 - i : m - 1 - i] -= f * g
+    c -= const * float(g.sum())
+    for k in range(d - 1, -1, -1):
+        w = np.r_[0.0, w] - np.r_[w, 0.0]
+        w[-1] += value[1 + p + q + k]
+    return c, w
+
+
+def _parameters(pdf: pd.DataFrame):
+    for r in pdf.itertuples(index=False):
+        yield r, (int(r.d), float(r.const), np.asarray(r.phi, dtype=float), np.asarray(r.theta, dtype=float))
+
+
+def window_weights(coefficients: DataFrame, window: int, steps: int) -> DataFrame:
+    """``(series_id, p, d, q, shift, weights)``: the forecast from a window of logs as one dot product."""
+
+    def weigh(batches):
+        for pdf in batches:
+            out = [(r.series_id, r.p, r.d, r.q, forecast_weights(window, *given, steps)) for r, given in _parameters(pdf)]
+            rows = [(*head, w[0], w[1].tolist()) for *head, w in out if w is not None]
+            yield pd.DataFrame(rows, columns=[KEY, "p", "d", "q", "shift", "weights"])
+
+    return coefficients.mapInPandas(weigh, f"{KEY} string, p int, d int, q int, shift double, weights array<double>")
+
+
+def history_weights(coefficients: DataFrame, lengths: DataFrame, steps: int) -> DataFrame:
+    """``(series_id, pos, shift, weight)``: weights of the rows at the end of each series that a forecast from its whole
+    history needs; earlier rows weigh nothing.  ``coefficients`` has one order per series."""
+
+    def weigh(batches):
+        for pdf in batches:
+            for r, given in _parameters(pdf):
+                rows = min(int(r.n), memory(int(r.p), int(r.d), given[3]))
+                found = forecast_weights(rows, *given, steps)
+                if found is not None:
+                    at = np.arange(r.n - rows + 1, r.n + 1)
+                    yield pd.DataFrame({KEY: r.series_id, POS: at, "shift": found[0], "weight": found[1]})
+
+    return coefficients.join(lengths, KEY).mapInPandas(weigh, f"{KEY} string, {POS} long, shift double, weight double")
 
 
 def _windows(df: DataFrame, column: str, window: int, h: int, split: str, block_rows: int) -> DataFrame:
@@ -198,7 +236,8 @@ def _windows(df: DataFrame, column: str, window: int, h: int, split: str, block_
             }
         )
 
-    steps = over_blocks(df.select(KEY, TS, POS, "split", column), add, behind=window, ahead=h, block_rows=block_rows)
+    near = from_split(df.select(KEY, TS, POS, "split", column), split, window, block_rows)
+    steps = over_blocks(near, add, behind=window, ahead=h, block_rows=block_rows)
     kept = (F.col("split") == split) & (F.col("_split") == split) & F.col("logs").isNotNull()
     return steps.where(kept).select(
         KEY, F.col("_ts").alias(TS), F.col("_pos").alias(POS), "logs", "true", F.col(column).alias("base")
@@ -210,29 +249,26 @@ def backtest_orders(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Predictions of every fitted order: fixed parameters, rolling window, ``h + 1`` steps ahead of
-    the last known row.  All orders of a row are projected in one call."""
-    struct = F.struct("p", "d", "q", "const", "phi", "theta")
-    packed = coefficients.groupBy(KEY).agg(F.sort_array(F.collect_list(struct)).alias("orders"))
+    the last known row.  A prediction is the dot product of its window and the order's weights."""
+    struct = F.struct("p", "d", "q", "shift", "weights")
+    weights = window_weights(coefficients, window, h + 1)
+    packed = weights.groupBy(KEY).agg(F.sort_array(F.collect_list(struct)).alias("orders"))
     sized = series_length(df).join(packed, KEY)
     rows = attach_series(_windows(df, column, window, h, split, block_rows), sized, block_rows=block_rows)
-    preds = rows.withColumn("_preds", _projection(h + 1)("logs", "orders"))
-    return preds.select(
-        KEY, TS, POS, "true", "base", F.posexplode("_preds").alias("_i", "pred"), "orders"
-    ).select(
-        KEY,
-        F.concat(
-            F.lit("ar("), F.concat_ws(",", *[F.col("orders")[F.col("_i")][k].cast("string") for k in "pdq"]), F.lit(")")
-        ).alias("model"),
-        TS, POS, "true", "pred", "base",
-        *[F.col("orders")[F.col("_i")][k].alias(k) for k in "pdq"],
+    dot = "aggregate(zip_with(logs, o.weights, (x, w) -> x * w), 0D, (a, v) -> a + v)"
+    each = f"inline(transform(orders, o -> struct(o.p AS p, o.d AS d, o.q AS q, exp(o.shift + {dot}) AS pred)))"
+    return rows.selectExpr(KEY, TS, POS, "`true`", "base", each).select(
+        KEY, F.concat(F.lit("ar("), F.concat_ws(",", "p", "d", "q"), F.lit(")")).alias("model"),
+        TS, POS, "true", "pred", "base", "p", "d", "q",
     )
 
 
 def ar_backtest(
-    df: DataFrame, order: Order, window: int, h: int, split: str = "test", fit_splits: tuple[str, ...] = ("train",),
+    df: DataFrame, order: Order, window: int, h: int, split: str = "test", fit_splits: tuple[str, ...] | None = None,
     column: str = "close", block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Walk-forward predictions of one order."""
+    """Walk-forward predictions of one order, fitted on the splits before the one that is predicted."""
+    fit_splits = fit_splits or (REFIT if split == "test" else FIRST_FIT)
     fitted = fit_orders(df, column, [order], fit_splits, block_rows=block_rows)
     return backtest_orders(df, column, fitted, window, h, split, block_rows).drop("p", "d", "q")
 
@@ -241,7 +277,11 @@ def order_search(
     df: DataFrame, orders: list[Order], window: int, h: int, split: str = "valid", column: str = "close",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Scores of all orders on the validation rows, highest direction first, then lowest MAPE."""
+    """Scores of all orders on the validation rows, highest direction first, then lowest MAPE.
+
+    Orders with one ``d`` are fitted on the same rows, those with all lags of the longest, so that they compare; fit the
+    winner alone to use all of its own rows.
+    """
     fitted = fit_orders(df, column, orders, block_rows=block_rows)
     predictions = backtest_orders(df, column, fitted, window, h, split, block_rows)
     return (
@@ -252,17 +292,15 @@ def order_search(
 
 
 def ar_forecast(
-    df: DataFrame, order: Order, window: int, h: int, freq: str, hold: float = HOLD_THRESHOLD, column: str = "close",
+    df: DataFrame, order: Order, h: int, freq: str, hold: float = HOLD_THRESHOLD, column: str = "close",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Refit on all rows and forecast h rows past the end of each series."""
+    """Refit on all rows and forecast h rows past the end of each series from its whole history; null if one of the
+    rows that count has no value."""
     fitted = fit_orders(df, column, [order], ("train", "valid", "test"), block_rows=block_rows)
-    packed = fitted.groupBy(KEY).agg(F.collect_list(F.struct("p", "d", "q", "const", "phi", "theta")).alias("orders"))
-
-    def add(t: DataFrame) -> DataFrame:
-        return t.withColumn("logs", F.collect_list(F.log(column)).over(trailing(window)))
-
-    last = over_blocks(df.select(KEY, POS, column), add, behind=window - 1, block_rows=block_rows)
-    ends = last.groupBy(KEY).agg(F.max_by("logs", POS).alias("logs"))
-    forecast: Column = F.element_at(_projection(h)("logs", "orders"), 1)
-    return final_forecast(ends.join(packed, KEY).select(KEY, forecast.alias("pred")), df, h, freq, hold)
+    weights = history_weights(fitted, series_length(df), h)
+    logs = df.select(KEY, POS, F.log(column).alias("_log"))
+    sums = weights.join(logs, [KEY, POS], "left").groupBy(KEY).agg(
+        F.when(F.count("_log") == F.count("weight"), F.exp(F.sum(F.col("weight") * F.col("_log")) + F.first("shift"))).alias("pred")
+    )
+    return final_forecast(sums, df, h, freq, hold)

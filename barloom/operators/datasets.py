@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import RSI_LABELS
+from barloom.operators.ordered import from_split
 from barloom.plans.blocks import BLOCK_ROWS, KEY, POS, TS, attach_series, ordered, over_blocks, series_length, trailing
 
 
@@ -164,7 +165,8 @@ def walk_forward_frames(
             }
         )
 
-    steps = over_blocks(matrix, add, behind=window - 1 + late, ahead=h, block_rows=block_rows)
+    near = from_split(matrix, split, window - 1 + late, block_rows)  # histories are built for this split alone
+    steps = over_blocks(near, add, behind=window - 1 + late, ahead=h, block_rows=block_rows)
     return steps.where(
         (F.col("split") == split) & (F.col("_split") == split) & F.col("features").isNotNull()
     ).select(

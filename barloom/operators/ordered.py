@@ -171,24 +171,41 @@ def top_rows(df: DataFrame, column: str = "volume", k: int = 10) -> DataFrame:
     return df.orderBy(F.col(column).desc(), KEY, TS).limit(k)
 
 
-def last_rows(df: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The last k rows of each series."""
-    return attach_series(df, series_length(df), block_rows=block_rows).where(F.col(POS) > F.col("n") - k).drop("n")
+def last_rows(df: DataFrame, k: int) -> DataFrame:
+    """The last k rows of each series.
+
+    They have k different remainders of the position modulo k, so the last row of each remainder is one of them: a combined
+    aggregate, and only k rows per series and task are shuffled.
+    """
+    if k < 1:
+        return df.limit(0)
+    row = F.max_by(F.struct(*df.columns), POS).alias("_row")
+    return df.groupBy(KEY, F.pmod(POS, F.lit(k)).alias("_turn")).agg(row).select("_row.*")
+
+
+def from_split(df: DataFrame, split: str, behind: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The rows from ``behind`` rows before a split's first row: all that frames of the split can see."""
+    first = F.min(F.when(F.col("split") == split, F.col(POS))).alias("_first")
+    near = attach_series(df, series_length(df, first), block_rows=block_rows)
+    return near.where(F.col(POS) >= F.col("_first") - behind).drop("n", "_first")
 
 
 def last_two(df: DataFrame, column: str = "close") -> DataFrame:
     """Last and second-last value with the last time, one row per series.
 
-    Two ``max_by`` aggregates instead of a sort: the previous value travels beside its row.
+    One of the two has an even position, the other an odd one, so two combined aggregates find both without a sort.
     """
-    pairs = over_blocks(
-        df.select(KEY, TS, POS, column), lambda t: t.withColumn("_previous", lagged(column)), behind=1
-    )
-    return pairs.groupBy(KEY).agg(
-        F.max(TS).alias("last_ts"),
-        F.max_by(column, POS).alias("last_value"),
-        F.max_by("_previous", POS).alias("prev_value"),
-    )
+    found = {}
+    for turn in (0, 1):
+        at = F.when(F.col(POS) % 2 == turn, F.col(POS))
+        found |= {f"_at_{turn}": F.max(at), f"_value_{turn}": F.max_by(column, at)}
+    ends = df.groupBy(KEY).agg(F.max(TS).alias("last_ts"), *[c.alias(name) for name, c in found.items()])
+    even_last = F.coalesce(F.col("_at_0"), F.lit(0)) > F.coalesce(F.col("_at_1"), F.lit(0))
+    return ends.select(
+        KEY, "last_ts",
+        F.when(even_last, F.col("_value_0")).otherwise(F.col("_value_1")).alias("last_value"),
+        F.when(even_last, F.col("_value_1")).otherwise(F.col("_value_0")).alias("prev_value"),
+    )
 
 
 def split_by_share(

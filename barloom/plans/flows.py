@@ -48,15 +48,14 @@ def residual_panel(predictions: DataFrame, lags: int, block_rows: int = BLOCK_RO
 
 
 def evaluate_all(
-    bars: DataFrame, features: DataFrame, numeric: list[str], h: int, window: int, order=(5, 1, 0),
-    learners: dict[str, object] | None = None, align: str = "strict", block_rows: int = BLOCK_ROWS, ar_memory: int = 40,
+    bars: DataFrame, features: DataFrame, numeric: list[str], h: int, window: int, order=(5, 1, 3),
+    learners: dict[str, object] | None = None, align: str = "strict", block_rows: int = BLOCK_ROWS, ar_window: int = 60,
 ) -> DataFrame:
     """Predictions on the test rows of all models: persistence, autoregression, direct learners and
     a stack of persistence with each learner.
 
     Models that are tested are fitted on train and valid together, scaler and labels included; the stack is fitted on
-    what first fits (train only) predict for valid.  The autoregression sees ``ar_memory`` rows more than the window,
-    so that its errors at the start of the window have died out.
+    what first fits (train only) predict for valid.  The autoregression is applied to windows of ``ar_window`` rows.
 
     ``bars`` and ``features`` carry ``split`` and share positions.  Both should be staged tables:
     each model reads them.
@@ -69,7 +68,7 @@ def evaluate_all(
         frames[split] = datasets.walk_forward_frames(matrix, window, h, split, align, block_rows)
     parts = [
         forecasters.persistence(bars, h, "test", block_rows),
-        autoregression.ar_backtest(bars, order, window + ar_memory, h, "test", datasets.REFIT, block_rows=block_rows),
+        autoregression.ar_backtest(bars, order, ar_window, h, "test", datasets.REFIT, block_rows=block_rows),
     ]
     for name, learner in learners.items():
         first = forecasters.fit_direct(tables["valid"], learner, h, datasets.FIRST_FIT)

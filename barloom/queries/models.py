@@ -96,15 +96,71 @@ def ar_backtest(spark, sf_dir):
 
 @query("ar_forecast", "series_id ts_future pred:4 sig:1")
 def ar_forecast(spark, sf_dir):
-    return ar.ar_forecast(T.daily_split(spark, sf_dir), (5, 1, 3), 60, H, "D")
+    return ar.ar_forecast(T.daily_split(spark, sf_dir), (5, 1, 3), H, "D")
 
 
 @query("ar_order_search", "series_id model p:i d:i q:i mape:6 da:6")
 def ar_order_search(spark, sf_dir):
     """All 49 orders on the validation rows."""
-    s = T.daily_split(spark, sf_dir)
-    orders = [tuple(r) for r in joins.order_grid(spark, list(range(7)), [1], list(range(7))).collect()]
-    return ar.order_search(s, orders, 60, H)
+    return ar.order_search(T.daily_split(spark, sf_dir), [(p, 1, q) for p in range(7) for q in range(7)], 60, H)
+
+
+def _one_lag(fit: str) -> str:
+    """Log differences ``y`` of the daily bars, and the least squares coefficient of ``y`` on its predecessor."""
+    return f"""{S.DAILY_SPLIT}, l AS (SELECT *, ln(close) AS x, ln(close) - lag(ln(close)) OVER {S.W} AS y FROM s),
+    k AS (SELECT series_id, sum(a * b) / sum(b * b) AS phi FROM (SELECT series_id, CASE WHEN split IN ({fit}) THEN y END AS a,
+      lag(CASE WHEN split IN ({fit}) THEN y END) OVER {S.W} AS b FROM l) AS z WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1)"""
+
+
+def _ahead(steps: int) -> str:
+    return "(" + " + ".join(f"pow(phi, {k})" for k in range(1, steps + 1)) + ")"
+
+
+def _one_lag_steps(split: str, fit: str) -> str:
+    """Predictions of orders (1,1,0) and (0,1,0), whose history ends one row before the base row."""
+    return f"""{_one_lag(fit)}, w AS (SELECT l.series_id, split, phi, lag(split, {H}) OVER v AS from_split, pos, close AS "true",
+      lag(close, {H}) OVER v AS base, lag(x, {H + 1}) OVER v AS x, lag(y, {H + 1}) OVER v AS y
+      FROM l JOIN k ON k.series_id = l.series_id WINDOW v AS (PARTITION BY l.series_id ORDER BY pos)),
+    p AS (SELECT series_id, pos, "true", base, 'ar(1,1,0)' AS model, 1 AS p, exp(x + y * {_ahead(H + 1)}) AS pred FROM w
+        WHERE split = '{split}' AND from_split = '{split}' AND pos > 60 + {H}
+      UNION ALL SELECT series_id, pos, "true", base, 'ar(0,1,0)', 0, exp(x) FROM w
+        WHERE split = '{split}' AND from_split = '{split}' AND pos > 60 + {H})"""
+
+
+_HITS = 'avg(CASE WHEN sign("true" - base) = sign(pred - base) THEN 1.0 ELSE 0.0 END) * 100 AS da'
+
+
+@query(
+    "ar_backtest_one_lag",
+    _SCORE,
+    f"""WITH {_one_lag_steps('test', "'train', 'valid'")} SELECT series_id, model, {S.mape_sql()} AS mape, {_HITS}, count(*) AS rows
+    FROM p WHERE p = 1 GROUP BY 1, 2""",
+)
+def ar_backtest_one_lag(spark, sf_dir):
+    """The order that has a closed form, fitted on train and valid."""
+    return metrics.score(ar.ar_backtest(T.daily_split(spark, sf_dir), (1, 1, 0), 60, H))
+
+
+@query(
+    "ar_forecast_one_lag",
+    "series_id ts_future pred:4 sig:1",
+    f"""WITH {_one_lag("'train', 'valid', 'test'")}, e AS (SELECT series_id, max(ts) AS ts, arg_max(x, pos) AS x, arg_max(y, pos) AS y,
+      arg_max(close, pos) AS v FROM l GROUP BY 1),
+    o AS (SELECT e.*, exp(x + y * {_ahead(H)}) AS pred FROM e JOIN k ON k.series_id = e.series_id)
+    SELECT series_id, strftime(ts + INTERVAL {H} DAY, '%Y-%m-%d') AS ts_future, pred, {_SIGNAL.format(v='pred', b='v')} AS sig FROM o""",
+)
+def ar_forecast_one_lag(spark, sf_dir):
+    return ar.ar_forecast(T.daily_split(spark, sf_dir), (1, 1, 0), H, "D")
+
+
+@query(
+    "ar_order_search_two",
+    "series_id model p:i d:i q:i mape:6 da:6",
+    f"""WITH {_one_lag_steps('valid', "'train'")} SELECT series_id, model, p, 1 AS d, 0 AS q, {S.mape_sql()} AS mape, {_HITS}
+    FROM p GROUP BY 1, 2, 3""",
+)
+def ar_order_search_two(spark, sf_dir):
+    return ar.order_search(T.daily_split(spark, sf_dir), [(0, 1, 0), (1, 1, 0)], 60, H)
 
 
 # ------------------------------------------------------------ direct learners
@@ -242,6 +298,6 @@ def evaluate_all_pairs(spark, sf_dir):
     """Pairwise tests over persistence, autoregression, a linear learner and its stack."""
     f = staged_features(spark, sf_dir)
     preds = evaluate_all(T.daily_split(spark, sf_dir), f, S.NUMERIC, H, WINDOW)
-    return dm_test(preds, ["persistence", "ar(5,1,0)", "linear", "stack_linear"], norm=1)
+    return dm_test(preds, ["persistence", "ar(5,1,3)", "linear", "stack_linear"], norm=1)
 
 

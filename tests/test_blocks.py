@@ -136,5 +136,5 @@ def test_bounded_shares(series, frame):
 
 def test_last_rows_and_attached_values(series, frame):
     df = series({"a": {"close": values(103)}, "b": {"close": values(9)}})
-    got = frame(ordered.last_rows(df, 10, 16))
+    got = frame(ordered.last_rows(df, 10))
     assert got.groupby("series_id")["pos"].agg(["min", "max"]).values.tolist() == [[94, 103], [1, 9]]

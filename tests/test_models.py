@@ -93,7 +93,8 @@ def test_autoregression_recovers_coefficients(series, frame):
 def test_projection_against_recursion(d):
     x = RNG.normal(0, 1, (3, 25)).cumsum(axis=1)
     phi, theta, const = np.array([0.5, -0.3]), np.array([0.4, 0.1]), 0.2 if d == 0 else 0.0
-    got = ar.project(x, d, const, phi, theta, 4)
+    shift, weights = ar.forecast_weights(25, d, const, phi, theta, 4)
+    got = shift + x @ weights
     for row, value in zip(x, got):
         y = np.diff(row, n=d) if d else row.copy()
         e = [0.0] * len(y)
@@ -113,16 +114,62 @@ def test_ar_backtest_matches_a_loop(series, frame):
     close = 100 * np.exp(np.cumsum(RNG.normal(0, 0.01, 240)))
     df = split_by_share(series({"a": {"close": close}}))
     got = frame(ar.ar_backtest(df, (2, 1, 0), 30, 3, block_rows=50))
-    fit = ar.fit_orders(df, "close", [(2, 1, 0)]).first()
+    fit = ar.fit_orders(df, "close", [(2, 1, 0)], ("train", "valid")).first()  # what comes before the test
     n = 240
     first = int(n * 0.8) + int(n * 0.1)
     assert got["pos"].tolist() == list(range(first + 3 + 1, n + 1))
     for _, row in got.iterrows():
         t = row["pos"] - 1 - 3  # index of the base row; the history ends before it
-        want = np.exp(ar.project(np.log(close[t - 30 : t])[None, :], 1, 0.0, np.array(fit.phi), np.zeros(0), 4)[0])
+        x, y = np.log(close[t - 1]), np.diff(np.log(close[t - 3 : t]))
+        for _ in range(4):
+            y = np.r_[y, fit.phi[0] * y[-1] + fit.phi[1] * y[-2]]
+            x += y[-1]
+        want = np.exp(x)
         assert abs(row["pred"] / want - 1) < 1e-9 and row["base"] == close[t]
 
 
+def test_error_weights_are_made_invertible():
+    np.testing.assert_allclose(ar.invertible(np.array([0.4, -0.2])), [0.4, -0.2])
+    np.testing.assert_allclose(ar.invertible(np.array([2.0])), [0.5])  # same autocorrelation: 2/5
+    np.testing.assert_allclose(ar.invertible(np.array([1.0])), [ar.EDGE])
+    got = ar.invertible(np.array([2.5, 1.0]))  # inverse roots -2 and -1/2
+    np.testing.assert_allclose(got, [1.0, 0.25])
+    assert ar.memory(3, 1, np.zeros(0)) == 4 + 1
+    assert ar.memory(0, 0, np.array([0.5])) == 2 + 100
+    assert ar.forecast_weights(2, 1, 0.0, np.array([0.1, 0.1]), np.zeros(0), 1) is None
+
+
+@pytest.mark.parametrize("order", [(2, 1, 2), (1, 0, 1), (0, 2, 1)])
+def test_forecast_carries_errors_over_the_whole_history(series, order):
+    n, h = 300, 4
+    e = RNG.normal(0, 0.01, n + 1)
+    close = 100 * np.exp(np.cumsum(e[1:] + 0.9 * e[:-1]))
+    df = split_by_share(series({"a": {"close": close}, "b": {"close": close[:120]}, "short": {"close": close[:2]}}))
+    fits = {r.series_id: r for r in ar.fit_orders(df, "close", [order], ("train", "valid", "test")).collect()}
+    got = {r.series_id: r.pred for r in ar.ar_forecast(df, order, h, "D", block_rows=64).collect()}
+    for key, size in (("a", n), ("b", 120)):
+        f, logs = fits[key], np.log(close[:size])
+        y = list(np.diff(logs, n=order[1]) if order[1] else logs)
+        errors = [0.0] * len(y)
+        guess = lambda t: f.const + sum(c * y[t - 1 - i] for i, c in enumerate(f.phi)) + sum(c * errors[t - 1 - j] for j, c in enumerate(f.theta) if t - 1 - j >= 0)
+        for t in range(order[0], len(y)):
+            errors[t] = y[t] - guess(t)
+        for _ in range(h):
+            y.append(guess(len(y)))
+            errors.append(0.0)
+        levels = np.array(y[-h:])
+        for k in range(order[1] - 1, -1, -1):
+            levels = (np.diff(logs, n=k) if k else logs)[-1] + np.cumsum(levels)
+        assert abs(got[key] / np.exp(levels[-1]) - 1) < 1e-9
+
+
+def test_predictions_need_no_python_over_rows(series):
+    df = split_by_share(series({"a": {"close": 100 + RNG.normal(0, 1, 200).cumsum()}}))
+    fitted = df.sparkSession.createDataFrame([("a", 1, 1, 0, 0.0, [0.5], [])], "series_id string, p int, d int, q int, const double, phi array<double>, theta array<double>")
+    plan = ar.backtest_orders(df, "close", fitted, 30, 3, "test")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "PythonUDF" not in plan  # the weights, a row for each order
+
+
 def test_stack_and_scores(series, frame):
     close = 100 + RNG.normal(0, 5, 300)
     df = split_by_share(series({"a": {"close": close}}))
