@@ -73,9 +73,11 @@ def sink_if_absent(spark, sf_dir):
 
 @query("file_checksums", "file bytes:i checksum status")
 def file_checksums(spark, sf_dir):
+    """Against a registry that lacks one file and has another sum for a second one."""
     current = files.file_checksums(spark, sf_dir, "*.parquet")
-    registry = files.new_checksums(current, current.where("false"))
-    return files.verify_checksums(current, registry)
+    registry = files.new_checksums(current, current.where("false")).where("file <> 'region.parquet'")
+    changed = F.when(F.col("file") == "nation.parquet", F.sha2("checksum", 256)).otherwise(F.col("checksum"))
+    return files.verify_checksums(current, registry.withColumn("checksum", changed))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from barloom.functions.probability import QUANTILE_FAR, QUANTILE_MIDDLE, QUANTILE_TAIL
+
 BARS = "series_id ts:t open:4 high:4 low:4 close:4 volume:4"
 
 _AGG = """arg_min({p}, {o}) AS open, max({p}) AS high, min({p}) AS low, arg_max({p}, {o}) AS close,
@@ -95,6 +97,17 @@ def mape_sql(true: str = '"true"', pred: str = "pred") -> str:
     return f"avg(abs({true} - {pred}) / greatest(abs({true}), 2.220446049250313e-16)) * 100"
 
 
+def normal_quantile(p: str) -> str:
+    def ratio(coefficients, r: str) -> str:
+        parts = [" + ".join(f"CAST({v!r} AS DOUBLE) * pow({r}, {7 - k})" for k, v in enumerate(side)) for side in coefficients]
+        return f"(({parts[0]}) / ({parts[1]}))"
+
+    far = f"sqrt(-ln(least({p}, 1 - {p})))"
+    tail = f"CASE WHEN {far} <= 5 THEN {ratio(QUANTILE_TAIL, f'({far} - 1.6)')} ELSE {ratio(QUANTILE_FAR, f'({far} - 5)')} END"
+    middle = f"({p} - 0.5) * {ratio(QUANTILE_MIDDLE, f'(0.180625 - pow({p} - 0.5, 2))')}"
+    return f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN {middle} ELSE sign({p} - 0.5) * ({tail}) END"
+
+
 _A14 = 1.0 / 14
 
 

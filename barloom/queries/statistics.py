@@ -10,6 +10,7 @@ from barloom.operators import tests_of_series as tests
 from barloom.operators.joins import union_splits
 from barloom.plans import tables as T
 from barloom.plans.blocks import KEY, POS
+from barloom.functions.probability import UNIT_ROOT_CRITICAL
 from barloom.plans.flows import residual_panel
 from barloom.plans.staging import stage
 from barloom.queries import sqlparts as S
@@ -84,22 +85,29 @@ def kde(spark, sf_dir):
     return stats.kernel_density(stage(T.hourly(spark, sf_dir), "hourly"), "close", 200)
 
 
-@query(
-    "monthly_box_stats",
-    "series_id month:d q1:4 median:4 q3:4 whisker_low:4 whisker_high:4 outliers:i",
-    f"""WITH {S.DAILY}, x AS (SELECT *, CAST(date_trunc('month', ts) AS DATE) AS month FROM d),
-    b AS (SELECT series_id, month, quantile_cont(close, 0.25) AS q1, quantile_cont(close, 0.5) AS median,
-      quantile_cont(close, 0.75) AS q3 FROM x GROUP BY 1, 2)
+def _box_sql(x: str) -> str:
+    inside = f"{x} >= q1 - (q3 - q1) * 1.5 AND {x} <= q3 + (q3 - q1) * 1.5"
+    return f"""WITH {S.DAILY}, x AS (SELECT *, CAST(date_trunc('month', ts) AS DATE) AS month FROM d),
+    b AS (SELECT series_id, month, quantile_cont({x}, 0.25) AS q1, quantile_cont({x}, 0.5) AS median,
+      quantile_cont({x}, 0.75) AS q3 FROM x GROUP BY 1, 2)
     SELECT b.series_id, b.month, any_value(q1) AS q1, any_value(median) AS median, any_value(q3) AS q3,
-    min(close) FILTER (close >= q1 - (q3 - q1) * 1.5 AND close <= q3 + (q3 - q1) * 1.5) AS whisker_low,
-    max(close) FILTER (close >= q1 - (q3 - q1) * 1.5 AND close <= q3 + (q3 - q1) * 1.5) AS whisker_high,
-    count(*) FILTER (close < q1 - (q3 - q1) * 1.5 OR close > q3 + (q3 - q1) * 1.5) AS outliers
-    FROM x JOIN b ON b.series_id = x.series_id AND b.month = x.month GROUP BY 1, 2""",
-)
+    min({x}) FILTER ({inside}) AS whisker_low, max({x}) FILTER ({inside}) AS whisker_high, count(*) FILTER (NOT ({inside})) AS outliers
+    FROM x JOIN b ON b.series_id = x.series_id AND b.month = x.month GROUP BY 1, 2"""
+
+
+_BOX = "series_id month:d q1:4 median:4 q3:4 whisker_low:4 whisker_high:4 outliers:i"
+
+
+@query("monthly_box_stats", _BOX, _box_sql("close"))
 def monthly_box_stats(spark, sf_dir):
     return stats.monthly_box_stats(stage(T.daily(spark, sf_dir), "daily"), "close")
 
 
+@query("monthly_box_stats_volume", _BOX, _box_sql("volume"))
+def monthly_box_stats_volume(spark, sf_dir):
+    return stats.monthly_box_stats(stage(T.daily(spark, sf_dir), "daily"), "volume")
+
+
 @query("price_volume_pairs", "series_id ts:t volume:4 close:4", f"WITH {S.HOURLY} SELECT series_id, ts, volume, close FROM h")
 def price_volume_pairs(spark, sf_dir):
     return stats.price_volume_pairs(T.event_bars(spark, sf_dir, "h"))
@@ -136,7 +144,17 @@ def acf(spark, sf_dir):
     return stats.autocorrelation(stage(T.hourly(spark, sf_dir), "hourly"), "close", 40)
 
 
-@query("pacf", "series_id lag:i pacf:8 band:8")
+def _pacf_sql(lags: int) -> str:
+    """CTE pacf from acf: one row a lag, each extends the coefficients of the lag before."""
+    return f"""rho AS (SELECT series_id, any_value(n) AS n, list(acf ORDER BY lag) AS r FROM acf GROUP BY 1),
+ld AS (SELECT series_id, n, r, 0 AS lag, CAST(1 AS DOUBLE) AS pacf, CAST([] AS DOUBLE[]) AS phi FROM rho
+  UNION ALL SELECT series_id, n, r, lag + 1, v, list_append(list_transform(range(1, lag + 1), lambda i: phi[i] - v * phi[lag + 1 - i]), v)
+  FROM (SELECT *, (r[lag + 2] - coalesce(list_sum(list_transform(range(1, lag + 1), lambda i: phi[i] * r[lag + 2 - i])), 0))
+    / (1 - coalesce(list_sum(list_transform(range(1, lag + 1), lambda i: phi[i] * r[i + 1])), 0)) AS v FROM ld WHERE lag < {lags}) AS step),
+pacf AS (SELECT series_id, lag, pacf, CASE WHEN lag = 0 THEN 0 ELSE 1.959963984540054 / sqrt(n) END AS band FROM ld)"""
+
+
+@query("pacf", "series_id lag:i pacf:8 band:8", f"WITH RECURSIVE {S.HOURLY}, {_acf_sql('h', 'close', 40)}, {_pacf_sql(40)} SELECT * FROM pacf")
 def pacf(spark, sf_dir):
     return stats.partial_autocorrelation(stage(T.hourly(spark, sf_dir), "hourly"), "close", 40)
 
@@ -161,6 +179,11 @@ def seasonal_decompose(spark, sf_dir):
     return stats.seasonal_decompose(stage(T.daily(spark, sf_dir), "daily"), "close", 7)
 
 
+@query("seasonal_decompose_yearly", "series_id ts:t close:4 trend:4 seasonal:4 resid:4", _decompose_sql(365, True))
+def seasonal_decompose_yearly(spark, sf_dir):
+    return stats.seasonal_decompose(stage(T.daily(spark, sf_dir), "daily"), "close", 365)
+
+
 @query(
     "seasonal_decompose_monthly",
     "series_id ts:t close:4 trend:4 seasonal:6 resid:6",
@@ -178,6 +201,22 @@ def adf_test(spark, sf_dir):
     return tests.adf_test(rows, "close", tests.default_lags(longest))
 
 
+_LEVEL = "CAST({} AS DOUBLE) + {} / CAST(m AS DOUBLE) + {} / pow(m, 2) + {} / pow(m, 3)"
+
+
+@query(
+    "adf_test_no_lags",
+    "series_id stat:6 used_lag:i nobs:i crit_1:6 crit_5:6 crit_10:6",
+    f"""WITH {S.HOURLY}, c AS (SELECT series_id, lag(close) OVER {S.W} AS x, close - lag(close) OVER {S.W} AS y FROM h),
+    r AS (SELECT series_id, count(*) AS m, regr_slope(y, x) AS b, regr_sxx(y, x) AS sxx, regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x) AS ssr
+      FROM c WHERE x IS NOT NULL GROUP BY 1)
+    SELECT series_id, b / sqrt(ssr / (m - 2) / sxx) AS stat, 0 AS used_lag, m AS nobs,
+    {', '.join(f'{_LEVEL.format(*v)} AS {k}' for k, v in UNIT_ROOT_CRITICAL.items())} FROM r""",
+)
+def adf_test_no_lags(spark, sf_dir):
+    return tests.adf_test(stage(T.hourly(spark, sf_dir), "hourly"), "close", 0)
+
+
 @query(
     "ljung_box",
     "series_id lags:i stat:4 p_value:6",
@@ -281,7 +320,14 @@ def da_return_sign(spark, sf_dir):
     )
 
 
-@query("qq_points", "series_id rank:i theoretical:6 sample:4 line:4")
+def _points_sql(source: str, x: str) -> str:
+    return f"""SELECT *, mean + sd * theoretical AS line FROM (SELECT series_id, rank, sample, mean, sd, {S.normal_quantile('u')} AS theoretical
+      FROM (SELECT *, rank / (n + CAST(1 AS DOUBLE)) AS u FROM (SELECT series_id, {x} AS sample, row_number() OVER (PARTITION BY series_id ORDER BY {x}) AS rank,
+        count({x}) OVER o AS n, avg({x}) OVER o AS mean, stddev_pop({x}) OVER o AS sd FROM {source} WHERE {x} IS NOT NULL
+        WINDOW o AS (PARTITION BY series_id)) AS a) AS b) AS q"""
+
+
+@query("qq_points", "series_id rank:i theoretical:6 sample:4 line:4", f"WITH {S.HOURLY} {_points_sql('h', 'close')}")
 def qq_points(spark, sf_dir):
     return stats.normal_quantile_points(stage(T.hourly(spark, sf_dir), "hourly"), "close")
 
@@ -296,7 +342,19 @@ def value_ranks(spark, sf_dir):
     return stats.rank_by_value(stage(T.hourly(spark, sf_dir), "hourly"), "close")
 
 
-@query("residual_panel", "series_id panel x:6 y:6")
+_PANEL = f"""WITH RECURSIVE {PRED}, e AS (SELECT series_id, pos, "true" - pred AS residual FROM p WHERE model = 'persistence'),
+{_acf_sql('e', 'residual', 14)}, {_pacf_sql(14)},
+hist AS ({_histogram_sql('e', 'residual', 30)}), points AS ({_points_sql('e', 'residual')}),
+span AS (SELECT series_id, min(residual) AS mn, max(residual) AS mx, count(*) AS m, stddev_samp(residual) * pow(count(*), -0.2) AS bw FROM e GROUP BY 1),
+place AS (SELECT span.*, mn - (mx - mn) * 0.5 + i * ((mx - mn) * 2 / 999) AS x FROM span, range(0, 1000) AS g(i))
+SELECT series_id, 'series' AS panel, CAST(pos AS DOUBLE) AS x, residual AS y FROM e
+UNION ALL SELECT series_id, 'histogram', "left", density FROM hist UNION ALL SELECT series_id, 'acf', lag, acf FROM acf
+UNION ALL SELECT series_id, 'pacf', lag, pacf FROM pacf UNION ALL SELECT series_id, 'quantiles', theoretical, sample FROM points
+UNION ALL SELECT place.series_id, 'density', x, sum(exp(-pow((x - residual) / bw, 2) / 2)) / (any_value(m) * any_value(bw) * sqrt(2 * pi()))
+  FROM place JOIN e ON e.series_id = place.series_id GROUP BY place.series_id, x"""
+
+
+@query("residual_panel", "series_id panel x:6 y:6", _PANEL)
 def panel(spark, sf_dir):
     """All tables of the panel in long form."""
     s = T.daily_split(spark, sf_dir)
