@@ -8,9 +8,12 @@ from barloom.llm import (
     html_extraction,
     language_id,
     licence_scan,
+    line_dedup,
+    merkle_manifest,
     metric_search,
     mixing,
     near_dedup,
+    prefix_trie,
     substring_dedup,
     suffix_dedup,
 )
@@ -146,6 +149,86 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 10"""
 
+# DuckDB has no CRC-32: the table of the polynomial (a fixed value), then a fold over the bytes of the decimal text
+_CRC_TABLE = """SELECT list_transform(range(256), lambda n: list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS t"""
+
+
+def _crc(decimal: str) -> str:
+    codes = f"list_transform(string_split(CAST({decimal} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle_manifest.report(table(spark, sf_dir, "documents"))
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+
+
+_ROW = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_RUNS = "list_transform(range(0, (len(l) + 7) // 8), lambda k: sha256(array_to_string(l[8 * k + 1:8 * k + 8], '')))"
+OP11_SQL = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, lang, sha256({_ROW} || {_field("text")}) AS leaf,
+  sha256({_ROW} || {_field(f"CASE WHEN {_crc('doc_id')} % 3 = 0 THEN {_LOWER.replace("coalesce(text, '')", 'text')} ELSE text END")}) AS other FROM documents, crc),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+lv AS (SELECT lang, 0 AS v, list(leaf ORDER BY i) AS l FROM p GROUP BY lang
+  UNION ALL SELECT lang, v + 1, {_RUNS} FROM lv WHERE len(l) > 1),
+h AS (SELECT lang, max(v) AS h, max_by(l, v)[1] AS subroot FROM lv GROUP BY lang),
+g AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS gi FROM h),
+tv AS (SELECT 0 AS v, list(subroot ORDER BY gi) AS l FROM g HAVING count(*) > 0 UNION ALL SELECT v + 1, {_RUNS} FROM tv WHERE len(l) > 1),
+steps AS (SELECT lang, v, 0 AS gi, false AS top, l FROM lv WHERE len(l) > 1
+  UNION ALL SELECT lang, h + tv.v, gi, true, l FROM g, tv WHERE len(l) > 1),
+f AS (SELECT doc_id, lang, i, leaf, other, 0 AS v, other AS node, '' AS proof FROM p
+  UNION ALL SELECT doc_id, f.lang, i // 8, leaf, other, f.v + 1,
+    sha256(array_to_string(l[k - k % 8 + 1:k], '') || node || array_to_string(l[k + 2:k - k % 8 + 8], '')),
+    proof || array_to_string(l[k - k % 8 + 1:k], '') || array_to_string(l[k + 2:k - k % 8 + 8], '')
+  FROM (SELECT f.*, s.l, CASE WHEN s.top THEN gi // CAST(pow(8, f.v - h.h) AS BIGINT) ELSE f.i END AS k
+    FROM f JOIN steps s ON s.v = f.v AND s.lang IS NOT DISTINCT FROM f.lang JOIN h ON h.lang IS NOT DISTINCT FROM f.lang) AS f)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified
+FROM f JOIN h ON h.lang IS NOT DISTINCT FROM f.lang, (SELECT max(v) AS tops, max_by(l, v)[1] AS root FROM tv) WHERE f.v = h.h + tops"""
+
+
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = f"""
+WITH crc AS ({_CRC_TABLE}),
+t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, sha256(strlen(role) || ':' || role || text) AS e, strlen(text) AS size, turn FROM t),
+a AS (SELECT c, list({{'e': e, 'size': size}} ORDER BY turn NULLS FIRST, e) AS own FROM o GROUP BY c),
+r AS (SELECT a.c, coalesce(b.own[1:h], []) || a.own[h + 1:] AS s FROM (SELECT c, own, CAST({_crc("c")} % 9 AS BIGINT) AS h FROM a, crc) AS a LEFT JOIN a AS b ON b.c = a.c - a.c % 5),
+x AS (SELECT c, len(s) AS n, d, sha256(array_to_string(list_transform(s[1:d], lambda q: q.e), ',')) AS k,
+  sha256(array_to_string(list_transform(s[1:d - 1], lambda q: q.e), ',')) AS up, coalesce(s[d].size, 0) AS size
+  FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+g AS (SELECT d, k, min(c) AS conv_id, count(*) AS n_convs, max(size) AS size, any_value(up) AS up,
+  sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM x GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM g WHERE d > 0 GROUP BY d, up),
+b AS (SELECT v.d, v.k, count(*) FILTER (WHERE kids.k IS NULL) AS n_leaves, sum((w.n_convs - 1) * w.size) AS saved_tokens
+  FROM g AS w JOIN x AS v ON v.c = w.conv_id AND v.d <= w.d LEFT JOIN kids ON kids.d = w.d AND kids.k = w.k GROUP BY v.d, v.k)
+SELECT g.conv_id, g.d AS depth, parent.conv_id AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM g JOIN b USING (d, k) LEFT JOIN kids USING (d, k) LEFT JOIN g AS parent ON parent.d = g.d - 1 AND parent.k = g.up"""
+
+
+def op13_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+_LINE_KEY = f"translate(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER.partition(', ')[2].partition(', ')[2]}"
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+x AS (SELECT r, doc_id, i, l[i] AS s FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+k AS (SELECT *, {_LINE_KEY} AS key FROM x),
+often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, often.key IS NOT NULL AS gone FROM k LEFT JOIN often USING (key)),
+o AS (SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS kept_text FROM m GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept_text) AS kept_sha256, kept_text FROM o"""
+
 QUERIES = {
     "op10_language_id": op10_language_id,
     "op1_mixing": op1_mixing,
@@ -157,5 +240,18 @@ QUERIES = {
     "op8_licence_scan": op8_licence_scan,
     "op9_metric_search": op9_metric_search,
     "op6_decontamination": op6_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_line_dedup": op13_line_dedup,
+}
+ORACLES = {
+    "op2_substring_dedup": OP2_SQL,
+    "op4_near_dedup": OP4_SQL,
+    "op6_decontamination": OP6_SQL,
+    "op7_chat_format": OP7_SQL,
+    "op8_licence_scan": OP8_SQL,
+    "op9_metric_search": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
+    "op13_line_dedup": OP13_SQL,
 }
-ORACLES = {"op7_chat_format": OP7_SQL, "op8_licence_scan": OP8_SQL, "op9_metric_search": OP9_SQL, "op2_substring_dedup": OP2_SQL, "op4_near_dedup": OP4_SQL, "op6_decontamination": OP6_SQL}
