@@ -38,9 +38,9 @@ p AS (SELECT doc_id, i, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS s
 f AS (SELECT s, min(doc_id) AS low FROM p GROUP BY s),
 r AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i FROM p JOIN f USING (s) WHERE doc_id > low),
 k AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(list_aggregate(
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, coalesce(list_aggregate(
   CASE WHEN gone IS NULL THEN w ELSE list_select(w, list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j))) END,
-  'string_agg', ' '), '')) AS kept_sha256
+  'string_agg', ' '), '') AS kept_text, sha256(kept_text) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
 
 

@@ -4,7 +4,8 @@ A window is ``width`` consecutive words of one document.  Positions whose remain
 carry an anchor: the hash of the ``width - period + 1`` words that start there.  The remainders' differences reach every
 residue, so for two occurrences of one window, wherever they begin, some offset is a cover position in both: they share
 an anchor.  Windows that touch no shared anchor are unique and never leave their task; the others are extended to their
-full width, hashed to 128 bits, and the smallest document of each is found by a grouped minimum.
+full width, told apart by two hashes of 64 bits made from independent hashes of their words, and the smallest document of each
+is found by a grouped minimum.  Both hashes are kept to the end: a window is removed only where both agree.
 
 Skew: an anchor or window is sent once per document, grouped minima combine before the shuffle, and joins back are plain
 equi-joins whose large partitions Spark splits.  Nothing is collected but lists of one document's own hashes.
@@ -86,9 +87,8 @@ def _touched(words: Words, at: np.ndarray, width: int, size: int) -> np.ndarray:
     return np.flatnonzero(inside & (words.first[words.row_of() + 1] - np.arange(n) >= width))
 
 
-def _listed(part: pa.RecordBatch, column: str, row: np.ndarray, values: np.ndarray) -> np.ndarray:
+def _listed(lists: pa.Array, row: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each value is in its row's list."""
-    lists = part.column(column)
     flat = np.asarray(lists.flatten()).view(np.uint64)
     owner = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
     salt = np.uint64(0x9E3779B97F4A7C15)
@@ -103,9 +103,9 @@ def window_rows(docs: DataFrame, width: int, period: int, cover: tuple[int, ...]
             words = Words(part.column("text"))
             hashes = words.hashes()
             at, grams = _anchors(words, hashes, width, period, cover)
-            shared = at[_listed(part, "_dedup_anchors", words.row_of()[at], grams)]
+            shared = at[_listed(part.column("_dedup_anchors"), words.row_of()[at], grams)]
             chosen = _touched(words, shared, width, width - period + 1)
-            one, two = windows(hashes, width)[chosen], windows(hashes, width, salt=width)[chosen]
+            one, two = windows(hashes, width)[chosen], windows(words.hashes(salt=1), width, salt=width)[chosen]
             ids = np.asarray(part.column("doc_id"))[words.row_of()[chosen]]
             pick = _once_per_document(ids, one, two)
             yield pa.record_batch({"one": signed(one[pick]), "two": signed(two[pick]), "doc_id": ids[pick]})
@@ -114,7 +114,7 @@ def window_rows(docs: DataFrame, width: int, period: int, cover: tuple[int, ...]
 
 
 def removals(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """``(doc_id, _dedup_windows)``: per document the hashes of its windows that a smaller document has too."""
+    """``(doc_id, _dedup_windows, _dedup_second)``: per document both hashes of its windows that a smaller document has too."""
     if {(a - b) % period for a in cover for b in cover} != set(range(period)) or period > width:
         raise ValueError("the cover's differences must reach every residue, and the period at most the width")
     rows = anchor_rows(docs, width, period, cover)
@@ -128,7 +128,9 @@ def removals(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: t
     first = found.groupBy("one", "two").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     first = written(first.where("low < high").select("one", "two", "low"), "first-windows")
     later = found.join(first, ["one", "two"]).where("doc_id > low")
-    gone = written(later.groupBy("doc_id").agg(F.collect_set("one").alias("_dedup_windows")), "removals")
+    # a window comes once a slice of rows, and twice only where rows share a doc_id
+    pairs = later.groupBy("doc_id").agg(F.collect_list(F.struct("one", "two")).alias("p"))
+    gone = written(pairs.select("doc_id", F.col("p.one").alias("_dedup_windows"), F.col("p.two").alias("_dedup_second")), "removals")
     discard(found, first)
     return gone
 
@@ -150,9 +152,11 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
                 grams = windows(words.hashes(), width)
                 here = np.arange(len(grams))
                 fits = words.first[row[: len(grams)] + 1] - here >= width
-                fits &= _listed(part, "_dedup_windows", row[: len(grams)], grams)
-                np.add.at(gone, here[fits], 1)
-                np.add.at(gone, here[fits] + width, -1)
+                fits &= _listed(part.column("_dedup_windows"), row[: len(grams)], grams)
+                at = here[fits]
+                at = at[_listed(part.column("_dedup_second"), row[at], windows(words.hashes(salt=1), width, salt=width)[at])]
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + width, -1)
             removed = np.cumsum(gone[:-1]) > 0
             texts = joined(words, ~removed)
             lost = np.add.reduceat(np.r_[removed, False].astype(np.int64), words.first[:-1]) * (words.counts > 0)
@@ -178,4 +182,6 @@ def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     done = substring_dedup(docs.select("doc_id", "text"))
-    return done.selectExpr("doc_id", "_dedup_words AS n_words", "_dedup_removed AS n_removed", "_dedup_sha256 AS kept_sha256")
+    return done.selectExpr(
+        "doc_id", "_dedup_words AS n_words", "_dedup_removed AS n_removed", "_dedup_sha256 AS kept_sha256", "_dedup_text AS kept_text"
+    )

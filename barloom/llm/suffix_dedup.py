@@ -243,5 +243,5 @@ def report(docs: DataFrame) -> DataFrame:
     done = suffix_dedup(docs.select("doc_id", "text"))
     return done.selectExpr(
         "doc_id", "_dedup_bytes AS n_bytes", "_dedup_removed AS n_removed", "cast(size(_dedup_spans) AS long) AS n_spans",
-        "_dedup_sha256 AS kept_sha256",
+        "_dedup_sha256 AS kept_sha256", "make_valid_utf8(cast(_dedup_kept AS string)) AS kept_text",
     )

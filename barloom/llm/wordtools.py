@@ -7,6 +7,7 @@ memory follows the slice, never the table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,19 @@ _ODD = _SEED.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint6
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BLANK, _NOTHING = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary())
-_LOWER = np.arange(256)
+_LOWER = np.arange(256)  # of bytes, A-Z folded
 _LOWER[0x41:0x5B] += 0x20
 
 
+_PLACES = 64  # places in a word with a table of numbers; those of later places are computed
+
+
+@lru_cache(maxsize=4)
+def _by_place(salt: int) -> np.ndarray:
+    """A random number for each byte at each of the first places."""
+    return np.random.Generator(np.random.PCG64(20240229 + 1 + salt)).integers(0, 1 << 64, _PLACES << 8, dtype=np.uint64)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every input bit."""
     h = h ^ (h >> np.uint64(33))
@@ -57,7 +67,10 @@ _POWERS = Powers()
 
 
 def byte_sums(raw: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums of weighted bytes, and the factors that make ``(sums[e] - sums[s]) * down[s]`` a hash of ``raw[s:e]``."""
+    """Prefix sums of weighted bytes, and the factors that make ``(sums[e] - sums[s]) * down[s]`` a hash of ``raw[s:e]``.
+
+    For stretches of fewer than 512 bytes: modulo 2**64, longer ones made of two letters by rule can cancel out.
+    """
     up, down = _POWERS.get(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((mix(_BYTE + np.uint64(salt)) if salt else _BYTE)[raw] * up[:-1], out=sums[1:])
@@ -105,13 +118,23 @@ class Words:
         self.first = np.searchsorted(self.start, self.rows)
         self.counts = np.diff(self.first)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word; ``lower`` folds A-Z."""
-        table = _BYTE[_LOWER] if lower else _BYTE
-        up, down = _POWERS.get(len(self.raw) + 1)
-        sums = np.zeros(len(self.raw) + 1, dtype=np.uint64)
-        np.cumsum(table[self.raw] * up[:-1], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+    def hashes(self, lower: bool = False, salt: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word; ``lower`` folds A-Z.  Hashes of different ``salt`` are independent.
+
+        Each byte at each place has a random number of its own, so no arrangement of bytes cancels out in the sum.
+        """
+        sizes = self.end - self.start
+        if not len(sizes):
+            return np.zeros(0, dtype=np.uint64)
+        begins = np.cumsum(sizes) - sizes
+        raw = self.raw[np.repeat(self.start - begins, sizes) + np.arange(begins[-1] + sizes[-1])]
+        raw = _LOWER[raw] if lower else raw
+        place = np.arange(len(raw)) - np.repeat(begins, sizes)
+        numbers = _by_place(salt)[np.minimum(place, _PLACES - 1) << 8 | raw]
+        far = np.flatnonzero(place >= _PLACES)
+        if len(far):
+            numbers[far] = mix(mix(place[far].astype(np.uint64) + np.uint64(salt << 40)) ^ _BYTE[raw[far]])
+        return mix(np.add.reduceat(numbers, begins) + sizes.astype(np.uint64))
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.counts)), self.counts)
