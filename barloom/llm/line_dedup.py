@@ -138,6 +138,8 @@ def line_dedup(docs: DataFrame, documents: int = DOCUMENTS, length: int = LENGTH
     lists = written(lists, "line-lists")
     discard(repeats, common)
     carried = docs.columns
+    # one way at every size: short lists would be broadcast, longer ones shuffle the texts
+    lists = lists.hint("merge")
     both = docs.join(lists, docs.doc_id.cast("long").eqNullSafe(lists["_dedup_doc"]), "left").drop("_dedup_doc")
     schema = T.StructType(docs.schema.fields + T._parse_datatype_string(_ADDED).fields)
 
