@@ -48,8 +48,9 @@ def technical_indicators(
     """All indicators in one spread of the table; only the volume balance needs a carry."""
     reach = max(sma, atr + 1, rsi_reach(rsi), macd_reach(26, 9))
     framed = over_blocks(df, lambda t: _frame_indicators(t, sma, rsi, atr), behind=reach, block_rows=block_rows)
+    # The frames are computed once; block totals and rows both read the staged result.
     return (
-        running_total(framed, {"_obv": "_signed"}, block_rows)
+        running_total(stage(framed, "frames"), {"_obv": "_signed"}, block_rows)
         .withColumns({"obv": F.when(F.col("_signed").isNotNull(), F.col("_obv")), **_relations(sma, rsi)})
         .drop("_signed", "_obv")
     )

@@ -98,12 +98,12 @@ def test_excluded_day_closes_positions(series, frame):
     pd.testing.assert_frame_equal(got[["series_id", "ts", "pos"]], want[["series_id", "ts", "pos"]], check_dtype=False)
 
 
-@pytest.mark.parametrize("rows", [64, 4096])
+@pytest.mark.parametrize("rows", [1, 7, 512, 4096])
 def test_weighted_means(series, frame, rows):
     x = values(1500, 0.05)
     x[0] = np.nan
     x[700:760] = np.nan
-    alphas = {"w": 1 / 14, "f": 2 / 13, "s": 0.2, "steep": 0.9}
+    alphas = {"w": 1 / 14, "f": 2 / 13, "s": 0.2, "steep": 0.9, "flat": 2 / 10_001}
     df = series({"a": {"x": x}, "b": {"x": x[:400]}})
     got = frame(ewm.ewm_mean(df, {k: ("x", a) for k, a in alphas.items()}, rows))
     for key, part in got.groupby("series_id"):
@@ -113,6 +113,34 @@ def test_weighted_means(series, frame, rows):
             np.testing.assert_allclose(part[name].to_numpy(dtype=float), want, rtol=1e-11, err_msg=name)
 
 
+def test_long_spans_copy_no_rows(series, frame, monkeypatch):
+    """Every staged table has a row for each given row, however far back the weights reach."""
+    staged = []
+    monkeypatch.setattr(ewm, "stage", lambda df, name: staged.append(df.count()) or df)
+    x = values(3000)
+    x[200:2200] = np.nan  # far longer than the steep weights last
+    got = frame(ewm.ewm_mean(series({"a": {"x": x}}), {"flat": ("x", 2 / 10_001), "steep": ("x", 0.9)}, 64))
+    assert staged == [3000]
+    for name, alpha in (("flat", 2 / 10_001), ("steep", 0.9)):
+        want = pd.Series(x).ewm(alpha=alpha).mean().ffill()
+        np.testing.assert_allclose(got[name].to_numpy(dtype=float), want, rtol=1e-11, err_msg=name)
+
+
+@pytest.mark.parametrize("rows", [5, 300])
+def test_macd_and_rsi_by_blocks(series, frame, rows):
+    close = pd.Series(100 + np.cumsum(values(700)))
+    df = series({"a": {"close": close.to_numpy()}, "b": {"close": close.to_numpy()[:20]}})
+    line = close.ewm(span=12).mean() - close.ewm(span=26).mean()
+    got = frame(ewm.macd(df, block_rows=rows))
+    got = got[got.series_id == "a"]
+    np.testing.assert_allclose(got["macd_hist_12_26_9"], line - line.ewm(span=9).mean(), atol=1e-9)
+    d = close.diff()
+    up, down = d.clip(lower=0).ewm(alpha=1 / 14).mean(), (-d).clip(lower=0).ewm(alpha=1 / 14).mean()
+    got = frame(ewm.rsi(df, 14, rows))
+    got = got[got.series_id == "a"]["rsi_14"].to_numpy(dtype=float)
+    np.testing.assert_allclose(got[5:], (100 - 100 / (1 + up / down)).to_numpy()[5:], rtol=1e-9)
+
+
 def test_weights_survive_long_flat_stretch(series, frame):
     """Gains and losses decay together for thousands of rows; their ratio must stay."""
     close = np.concatenate([100 + np.sin(np.arange(50)), np.full(4000, 100.5)])

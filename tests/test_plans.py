@@ -53,7 +53,7 @@ def test_no_single_task_and_no_pairs(spark, series, name):
 
 def test_indicators_shuffle_rows_once_per_pass(series):
     """All frames of the indicators share one shuffle; the volume carry adds one pass."""
-    text = plan(ewm.macd(series({"a": BARS})))
+    text = plan(features.over_blocks(series({"a": BARS}), lambda t: features._frame_indicators(t, 50, 14, 14), 100))
     assert len(re.findall(r"Exchange hashpartitioning\(series_id", text)) == 1
 
 
