@@ -4,8 +4,9 @@ A window is ``width`` consecutive words of one document.  Positions whose remain
 carry an anchor: the hash of the ``width - period + 1`` words that start there.  The remainders' differences reach every
 residue, so for two occurrences of one window, wherever they begin, some offset is a cover position in both: they share
 an anchor.  Windows that touch no shared anchor are unique and never leave their task; the others are extended to their
-full width, told apart by two hashes of 64 bits made from independent hashes of their words, and the smallest document of each
-is found by a grouped minimum.  Both hashes are kept to the end: a window is removed only where both agree.
+full width, told apart by two hashes, of 64 and of 32 bits, made from independent hashes of their words, and the smallest
+document of each is found by a grouped minimum.  Both are kept to the end: a window is removed only where both agree.  Among
+10^12 different windows some two agree with probability 10^-5; 32 bits more would cost a tenth more disk.
 
 Skew: an anchor or window is sent once per document, grouped minima combine before the shuffle, and joins back are plain
 equi-joins whose large partitions Spark splits.  Nothing is collected but lists of one document's own hashes.
@@ -89,14 +90,19 @@ def _touched(words: Words, at: np.ndarray, width: int, size: int) -> np.ndarray:
 
 def _listed(lists: pa.Array, row: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each value is in its row's list."""
-    flat = np.asarray(lists.flatten()).view(np.uint64)
+    flat, values = np.asarray(lists.flatten()).astype(np.int64).view(np.uint64), values.astype(np.int64).view(np.uint64)
     owner = np.repeat(np.arange(len(lists)), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))
     salt = np.uint64(0x9E3779B97F4A7C15)
     return np.isin(values + row.astype(np.uint64) * salt, flat + owner.astype(np.uint64) * salt)
 
 
+def _second(words: Words, width: int) -> np.ndarray:
+    """The other hash of each window."""
+    return (windows(words.hashes(salt=1), width, salt=width) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def window_rows(docs: DataFrame, width: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """``(first_hash, second_hash, doc_id)`` of the windows that touch an anchor of the row's list ``_dedup_anchors``."""
+    """``(one, two, doc_id)`` of the windows that touch an anchor of the row's list ``_dedup_anchors``."""
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text"):
@@ -105,12 +111,12 @@ def window_rows(docs: DataFrame, width: int, period: int, cover: tuple[int, ...]
             at, grams = _anchors(words, hashes, width, period, cover)
             shared = at[_listed(part.column("_dedup_anchors"), words.row_of()[at], grams)]
             chosen = _touched(words, shared, width, width - period + 1)
-            one, two = windows(hashes, width)[chosen], windows(words.hashes(salt=1), width, salt=width)[chosen]
+            one, two = windows(hashes, width)[chosen], _second(words, width)[chosen]
             ids = np.asarray(part.column("doc_id"))[words.row_of()[chosen]]
             pick = _once_per_document(ids, one, two)
-            yield pa.record_batch({"one": signed(one[pick]), "two": signed(two[pick]), "doc_id": ids[pick]})
+            yield pa.record_batch({"one": signed(one[pick]), "two": two[pick], "doc_id": ids[pick]})
 
-    return per_batch(docs.select("doc_id", "text", "_dedup_anchors"), work, "one long, two long, doc_id long")
+    return per_batch(docs.select("doc_id", "text", "_dedup_anchors"), work, "one long, two int, doc_id long")
 
 
 def removals(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
@@ -154,7 +160,7 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, period: int = PERIOD, c
                 fits = words.first[row[: len(grams)] + 1] - here >= width
                 fits &= _listed(part.column("_dedup_windows"), row[: len(grams)], grams)
                 at = here[fits]
-                at = at[_listed(part.column("_dedup_second"), row[at], windows(words.hashes(salt=1), width, salt=width)[at])]
+                at = at[_listed(part.column("_dedup_second"), row[at], _second(words, width)[at])]
                 np.add.at(gone, at, 1)
                 np.add.at(gone, at + width, -1)
             removed = np.cumsum(gone[:-1]) > 0
