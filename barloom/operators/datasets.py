@@ -28,10 +28,11 @@ def scaler_table(df: DataFrame, numeric: list[str], fit_splits: tuple[str, ...]
 
 
 def standard_scale(
-    df: DataFrame, numeric: list[str], block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT
+    df: DataFrame, numeric: list[str], block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT,
+    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``z_c`` for each numeric column, fitted on the rows of ``fit_splits`` only."""
-    scaled = attach_series(df, scaler_table(df, numeric, fit_splits), block_rows=block_rows)
+    scaled = attach_series(df, scaler_table(df, numeric, fit_splits), block_rows=block_rows, registry=registry)
     return scaled.withColumns(
         {f"z_{c}": (F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}") for c in numeric}
     ).drop("n", *[f"_{s}_{c}" for c in numeric for s in ("mean", "std")])
@@ -58,7 +59,8 @@ def one_hot_state(
 
 
 def model_matrix(
-    df: DataFrame, numeric: list[str], target: str, block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT
+    df: DataFrame, numeric: list[str], target: str, block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT,
+    registry: DataFrame | None = None,
 ) -> DataFrame:
     """Scaled numeric and one-hot columns as one array ``x``, with the scale of the target.
 
@@ -79,7 +81,7 @@ def model_matrix(
 
     scaled = [(F.col(c) - F.col(f"_mean_{c}")) / std(c) for c in numeric]
     hot = [F.coalesce((F.col("rsi_state") == l) & F.col(f"_seen_{l}"), F.lit(False)).cast("double") for l in labels]
-    return attach_series(df, fitted, block_rows=block_rows).select(
+    return attach_series(df, fitted, block_rows=block_rows, registry=registry).select(
         KEY, TS, POS, "split", "close",
         F.col(target).alias("target"),
         F.array(*scaled, *hot).alias("x"),

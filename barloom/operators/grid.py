@@ -22,13 +22,11 @@ def on_grid(df: DataFrame, step_seconds: int, block_rows: int = BLOCK_ROWS) -> D
     """Rows whose distance from the start of their series is a whole number of steps; grids begin at whole seconds."""
     df = df.where(F.expr(f"extract(SECOND FROM {TS}) % 1 = 0"))
     seconds = epoch_seconds(TS)
-    starts = df.groupBy(KEY).agg(F.min(seconds).alias("_start"), F.max(seconds).alias("_end"))
-    # Starts are spread over time blocks before the join, so a hot series is not one join key.
-    width = F.lit(step_seconds * block_rows)
-    copies = starts.withColumn(
-        "_tb", F.explode(F.sequence(F.floor(F.col("_start") / width), F.floor(F.col("_end") / width)))
-    )
-    joined = df.withColumn("_tb", F.floor(seconds / width)).join(copies, [KEY, "_tb"])
+    # The start joins on (series, time block), so a hot series is not one join key.
+    tagged = df.withColumn("_tb", F.floor(seconds / F.lit(step_seconds * block_rows)))
+    blocks = tagged.groupBy(KEY, "_tb").agg(F.min(seconds).alias("_first"))
+    starts = blocks.select(KEY, "_tb", F.min("_first").over(Window.partitionBy(KEY)).alias("_start"))
+    joined = tagged.join(starts, [KEY, "_tb"])
     return joined.where((seconds - F.col("_start")) % step_seconds == 0).select(*df.columns)
 
 

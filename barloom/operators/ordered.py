@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.plans.blocks import (
+    BLOCK,
     BLOCK_ROWS,
     KEY,
     POS,
@@ -16,9 +17,11 @@ from barloom.plans.blocks import (
     fill_forward,
     ordered,
     over_blocks,
+    registered_blocks,
     running_total,
     series_length,
     trailing,
+    with_block,
 )
 
 DAYS_PER_YEAR = 365
@@ -209,15 +212,19 @@ def last_two(df: DataFrame, column: str = "close") -> DataFrame:
 
 
 def split_by_share(
-    df: DataFrame, train: float = 0.8, valid: float = 0.1, block_rows: int = BLOCK_ROWS
+    df: DataFrame, train: float = 0.8, valid: float = 0.1, block_rows: int = BLOCK_ROWS, registry: DataFrame | None = None
 ) -> DataFrame:
-    """Add ``split``: the first share of positions is train, the next valid, the rest test."""
+    """Add ``split``: the first share of positions is train, the next valid, the rest test.
+    With a ``registry`` of the numbering the rows are read once, else once more for their lengths."""
     n = F.col("n").cast("double")
     first = F.floor(n * train)
     second = first + F.floor(n * valid)
+    if registry is None:
+        sized = attach_series(df, series_length(df), block_rows=block_rows)
+    else:
+        sized = with_block(df, block_rows).join(registered_blocks(registry, block_rows), [KEY, BLOCK]).drop(BLOCK)
     return (
-        attach_series(df, series_length(df), block_rows=block_rows)
-        .withColumn("split", F.when(F.col(POS) <= first, "train").when(F.col(POS) <= second, "valid").otherwise("test"))
+        sized.withColumn("split", F.when(F.col(POS) <= first, "train").when(F.col(POS) <= second, "valid").otherwise("test"))
         .drop("n")
     )
 

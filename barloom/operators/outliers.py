@@ -32,7 +32,7 @@ def integrity_report(df: DataFrame) -> DataFrame:
     )
 
 
-def outlier_thresholds(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def outlier_thresholds(df: DataFrame, block_rows: int = BLOCK_ROWS, registry: DataFrame | None = None) -> DataFrame:
     """Per series: extreme move, extreme spread, low volume.  ``df`` carries ``pct_change``
     and ``intra_minute_spread``."""
     sized = df.select(
@@ -51,6 +51,7 @@ def outlier_thresholds(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
             "volume_threshold": ("_volume", LOW_VOLUME_LEVEL),
         },
         block_rows=block_rows,
+        registry=registry,
     )
     return series_length(df).join(limits, KEY, "left")
 

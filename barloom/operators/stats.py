@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,6 @@ from barloom.functions.probability import chi2_tail, normal_quantile
 from barloom.operators.ordered import lagged
 from barloom.operators.quantiles import exact_quantiles
 from barloom.plans.blocks import (
-    BLOCK,
     BLOCK_ROWS,
     KEY,
     POS,
@@ -22,8 +22,9 @@ from barloom.plans.blocks import (
     over_blocks,
     renumber,
     series_length,
-    with_block,
 )
+from barloom.plans.ranges import RANGE_ROWS, running_counts
+from barloom.plans.staging import stage
 
 # Confidence multiplier of the 95 % band, whisker length in quartile ranges.
 BAND_95 = 1.959963984540054
@@ -31,7 +32,9 @@ WHISKER = 1.5
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def describe_exact(df: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+def describe_exact(
+    df: DataFrame, columns: list[str], block_rows: int = BLOCK_ROWS, registry: DataFrame | None = None
+) -> DataFrame:
     """Per series and column: count, mean, deviation, extremes and exact quartiles."""
     types = dict(df.dtypes)
     moments, quartiles = [], {}
@@ -41,7 +44,7 @@ def describe_exact(df: DataFrame, columns: list[str], block_rows: int = BLOCK_RO
         moments += [value.alias(f"{c}.{name}") for name, value in named.items()]
         quartiles |= {f"{c}.{name}": (c, p) for name, p in QUARTILES.items()}
     wide = df.groupBy(KEY).agg(*moments).join(
-        exact_quantiles(df, [KEY], quartiles, block_rows=block_rows), KEY, "left"
+        exact_quantiles(df, [KEY], quartiles, block_rows=block_rows, registry=registry), KEY, "left"
     )
     measures = ["count", "mean", "std", "min", *QUARTILES, "max"]
     rows = [
@@ -89,8 +92,8 @@ def kernel_density(
     """Gaussian density at ``points`` places over the range of the values, widened on both sides
     by the share ``margin`` of it; bandwidth by Scott's rule.
 
-    Equal values are counted first; every place is summed on the map side, so the shuffle
-    holds ``points`` rows per series and task.
+    Each task keeps one vector of ``points`` sums per series, so its shuffle holds ``points`` rows per series and task
+    whatever the number of values.
     """
     x = F.col(column)
     spans = series_length(
@@ -99,22 +102,45 @@ def kernel_density(
         F.max(x).alias("_mx"),
         F.stddev_samp(x).alias("_sd"),
         F.count(x).cast("double").alias("_m"),
-    ).withColumn("_h", F.col("_sd") * F.pow("_m", F.lit(-0.2)))
-    values = with_block(df.where(x.isNotNull()), block_rows).groupBy(KEY, BLOCK, x.alias("_x")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min(POS).alias(POS)
     )
     extent = F.col("_mx") - F.col("_mn")
-    low = F.col("_mn") - extent * margin
-    step = extent * (1 + 2 * margin) / (points - 1)
-    placed = (
-        attach_series(values.drop(BLOCK), spans, block_rows=block_rows)
-        .withColumns({"_low": low, "_step": step})
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .withColumn("x", F.col("_low") + F.col("point") * F.col("_step"))
-    )
-    z = (F.col("x") - F.col("_x")) / F.col("_h")
-    weight = F.col("_c") * F.exp(-z * z / 2) / (F.col("_m") * F.col("_h") * float(np.sqrt(2 * np.pi)))
-    return placed.groupBy(KEY, "point", "x").agg(F.sum(weight).alias("density"))
+    spans = spans.select(
+        KEY, "n", "_m", (F.col("_sd") * F.pow("_m", F.lit(-0.2))).alias("_h"),
+        (F.col("_mn") - extent * margin).alias("_low"), (extent * (1 + 2 * margin) / (points - 1)).alias("_step"),
+    )
+    values = df.where(x.isNotNull()).select(KEY, POS, x.cast("double").alias("_x"))
+    placed = attach_series(values, spans, block_rows=block_rows)
+    sums = placed.select(KEY, "_x", "_h", "_low", "_step").mapInArrow(lambda b: _density_sums(b, points), f"{KEY} string, point int, _s double")
+    place = F.col("_low") + F.col("point") * F.col("_step")
+    scale = F.col("_m") * F.col("_h") * float(np.sqrt(2 * np.pi))
+    totals = sums.groupBy(KEY, "point").agg(F.sum("_s").alias("_s"))
+    return totals.join(spans, KEY).select(KEY, "point", place.alias("x"), F.try_divide(F.col("_s"), scale).alias("density"))
+
+
+def _density_sums(batches, points: int, held: int = 1024, rows: int = 256):
+    """Unscaled sums of the kernel at each point per series, given out when ``held`` series are open and at the end."""
+    sums: dict[str, np.ndarray] = {}
+
+    def given():
+        keys = list(sums)
+        out = {KEY: np.repeat(np.array(keys, dtype=object), points), "point": np.tile(np.arange(points, dtype=np.int32), len(keys))}
+        return pa.RecordBatch.from_pydict(out | {"_s": np.concatenate([sums[k] for k in keys])})
+
+    for batch in batches:
+        pdf = batch.to_pandas()
+        for key, part in pdf.groupby(KEY, sort=False):
+            h, low, step = (part[c].iloc[0] for c in ("_h", "_low", "_step"))
+            at, total = low + np.arange(points) * step, sums.setdefault(key, np.zeros(points))
+            value, count = np.unique(part["_x"].to_numpy(), return_counts=True)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                for i in range(0, len(value), rows):
+                    z = (at[None, :] - value[i : i + rows, None]) / h
+                    total += count[i : i + rows] @ np.exp(-z * z / 2)
+        if len(sums) > held:
+            yield given()
+            sums.clear()
+    if sums:
+        yield given()
 
 
 def monthly_box_stats(df: DataFrame, column: str) -> DataFrame:
@@ -256,12 +282,14 @@ def ljung_box(df: DataFrame, column: str, lags: int, block_rows: int = BLOCK_ROW
     )
 
 
-def normal_quantile_points(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def normal_quantile_points(
+    df: DataFrame, column: str, block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS
+) -> DataFrame:
     """Sorted values against normal quantiles at i / (n + 1), with the standardised line.
 
     Ranks come from counts per value range, not from one sorted task.
     """
-    ranked = rank_by_value(df, column, block_rows)
+    ranked = rank_by_value(df, column, block_rows, range_rows)
     moments = df.groupBy(KEY).agg(
         F.count(column).alias("n"), F.avg(column).alias("_mean"), F.stddev_pop(column).alias("_sd")
     )
@@ -276,39 +304,19 @@ def normal_quantile_points(df: DataFrame, column: str, block_rows: int = BLOCK_R
     )
 
 
-def rank_by_value(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS, fan: int = 32) -> DataFrame:
+def rank_by_value(df: DataFrame, column: str, block_rows: int = BLOCK_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """``rank`` 1..n of each value in its series.
 
-    A sketch cuts each series into ``fan * fan`` value ranges of about equal size; equal values are
-    counted before they are shuffled; a rank is the offset of the range plus a sort inside it.  The
-    counted values unfold at the end, in chunks, so ties of any number stay one row until then.
+    Equal values are counted before they are shuffled; the distinct ones are sorted by ranges whose number follows the
+    table's size, and a rank is the offset of the range plus the counts inside it.  The counted values unfold at the
+    end, in chunks, so ties of any number stay one row until then.
     """
-    values = df.where(F.col(column).isNotNull()).select(KEY, POS, F.col(column).alias("value"))
-    levels = [i / (fan * fan) for i in range(1, fan * fan)]
-    cuts = values.groupBy(KEY).agg(
-        F.max(POS).alias("n"), F.percentile_approx("value", levels, fan * fan * 4).alias("_cuts")
-    )
-    counted = values.groupBy(KEY, "value").agg(F.count(F.lit(1)).alias("_c"), F.min(POS).alias(POS))
-    # Two short searches in the sorted cuts: first among every fan-th, then between two of them.
-    coarse = F.size(
-        F.filter(F.sequence(F.lit(1), F.lit(fan - 1)), lambda i: F.element_at("_cuts", i * fan) <= F.col("value"))
-    )
-    fine = F.size(F.filter(F.slice("_cuts", F.col("_coarse") * fan + 1, fan - 1), lambda c: c <= F.col("value")))
-    placed = (
-        attach_series(counted, cuts, block_rows=block_rows)
-        .withColumn("_coarse", coarse)
-        .withColumn("_range", F.col("_coarse") * fan + fine)
-        .select(KEY, "value", "_c", "_range")
-    )
-    totals = placed.groupBy(KEY, "_range").agg(F.sum("_c").alias("_t"))
-    earlier = Window.partitionBy(KEY).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(KEY, "_range", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(KEY, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(offsets, [KEY, "_range"]).withColumn("_to", F.col("_offset") + F.sum("_c").over(inside))
-    start = F.col("_to") - F.col("_c") + 1
+    values = df.where(F.col(column).isNotNull()).select(KEY, F.col(column).alias("value"))
+    counted = stage(values.groupBy(KEY, "value").agg(F.count(F.lit(1)).alias("_c")), "distinct-values")
+    ranked = running_counts(counted, [KEY], ["value"], "_c", range_rows)
     chunk = F.lit(block_rows).cast("bigint")
     return (
-        ranked.withColumn("_from", F.explode(F.sequence(start, F.col("_to"), chunk)))
-        .withColumn("rank", F.explode(F.sequence("_from", F.least(F.col("_from") + chunk - 1, F.col("_to")))))
+        ranked.withColumn("_start", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"), chunk)))
+        .withColumn("rank", F.explode(F.sequence("_start", F.least(F.col("_start") + chunk - 1, F.col("_to")))))
         .select(KEY, "value", "rank")
     )

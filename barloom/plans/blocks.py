@@ -12,6 +12,9 @@ work on blocks of ``BLOCK_ROWS`` consecutive positions instead:
   They reduce each block to one row, scan those rows, and join the carry back
   on ``(series_id, block)``.
 
+Numbering writes a registry of the blocks once (``register_blocks``): lengths,
+ends and block numbers of series come from there, not from another read of rows.
+
 The scan over block rows is the only step keyed by series alone, and its input
 is the data divided by ``BLOCK_ROWS``: 10^12 rows in one series leave 1.5*10^7
 narrow rows, which a running frame streams (and spills) in one pass.
@@ -22,11 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from barloom.plans.staging import stage
+
 KEY = "series_id"
 TS = "ts"
 POS = "pos"
 BLOCK = "_block"
+TIME_BLOCK = "_tb"
 BLOCK_ROWS = 65_536
+UNFOLD = 4096  # entries of an array of block numbers
 
 
 def epoch_seconds(ts: Column | str) -> Column:
@@ -54,33 +61,56 @@ def with_block(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 # --------------------------------------------------------------- positions
 
 
-def _rank_rows(df: DataFrame, block: Column, order: str) -> DataFrame:
-    tagged = df.withColumn(BLOCK, block)
-    earlier = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        tagged.groupBy(KEY, BLOCK)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(KEY, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    )
-    inside = Window.partitionBy(KEY, BLOCK).orderBy(order)
+def _rank_rows(df: DataFrame, offsets: DataFrame, name: str, order: str) -> DataFrame:
+    inside = Window.partitionBy(KEY, name).orderBy(order)
     return (
-        tagged.join(offsets, [KEY, BLOCK])
-        .withColumn(POS, (F.col("_offset") + F.row_number().over(inside)).cast("bigint"))
-        .drop("_offset", BLOCK)
+        df.join(offsets.select(KEY, name, "offset"), [KEY, name])
+        .withColumn(POS, (F.col("offset") + F.row_number().over(inside)).cast("bigint"))
+        .drop("offset", name)
     )
 
 
-def number_rows(df: DataFrame, step_seconds: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _offsets(tagged: DataFrame, name: str, *more: Column) -> DataFrame:
+    """One row a block: how many rows of the series lie before it, and how many it has."""
+    earlier = Window.partitionBy(KEY).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    counts = tagged.groupBy(KEY, name).agg(F.count(F.lit(1)).alias("rows"), *more)
+    return counts.withColumn("offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+
+
+def _time_block(step_seconds: int, block_rows: int) -> Column:
+    return F.floor(epoch_seconds(TS) / F.lit(step_seconds * block_rows)).cast("bigint")
+
+
+def register_blocks(df: DataFrame, step_seconds: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The staged registry of a table that is to be numbered, one row for each time block of a series: ``offset``, ``rows``,
+    ``first_ts``, ``last_ts``, and of the series ``n``, ``series_first_ts``, ``series_last_ts``."""
+    tagged = df.select(KEY, TS, _time_block(step_seconds, block_rows).alias(TIME_BLOCK))
+    blocks = _offsets(tagged, TIME_BLOCK, F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"))
+    whole = Window.partitionBy(KEY)
+    series = {"n": F.sum("rows"), "series_first_ts": F.min("first_ts"), "series_last_ts": F.max("last_ts")}
+    return stage(blocks.withColumns({name: value.over(whole) for name, value in series.items()}), "registry")
+
+
+def registered_blocks(registry: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(series_id, block, n)`` of the blocks of positions: a time block reaches into two of them at most."""
+    ends = F.array_distinct(F.array(*[block_of(F.col("offset") + c, block_rows) for c in (F.lit(1), F.col("rows"))]))
+    return registry.select(KEY, "n", F.explode(ends).alias(BLOCK)).distinct()
+
+
+def number_rows(
+    df: DataFrame, step_seconds: int, block_rows: int = BLOCK_ROWS, registry: DataFrame | None = None
+) -> DataFrame:
     """Add ``pos``.  ``ts`` is unique in a series and rows are ``step_seconds`` or more apart,
-    so a time block of ``step_seconds * block_rows`` never exceeds ``block_rows`` rows."""
-    width = step_seconds * block_rows
-    return _rank_rows(df, F.floor(epoch_seconds(TS) / F.lit(width)).cast("bigint"), TS)
+    so a time block of ``step_seconds * block_rows`` never exceeds ``block_rows`` rows.
+    With a ``registry`` of ``df`` the rows are read once."""
+    tagged = df.withColumn(TIME_BLOCK, _time_block(step_seconds, block_rows))
+    return _rank_rows(tagged, _offsets(tagged, TIME_BLOCK) if registry is None else registry, TIME_BLOCK, TS)
 
 
 def renumber(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Close the holes that a filter left in ``pos``."""
-    old = df.withColumnRenamed(POS, "_old")
-    return _rank_rows(old, block_of("_old", block_rows), "_old").drop("_old")
+    old = df.withColumnRenamed(POS, "_old").withColumn(BLOCK, block_of("_old", block_rows))
+    return _rank_rows(old, _offsets(old, BLOCK), BLOCK, "_old").drop("_old")
 
 
 # ------------------------------------------------------------ bounded frames
@@ -198,15 +228,31 @@ def neighbours(df: DataFrame, cols: list[str], block_rows: int = BLOCK_ROWS) ->
 # ------------------------------------------------------------- series values
 
 
-def attach_series(df: DataFrame, per_series: DataFrame, last: str = "n", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_numbers(last: Column | str, block_rows: int = BLOCK_ROWS) -> tuple[Column, Column]:
+    """Two explodes that number the blocks up to position ``last``: the first gives ``_chunk``, the second the block.
+    No array has more than ``UNFOLD`` entries unless a series has more than ``UNFOLD ** 2`` blocks."""
+    end = block_of(last, block_rows)
+    chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), end, F.lit(UNFOLD).cast("bigint")))
+    return chunk, F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + UNFOLD - 1, end)))
+
+
+def by_block(per_series: DataFrame, last: str = "n", block_rows: int = BLOCK_ROWS, registry: DataFrame | None = None) -> DataFrame:
+    """One row per series to one for each of its blocks, from the registry or up to the position in column ``last``."""
+    if registry is not None:
+        return per_series.join(registered_blocks(registry, block_rows).select(KEY, BLOCK), KEY)
+    chunk, block = block_numbers(last, block_rows)
+    return per_series.withColumn("_chunk", chunk).withColumn(BLOCK, block).drop("_chunk")
+
+
+def attach_series(
+    df: DataFrame, per_series: DataFrame, last: str = "n", block_rows: int = BLOCK_ROWS, registry: DataFrame | None = None
+) -> DataFrame:
     """Join one row per series to its series without shuffling a hot series to one task.
 
-    ``per_series`` carries the highest position in column ``last``; its row is
-    repeated once per block, and the join key is ``(series_id, block)``.
+    Its row is repeated once per block, and the join key is ``(series_id, block)``.  The blocks are those of a ``registry``
+    of the table, else ``per_series`` carries the highest position in column ``last``.
     """
-    copies = per_series.withColumn(
-        BLOCK, F.explode(F.sequence(F.lit(0).cast("bigint"), block_of(last, block_rows)))
-    )
+    copies = by_block(per_series, last, block_rows, registry)
     return with_block(df, block_rows).join(copies, [KEY, BLOCK]).drop(BLOCK)
 
 

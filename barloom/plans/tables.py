@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import month_key
 from barloom.operators.bars import STEP_SECONDS, ticks_to_bars
 from barloom.operators.ordered import split_by_share
-from barloom.plans.blocks import number_rows
+from barloom.plans.blocks import number_rows, register_blocks
 from barloom.plans.staging import stage
 
 
@@ -32,8 +32,15 @@ def event_bars(spark: SparkSession, sf_dir: str, freq: str) -> DataFrame:
     )
 
 
+def numbered_with_registry(bars: DataFrame, freq: str) -> tuple[DataFrame, DataFrame]:
+    """Bars staged and numbered, and the registry of their blocks: the raw scan happens once, and the bars are read once for
+    the registry and once by whatever uses them."""
+    staged = stage(bars, f"bars-{freq}")
+    registry = register_blocks(staged, STEP_SECONDS[freq])
+    return number_rows(staged, STEP_SECONDS[freq], registry=registry), registry
+
+
 def numbered(bars: DataFrame, freq: str) -> DataFrame:
-    """Bars staged and numbered: the raw scan happens once, both numbering passes read bars."""
     return number_rows(stage(bars, f"bars-{freq}"), STEP_SECONDS[freq])
 
 
@@ -51,7 +58,8 @@ def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with their split, staged: models and stacks read them several times."""
-    return stage(split_by_share(daily(spark, sf_dir)), "daily-split")
+    rows, registry = numbered_with_registry(daily_bars(spark, sf_dir), "D")
+    return stage(split_by_share(rows, registry=registry), "daily-split")
 
 
 def monthly_rate(spark: SparkSession, sf_dir: str) -> DataFrame:

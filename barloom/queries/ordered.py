@@ -168,7 +168,8 @@ def last_window(spark, sf_dir):
 
 @query("time_split", "series_id ts:t pos:i split", f"WITH {S.DAILY_SPLIT} SELECT * FROM s")
 def time_split(spark, sf_dir):
-    return ordered.split_by_share(T.daily(spark, sf_dir))
+    rows, registry = T.numbered_with_registry(T.daily_bars(spark, sf_dir), "D")
+    return ordered.split_by_share(rows, registry=registry)
 
 
 @query(

@@ -166,3 +166,27 @@ def test_last_rows_and_attached_values(series, frame):
     df = series({"a": {"close": values(103)}, "b": {"close": values(9)}})
     got = frame(ordered.last_rows(df, 10))
     assert got.groupby("series_id")["pos"].agg(["min", "max"]).values.tolist() == [[94, 103], [1, 9]]
+
+
+@pytest.mark.parametrize("rows", [4, 50, 4096])
+def test_registry(series, frame, rows):
+    """Positions, blocks and lengths come from the registry; it agrees with a count of the rows."""
+    df = series({"a": {"close": values(203)}, "b": {"close": values(9)}}).where("pos % 5 <> 3 AND (pos < 40 OR pos > 90)").drop("pos")
+    registry = B.register_blocks(df, 86400, rows)
+    numbered = B.number_rows(df, 86400, rows, registry)
+    pd.testing.assert_frame_equal(frame(numbered), frame(B.number_rows(df, 86400, rows))[numbered.columns])
+    blocks = B.with_block(numbered, rows).select("series_id", "_block").distinct()
+    found = B.registered_blocks(registry, rows)
+    assert found.select("series_id", "_block").exceptAll(blocks).isEmpty() and blocks.count() == found.count()
+    ends = registry.groupBy("series_id").agg(F.max("n").alias("n"), F.min("series_first_ts").alias("f"), F.max("last_ts").alias("l"))
+    want = numbered.groupBy("series_id").agg(F.max("pos").alias("n"), F.min("ts").alias("f"), F.max("ts").alias("l"))
+    assert sorted(ends.collect()) == sorted(want.collect())
+    split = ordered.split_by_share(numbered, block_rows=rows, registry=registry)
+    pd.testing.assert_frame_equal(frame(split), frame(ordered.split_by_share(numbered, block_rows=rows)))
+    per = numbered.groupBy("series_id").agg(F.avg("close").alias("mean"))
+    assert B.attach_series(numbered, per, block_rows=rows, registry=registry).count() == numbered.count()
+
+
+def test_block_numbers_unfold_in_chunks(spark):
+    got = B.by_block(spark.createDataFrame([("a", 9000 * 4)], "series_id string, n long"), "n", 4)
+    assert sorted(r._block for r in got.collect()) == list(range(9000))

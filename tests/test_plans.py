@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import bars, ewm, features, grid, metrics, ordered, outliers, stats
+from barloom.operators import bars, datasets, ewm, features, grid, metrics, ordered, outliers, stats
 from barloom.operators.quantiles import exact_quantiles
-from barloom.plans.blocks import accumulate, fill_forward, number_rows
+from barloom.plans.blocks import accumulate, fill_forward, number_rows, register_blocks
 
 BARS = {c: [1.0, 2.0, 3.0] for c in bars.BAR_COLUMNS}
 
@@ -64,3 +64,15 @@ def test_scan_reads_only_needed_columns(spark, tmp_path, series):
     assert "open" not in re.search(r"ReadSchema: (\S+)", text).group(1)
     day = plan(grid.exclude_day(spark.read.parquet(path), "2024-01-02"))
     assert "PushedFilters: [Or(LessThan" in day
+
+
+def test_registry_saves_reads_and_arrays(spark, tmp_path, series):
+    """A split reads its rows once, and no array of block numbers is made for a series."""
+    path = str(tmp_path / "bars")
+    series({"a": BARS}).drop("pos").write.parquet(path)
+    rows = spark.read.parquet(path)
+    registry = register_blocks(rows, 86400)
+    text = plan(ordered.split_by_share(number_rows(rows, 86400, registry=registry), registry=registry))
+    assert text.count(path) == 1 and "sequence(" not in text
+    scaled = datasets.standard_scale(number_rows(rows, 86400, registry=registry).withColumn("split", F.lit("train")), ["close"], registry=registry)
+    assert "sequence(" not in plan(scaled)

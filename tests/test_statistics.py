@@ -27,10 +27,37 @@ def test_quantiles_are_exact_with_ties_and_a_hot_series(series, frame, accuracy,
         np.testing.assert_allclose(got.loc[key, list(PROBS)].to_numpy(dtype=float), want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("range_rows", [10, 1 << 20])
+def test_missed_brackets_are_widened(series, frame, range_rows):
+    """Brackets without width miss nearly every rank at first; the answer is exact all the same, by ranges too."""
+    x = RNG.normal(0, 3, 700)
+    got = frame(
+        exact_quantiles(series({"a": {"x": x}, "b": {"x": x[:90]}}), ["series_id"], {"q": ("x", 0.37), "m": ("x", 0.5)}, 5, margin=0.0, range_rows=range_rows), "q"
+    ).set_index("series_id")
+    for key, part in (("a", x), ("b", x[:90])):
+        np.testing.assert_allclose(got.loc[key, ["q", "m"]].to_numpy(dtype=float), np.quantile(part, [0.37, 0.5]), rtol=1e-12)
+
+
+def test_density_rows_follow_points_not_values(series, frame, spark):
+    """The map side gives a row for each point, series and task, however many values there are."""
+    x, points = RNG.normal(0, 1, 4000), 50
+    df = series({"a": {"x": x}, "b": {"x": x[:700]}})
+    spans = df.groupBy("series_id").agg(F.lit(0.5).alias("_h"), F.min("x").alias("_low"), F.lit(0.1).alias("_step"))
+    placed = df.withColumnRenamed("x", "_x").join(F.broadcast(spans), "series_id").select("series_id", "_x", "_h", "_low", "_step").coalesce(3)
+    sums = placed.mapInArrow(lambda b: stats._density_sums(b, points), "series_id string, point int, _s double")
+    assert sums.count() <= points * 2 * 3
+    got = frame(stats.kernel_density(df, "x", points), "point")
+    for key, part in (("a", x), ("b", x[:700])):
+        h = part.std(ddof=1) * len(part) ** -0.2
+        at = np.linspace(part.min(), part.max(), points)
+        want = np.exp(-(((at[:, None] - part) / h) ** 2) / 2).sum(axis=1) / (len(part) * h * np.sqrt(2 * np.pi))
+        np.testing.assert_allclose(got[got.series_id == key]["density"], want, rtol=1e-9)
+
+
 @pytest.mark.parametrize("rows", [16, 65_536])
 def test_ranks_with_ties(series, frame, rows):
     x = np.concatenate([np.full(100, 1.0), RNG.normal(0, 1, 211)])
-    got = frame(stats.rank_by_value(series({"a": {"x": x}, "b": {"x": x[:5]}}), "x", rows, 4), "rank")
+    got = frame(stats.rank_by_value(series({"a": {"x": x}, "b": {"x": x[:5]}}), "x", rows, 20), "rank")
     for key, want in (("a", np.sort(x)), ("b", np.sort(x[:5]))):
         part = got[got.series_id == key]
         assert part["rank"].tolist() == list(range(1, len(want) + 1))
