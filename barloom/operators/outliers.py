@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import BAR_COLUMNS
@@ -32,9 +32,8 @@ def integrity_report(df: DataFrame) -> DataFrame:
     )
 
 
-def outlier_thresholds(df: DataFrame, block_rows: int = BLOCK_ROWS, registry: DataFrame | None = None) -> DataFrame:
-    """Per series: extreme move, extreme spread, low volume.  ``df`` carries ``pct_change``
-    and ``intra_minute_spread``."""
+def threshold_quantiles(df: DataFrame, block_rows: int = BLOCK_ROWS, registry: DataFrame | None = None) -> DataFrame:
+    """Per series: extreme move, extreme spread, low volume."""
     sized = df.select(
         KEY,
         POS,
@@ -42,7 +41,7 @@ def outlier_thresholds(df: DataFrame, block_rows: int = BLOCK_ROWS, registry: Da
         F.abs("intra_minute_spread").alias("_spread"),
         F.when(F.col("volume") > 0, F.col("volume")).alias("_volume"),
     )
-    limits = exact_quantiles(
+    return exact_quantiles(
         sized,
         [KEY],
         {
@@ -53,38 +52,50 @@ def outlier_thresholds(df: DataFrame, block_rows: int = BLOCK_ROWS, registry: Da
         block_rows=block_rows,
         registry=registry,
     )
-    return series_length(df).join(limits, KEY, "left")
 
 
-def outlier_candidates(df: DataFrame, thresholds: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows beyond the move or the spread threshold."""
+def outlier_thresholds(df: DataFrame, block_rows: int = BLOCK_ROWS, registry: DataFrame | None = None) -> DataFrame:
+    """The thresholds with the length of each series.  ``df`` carries ``pct_change`` and ``intra_minute_spread``."""
+    return series_length(df).join(threshold_quantiles(df, block_rows, registry), KEY, "left")
+
+
+def is_candidate() -> Column:
+    """Beyond the move or the spread threshold."""
     move = F.abs("pct_change") > F.col("pct_change_threshold")
     spread = F.abs("intra_minute_spread") > F.col("spread_threshold")
-    return attach_series(df, thresholds, block_rows=block_rows).where(
-        F.coalesce(move, F.lit(False)) | F.coalesce(spread, F.lit(False))
-    )
+    return F.coalesce(move, F.lit(False)) | F.coalesce(spread, F.lit(False))
+
+
+def outlier_candidates(df: DataFrame, thresholds: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows beyond the move or the spread threshold."""
+    return attach_series(df, thresholds, block_rows=block_rows).where(is_candidate())
+
+
+def outlier_class() -> Column:
+    """Class of a candidate from its close, those before and after it, and its volume; null for the first and last row of a
+    series, which have only one neighbour."""
+    spike = F.abs(F.col("close") - F.col("_before"))
+    back = F.abs(F.col("close") - F.col("_after"))
+    reverted = F.coalesce((spike > 0) & (back / spike > REVERSION_SHARE), F.lit(False))
+    low = F.coalesce((F.col("volume") == 0) | (F.col("volume") < F.col("volume_threshold")), F.lit(False))
+    label = F.when(reverted & low, HIGH_CONFIDENCE).when(reverted, LIKELY).when(low, SUSPICIOUS).otherwise(REAL_EVENT)
+    return F.when((F.col(POS) > 1) & (F.col(POS) < F.col("n")), label)
+
+
+def is_wrong() -> Column:
+    return outlier_class().isin(HIGH_CONFIDENCE, LIKELY)
 
 
 def classify_outliers(df: DataFrame, thresholds: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Candidates with their class.  Neighbours are read before rows are filtered; the first
-    and last row of a series have only one neighbour and are skipped."""
+    """Candidates with their class.  Neighbours are read before rows are filtered."""
 
     def add(t: DataFrame) -> DataFrame:
         o = ordered()
         return t.withColumns({"_before": F.lag("close").over(o), "_after": F.lead("close").over(o)})
 
     with_neighbours = over_blocks(df, add, behind=1, ahead=1, block_rows=block_rows)
-    rows = outlier_candidates(with_neighbours, thresholds, block_rows).where(
-        (F.col(POS) > 1) & (F.col(POS) < F.col("n"))
-    )
-    spike = F.abs(F.col("close") - F.col("_before"))
-    back = F.abs(F.col("close") - F.col("_after"))
-    reverted = F.coalesce((spike > 0) & (back / spike > REVERSION_SHARE), F.lit(False))
-    low = F.coalesce((F.col("volume") == 0) | (F.col("volume") < F.col("volume_threshold")), F.lit(False))
-    label = (
-        F.when(reverted & low, HIGH_CONFIDENCE).when(reverted, LIKELY).when(low, SUSPICIOUS).otherwise(REAL_EVENT)
-    )
-    return rows.withColumn("classification", label).drop("_before", "_after", "n")
+    rows = outlier_candidates(with_neighbours, thresholds, block_rows).withColumn("classification", outlier_class())
+    return rows.where(F.col("classification").isNotNull()).drop("_before", "_after", "n")
 
 
 def impute_outliers(df: DataFrame, classified: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:

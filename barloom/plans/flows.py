@@ -1,4 +1,4 @@
-"""Multi-step pipelines: clean bars, evaluate all models, residual tables."""
+"""Multi-step pipelines: derived bars, evaluate all models, residual tables.  Cleaning as a whole: ``plans.cleaning``."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from barloom.functions.columns import range_pct, zero_flag
 from barloom.operators import autoregression, datasets, forecasters, joins, metrics, stats
 from barloom.operators.grid import exclude_grid_day, fill_grid
 from barloom.operators.ordered import gap_aware_change
-from barloom.operators.outliers import classify_outliers, impute_outliers, outlier_thresholds
 from barloom.operators.tests_of_series import dm_test
 from barloom.plans.blocks import BLOCK_ROWS
 from barloom.plans.staging import stage
@@ -25,15 +24,6 @@ def derived_bars(
     return gap_aware_change(flagged, "close", step_seconds, block_rows)
 
 
-def clean_bars(
-    df: DataFrame, step_seconds: int = 60, day: str | None = None, block_rows: int = BLOCK_ROWS, aligned: bool = False
-) -> DataFrame:
-    """Full cleaning.  The derived table is read by thresholds, classes and repair, so it is staged."""
-    derived = stage(derived_bars(df, step_seconds, day, block_rows, aligned), "derived-bars")
-    limits = outlier_thresholds(derived, block_rows)
-    return impute_outliers(derived, classify_outliers(derived, limits, block_rows), block_rows)
-
-
 def residual_panel(predictions: DataFrame, lags: int, block_rows: int = BLOCK_ROWS) -> dict[str, DataFrame]:
     """Tables behind a residual plot of one model: series, histogram, density, correlations, quantiles."""
     series = metrics.residuals(predictions)

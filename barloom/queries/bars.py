@@ -12,12 +12,14 @@ from barloom.operators.features import drop_incomplete
 from barloom.operators.ordered import lagged
 from barloom.plans import tables as T
 from barloom.plans.blocks import KEY, TS, epoch_seconds, over_blocks
-from barloom.plans.flows import clean_bars, derived_bars
+from barloom.plans.cleaning import clean_bars, clean_raw_bars
+from barloom.plans.flows import derived_bars
 from barloom.plans.staging import fresh_path, stage
 from barloom.queries import sqlparts as S
 from barloom.sources import files
 
 EXCLUDED = "2024-01-15"
+RAW_SERIES = "purchase"  # the event type whose bars go through cleaning as one raw table
 
 
 def _raw(spark, sf_dir, freq="h"):
@@ -359,3 +361,24 @@ def outlier_impute(spark, sf_dir):
 @query("clean_bars", _DERIVED_SPEC, f"WITH {_REPAIRED} SELECT * FROM r")
 def clean(spark, sf_dir):
     return clean_bars(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, EXCLUDED, aligned=True)
+
+
+def _raw_minutes(spark, sf_dir):
+    """Minute bars of one event type in the raw six-column form."""
+    return _raw(spark, sf_dir, "min").where(F.col(KEY) == RAW_SERIES).drop(KEY)
+
+
+@query("clean_raw_bars", _DERIVED_SPEC, f"WITH {_REPAIRED} SELECT * FROM r WHERE series_id = '{RAW_SERIES}'")
+def clean_raw(spark, sf_dir):
+    return clean_raw_bars(_raw_minutes(spark, sf_dir), RAW_SERIES, 60, EXCLUDED, aligned=True)[0]
+
+
+@query(
+    "clean_raw_report",
+    "series_id negative_prices:i high_less_than_low:i zero_trading_volume:i",
+    f"""WITH {S.MINUTES} SELECT series_id, count(*) FILTER (open < 0) + count(*) FILTER (high < 0) + count(*) FILTER (low < 0)
+    + count(*) FILTER (close < 0) AS negative_prices, count(*) FILTER (high < low) AS high_less_than_low,
+    count(*) FILTER (volume = 0) AS zero_trading_volume FROM m WHERE series_id = '{RAW_SERIES}' GROUP BY 1""",
+)
+def clean_raw_report(spark, sf_dir):
+    return clean_raw_bars(_raw_minutes(spark, sf_dir), RAW_SERIES, 60, EXCLUDED, aligned=True)[1]

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import bars, outliers
-from barloom.plans.flows import clean_bars
+from barloom.plans import flows
+from barloom.plans.cleaning import clean_bars
 
 LOW, HIGH = 1.0, 100.0
 
@@ -76,6 +77,47 @@ def test_cleaning_against_pandas(series, frame):
         np.testing.assert_allclose(got[c].astype(float), p[c], rtol=1e-12)
 
 
+def in_steps(df, step, day, rows):
+    """The same cleaning as separate operators."""
+    derived = flows.derived_bars(df, step, day, rows)
+    return outliers.impute_outliers(derived, outliers.classify_outliers(derived, outliers.outlier_thresholds(derived, rows), rows), rows)
+
+
+@pytest.mark.parametrize(("rows", "day"), [(7, "2024-01-02"), (512, "2024-01-02"), (20, None), (20, "2024-01-04"), (20, "2023-12-31"), (3, "2024-01-01")])
+def test_fused_cleaning_equals_its_steps(series, frame, rows, day):
+    """Series that begin, end or lie in the removed day, gaps of any length around it, null bars, rows off the grid."""
+    rng = np.random.default_rng(21)
+    step = 3600
+
+    def bars_of(n, nulls=0.1):
+        close = np.round(100 + np.cumsum(rng.normal(0, 1, n)), 3)
+        close[rng.random(n) < 0.03] *= 1.7
+        close[rng.random(n) < nulls] = np.nan
+        return {"open": close, "high": close + 1, "low": close - 1, "close": close, "volume": rng.integers(0, 4, n).astype(float)}
+
+    df = series({"all": bars_of(90), "short": bars_of(30, 0), "one": bars_of(1, 0)}, step=step)
+    gappy = df.where("NOT (series_id = 'all' AND (pos BETWEEN 20 AND 30 OR pos BETWEEN 47 AND 49 OR pos IN (55, 70)))")
+    late = df.where("series_id = 'all' AND pos > 28").withColumn("series_id", F.lit("begins inside"))
+    early = df.where("series_id = 'all' AND pos < 40").withColumn("series_id", F.lit("ends inside"))
+    within = df.where("series_id = 'all' AND pos BETWEEN 27 AND 45").withColumn("series_id", F.lit("inside"))
+    off = df.where("series_id = 'short' AND pos = 5").withColumn("ts", F.col("ts") + F.expr("INTERVAL '7' MINUTE"))
+    table = gappy.union(late).union(early).union(within).union(off).drop("pos")
+    want = frame(in_steps(table, step, day, rows))
+    got = frame(clean_bars(table, step, day, rows))
+    assert len(got) == len(want) > 0
+    pd.testing.assert_frame_equal(got[want.columns].astype({"pos": int}), want.astype({"pos": int}), rtol=1e-12)
+
+
+def test_raw_table_to_clean_bars(spark, frame):
+    from barloom.plans.cleaning import clean_raw_bars
+
+    raw = [(1704067200.0 + 60 * i, 10.0, 9.0 if i == 3 else 11.0, 10.0, 10.0 + i % 2, 0.0 if i == 5 else 1.0) for i in range(50) if i != 20]
+    df = spark.createDataFrame(raw, "Timestamp double, Open double, High double, Low double, Close double, Volume double")
+    clean, report = clean_raw_bars(df, "x")
+    assert clean.count() == 50 and clean.where("is_zero_volume = 1").count() == 1
+    assert tuple(report.first()) == ("x", 0, 1, 1)
+
+
 def test_integrity_report(spark):
     rows = [("a", -1.0, 1.0, 2.0, 1.0, 0.0), ("a", 1.0, 3.0, 2.0, -1.0, 5.0)]
     df = spark.createDataFrame(rows, "series_id string, open double, high double, low double, close double, volume double")
