@@ -22,10 +22,11 @@ _ODD = _SEED.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint6
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BLANK, _NOTHING = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary())
-_LOWER = np.arange(256)  # of bytes, A-Z folded
+_LOWER = np.arange(256, dtype=np.uint8)  # of bytes, A-Z folded
 _LOWER[0x41:0x5B] += 0x20
 
 
+_HASHED_BYTES = 1 << 17  # bytes of words hashed in one go
 _PLACES = 64  # places in a word with a table of numbers; those of later places are computed
 
 
@@ -123,13 +124,22 @@ class Words:
 
         Each byte at each place has a random number of its own, so no arrangement of bytes cancels out in the sum.
         """
-        sizes = self.end - self.start
-        if not len(sizes):
-            return np.zeros(0, dtype=np.uint64)
+        out = np.empty(len(self.start), dtype=np.uint64)
+        ends = np.cumsum(self.end - self.start)
+        first = 0
+        while first < len(out):  # a bounded number of bytes at a time
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + _HASHED_BYTES, side="right")))
+            out[first:last] = self._hashes_of(first, last, lower, salt)
+            first = last
+        return out
+
+    def _hashes_of(self, first: int, last: int, lower: bool, salt: int) -> np.ndarray:
+        start, sizes = self.start[first:last], self.end[first:last] - self.start[first:last]
         begins = np.cumsum(sizes) - sizes
-        raw = self.raw[np.repeat(self.start - begins, sizes) + np.arange(begins[-1] + sizes[-1])]
+        place = np.arange(begins[-1] + sizes[-1]) - np.repeat(begins, sizes)
+        raw = self.raw[place + np.repeat(start, sizes)]
         raw = _LOWER[raw] if lower else raw
-        place = np.arange(len(raw)) - np.repeat(begins, sizes)
         numbers = _by_place(salt)[np.minimum(place, _PLACES - 1) << 8 | raw]
         far = np.flatnonzero(place >= _PLACES)
         if len(far):
