@@ -1,8 +1,12 @@
-"""ARIMA-style forecasts by two-stage least squares (Hannan and Rissanen 1982).
+"""ARIMA-style forecasts: two-stage least squares (Hannan and Rissanen 1982), then least conditional squares.
 
-Parameters are fitted once from summed cross-products; every walk-forward step applies them to its own history
-window, so steps are rows.  A forecast under fixed parameters is linear in the logs of its history: its weights are
-worked out once per series and order, and Spark multiplies.
+The first fit comes from summed cross-products.  With error terms it is where Gauss-Newton steps start that lower the conditional
+sum of squares: errors and their derivatives are one filter of the block's rows, started far enough before it, and a step
+needs only their summed cross-products.  A series of one block is fitted inside its task, longer ones in rounds.
+
+Parameters are fitted once; every walk-forward step applies them to its own history window, so steps are rows.  A forecast
+under fixed parameters is linear in the logs of its history: its weights are worked out once per series and order, and Spark
+multiplies.
 """
 
 from __future__ import annotations
@@ -19,16 +23,21 @@ from barloom.operators.linear import cross_products, least_squares, solve, squar
 from barloom.operators.metrics import direction_hit, mape_of
 from barloom.operators.ordered import from_split, lagged
 from barloom.plans.blocks import (
+    BLOCK,
     BLOCK_ROWS,
     KEY,
     POS,
     TS,
     attach_series,
+    by_block,
     ordered,
     over_blocks,
     series_length,
+    spread,
 )
+from barloom.plans.staging import stage
 
+_FIT = f"{KEY} string, p int, d int, q int, const double, phi array<double>, theta array<double>"
 LONG_LAGS = 20
 EDGE = 0.999  # largest inverse root of the error weights
 
@@ -87,11 +96,12 @@ def design(
 
 def fit_orders(
     df: DataFrame, column: str, orders: list[Order], fit_splits: tuple[str, ...] = ("train",),
-    long_lags: int = LONG_LAGS, block_rows: int = BLOCK_ROWS,
+    long_lags: int = LONG_LAGS, block_rows: int = BLOCK_ROWS, refine: bool = True,
 ) -> DataFrame:
-    """Coefficients of every order from one cross-product table per difference.
+    """Coefficients of every order, one row per series and order: ``const`` (0 when differenced), ``phi``, ``theta``.
 
-    One row per series and order: ``const`` (0 when differenced), ``phi``, ``theta``.
+    First fits come from one cross-product table per difference; ``refine`` lowers the sum of squares of orders with error
+    terms from there.  Without error terms the first fit has the least sum already.
     """
     for order in orders:
         check_order(order)
@@ -106,8 +116,11 @@ def fit_orders(
         )
         fitted = grams.mapInPandas(
             _order_solver(chosen, p, q),
-            f"{KEY} string, p int, d int, q int, const double, phi array<double>, theta array<double>",
+            _FIT,
         )
+        if refine and q:
+            values = stage(_differenced(df, column, d, fit_splits, block_rows).select(KEY, POS, "y"), "differences")
+            fitted = least_conditional_squares(values, fitted, block_rows)
         out = fitted if out is None else out.unionByName(fitted)
     return out
 
@@ -142,6 +155,179 @@ def invertible(theta: np.ndarray) -> np.ndarray:
     return np.poly(roots)[1:].real
 
 
+# ------------------------------------------------------- least conditional squares
+
+ROUNDS = 25
+_SETTLED = 1e-12  # relative gain below which the sum of squares has settled
+_FADED = 1e-16  # weight of an error that no longer counts
+FADE_ROWS = int(np.ceil(np.log(_FADED) / np.log(EDGE)))
+_STATE = f"{_FIT}, sse double, normal array<double>, slope array<double>, damping double, beta array<double>, done boolean"
+
+
+def _response(theta: np.ndarray, rows: int) -> np.ndarray:
+    """Weights of this and earlier surprises in an error, until they fade."""
+    q, h = len(theta), [1.0]
+    while len(h) < rows:
+        h.append(-float(sum(t * v for t, v in zip(theta, h[: -q - 1 : -1]))))
+        if max(abs(v) for v in h[-q:]) < _FADED:
+            break
+    return np.array(h)
+
+
+def _filtered(columns: np.ndarray, response: np.ndarray) -> np.ndarray:
+    """Causal convolution of each row of ``columns``."""
+    n = columns.shape[1]
+    size = 1 << (n + len(response) - 1).bit_length()
+    return np.fft.irfft(np.fft.rfft(columns, size) * np.fft.rfft(response, size), size)[:, :n]
+
+
+def conditional_sums(y: np.ndarray, own: np.ndarray, with_const: bool, p: int, beta: np.ndarray):
+    """Sum of squared errors over the rows marked ``own``, and ``J'J`` and ``J'e`` of the errors' derivatives.
+
+    ``beta``: constant (if ``with_const``), ``p`` lag weights, error weights.  Errors before the rows count as 0, and so do
+    surprises of rows of which a lag is missing.
+    """
+    n, c = len(y), int(with_const)
+    lags = np.full((p + 1, n), np.nan)
+    for i in range(min(p, n - 1) + 1):
+        lags[i, i:] = y[: n - i]
+    valid = ~np.isnan(lags).any(axis=0)
+    lags[:, ~valid] = 0.0
+    regressors = np.vstack([valid.astype(float)[None, :]][:c] + [lags[1:]]) if c or p else np.zeros((0, n))
+    theta = beta[c + p :]
+    surprise = lags[0] - beta[: c + p] @ regressors
+    response = _response(theta, n)
+    filtered = _filtered(np.vstack([surprise[None, :], regressors]), response)
+    e, again = filtered[0], _filtered(filtered[:1], response)[0]
+    slopes = [-row for row in filtered[1:]] + [-np.r_[np.zeros(min(j, n)), again[: max(n - j, 0)]] for j in range(1, len(theta) + 1)]
+    at = valid & own
+    j, e = np.vstack(slopes)[:, at], e[at]
+    return float(e @ e), j @ j.T, j @ e
+
+
+def _beta(d: int, const: float, phi, theta) -> np.ndarray:
+    return np.r_[[const] if d == 0 else [], np.asarray(phi, dtype=float), np.asarray(theta, dtype=float)]
+
+
+def _step(beta: np.ndarray, normal: np.ndarray, slope: np.ndarray, damping: float, q: int) -> np.ndarray:
+    """A damped Gauss-Newton step; the errors of the result die out."""
+    scale = np.sqrt(np.maximum(np.diag(normal), 1e-300))
+    scaled = normal / np.outer(scale, scale) + damping * np.eye(len(beta))
+    new = beta - np.linalg.pinv(scaled, rcond=1e-12, hermitian=True) @ (slope / scale) / scale
+    return np.r_[new[:-q], invertible(new[-q:])]
+
+
+class _Descent:
+    """Accepted parameters of one series and order, and the next to try."""
+
+    def __init__(self, p, d, q, beta, sse=None, normal=None, slope=None, damping=1e-4, trial=None, done=False):
+        self.p, self.d, self.q, self.damping, self.done = p, d, q, damping, done
+        self.beta, self.trial = np.asarray(beta), np.asarray(beta if trial is None else trial)
+        k = len(self.beta)
+        self.sse, self.normal, self.slope = sse, None if normal is None else np.reshape(normal, (k, k)), None if slope is None else np.asarray(slope)
+
+    def tried(self, sse: float, normal: np.ndarray, slope: np.ndarray) -> None:
+        if self.sse is None or sse < self.sse:
+            self.done = self.sse is not None and self.sse - sse <= _SETTLED * self.sse
+            self.beta, self.sse, self.normal, self.slope = self.trial, sse, normal, slope
+            self.damping = max(self.damping / 5, 1e-12)
+        else:
+            self.damping = max(self.damping * 10, 1e-6)
+            self.done = self.damping > 1e6
+        if not self.done:
+            self.trial = _step(self.beta, self.normal, self.slope, self.damping, self.q)
+
+    def row(self, key: str) -> tuple:
+        c = int(self.d == 0)
+        phi, theta = self.beta[c : c + self.p].tolist(), self.beta[c + self.p :].tolist()
+        fit = (key, self.p, self.d, self.q, float(self.beta[0]) if c else 0.0, phi, theta)
+        return (*fit, self.sse, self.normal.ravel().tolist(), self.slope.tolist(), self.damping, self.trial.tolist(), self.done)
+
+
+_STATE_NAMES = [f.split()[0] for f in _STATE.split(", ")]
+
+
+def _descent(r) -> _Descent:
+    beta = _beta(int(r.d), r.const, r.phi, r.theta)
+    return _Descent(int(r.p), int(r.d), int(r.q), beta, float(r.sse), np.asarray(r.normal), r.slope, float(r.damping), r.beta, bool(r.done))
+
+
+def least_conditional_squares(values: DataFrame, fits: DataFrame, block_rows: int = BLOCK_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """``fits`` with the conditional sum of squares of ``y`` in the staged table ``values`` lowered until it settles.
+
+    A block is read from ``FADE_ROWS`` rows before it, when the errors left out have faded.
+    """
+    plain, moving = fits.where("q = 0"), fits.where("q > 0")
+    longest = values.agg(F.max(POS)).first()[0] or 0  # one number
+    if longest <= block_rows:
+        both = values.groupBy(KEY).cogroup(moving.groupBy(KEY))
+        return both.applyInPandas(lambda y, f: _fit_in_task(y, f, rounds), _FIT).unionByName(plain)
+    spread_ = stage(spread(values, FADE_ROWS, block_rows=block_rows), "difference-blocks")
+    blocks = by_block(values.groupBy(KEY).agg(F.max(POS).alias("n")), "n", block_rows).select(KEY, BLOCK)
+    state = stage(moving, "first-fits")
+    for turn in range(rounds):
+        trials = state if turn == 0 else state.where("NOT done")
+        sums = spread_.groupBy(KEY, BLOCK).cogroup(trials.join(blocks, KEY).groupBy(KEY, BLOCK)).applyInPandas(
+            lambda y, f: _block_sums(y, f, block_rows), f"{KEY} string, p int, q int, i int, v double"
+        )
+        sums = sums.groupBy(KEY, "p", "q", "i").agg(F.sum("v").alias("v"))
+        sums = sums.groupBy(KEY, "p", "q").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("sums"))
+        stepped = trials.join(sums, [KEY, "p", "q"]).mapInPandas(_stepped, _STATE)
+        state = stage(stepped if turn == 0 else stepped.unionByName(state.where("done")), "fits")
+        if state.where("NOT done").isEmpty():
+            break
+    return state.select(KEY, "p", "d", "q", "const", "phi", "theta").unionByName(plain)
+
+
+def _fit_in_task(y: pd.DataFrame, fits: pd.DataFrame, rounds: int) -> pd.DataFrame:
+    values, rows = _in_place(y), []
+    for r in fits.itertuples(index=False):
+        descent = _Descent(int(r.p), int(r.d), int(r.q), _beta(int(r.d), r.const, r.phi, r.theta))
+        for _ in range(rounds):
+            if descent.done or not len(values):
+                break
+            descent.tried(*conditional_sums(values, np.ones(len(values), dtype=bool), r.d == 0, descent.p, descent.trial))
+        c = int(r.d == 0)
+        rows.append((r.series_id, r.p, r.d, r.q, float(descent.beta[0]) if c else 0.0, descent.beta[c : c + descent.p], descent.beta[c + descent.p :]))
+    return pd.DataFrame(rows, columns=_STATE_NAMES[:7])
+
+
+def _in_place(y: pd.DataFrame) -> np.ndarray:
+    """Values by position from the first to the last, missing rows as NaN; rows after the last value are left out."""
+    known = y[y["y"].notna()]
+    if known.empty:
+        return np.zeros(0)
+    first = y[POS].min()
+    out = np.full(int(known[POS].max() - first) + 1, np.nan)
+    out[(known[POS] - first).to_numpy()] = known["y"].to_numpy()
+    return out
+
+
+def _block_sums(y: pd.DataFrame, fits: pd.DataFrame, block_rows: int) -> pd.DataFrame:
+    values, parts = _in_place(y), []
+    if not len(values) or fits.empty:
+        return pd.DataFrame(columns=[KEY, "p", "q", "i", "v"])
+    own = (np.arange(len(values)) + y[POS].min() - 1) // block_rows == y[BLOCK].iloc[0]
+    for r in fits.itertuples(index=False):
+        beta = _beta(int(r.d), r.const, r.phi, r.theta) if "beta" not in fits else np.asarray(r.beta)
+        sse, normal, slope = conditional_sums(values, own, r.d == 0, int(r.p), beta)
+        flat = np.r_[sse, normal.ravel(), slope]
+        parts.append(pd.DataFrame({KEY: r.series_id, "p": r.p, "q": r.q, "i": np.arange(len(flat), dtype="int32"), "v": flat}))
+    return pd.concat(parts)
+
+
+def _stepped(batches):
+    for pdf in batches:
+        rows = []
+        for r in pdf.itertuples(index=False):
+            descent = _descent(r) if "sse" in pdf else _Descent(int(r.p), int(r.d), int(r.q), _beta(int(r.d), r.const, r.phi, r.theta))
+            k = len(descent.beta)
+            sums = np.asarray(r.sums)
+            descent.tried(float(sums[0]), sums[1 : 1 + k * k].reshape(k, k), sums[1 + k * k :])
+            rows.append(descent.row(r.series_id))
+        yield pd.DataFrame(rows, columns=_STATE_NAMES)
+
+
 def memory(p: int, d: int, theta: np.ndarray) -> int:
     """Rows of history after which an error's weight is below 1e-30; ``EDGE`` bounds it to some 70,000."""
     reach = p + d + len(theta) + 1
@@ -275,14 +461,16 @@ def ar_backtest(
 
 def order_search(
     df: DataFrame, orders: list[Order], window: int, h: int, split: str = "valid", column: str = "close",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, refine: bool = False,
 ) -> DataFrame:
     """Scores of all orders on the validation rows, highest direction first, then lowest MAPE.
 
+    Orders are compared by their first fits, which all come from one table, unless ``refine`` fits each to the end.
+
     Orders with one ``d`` are fitted on the same rows, those with all lags of the longest, so that they compare; fit the
     winner alone to use all of its own rows.
     """
-    fitted = fit_orders(df, column, orders, block_rows=block_rows)
+    fitted = fit_orders(df, column, orders, block_rows=block_rows, refine=refine)
     predictions = backtest_orders(df, column, fitted, window, h, split, block_rows)
     return (
         predictions.groupBy(KEY, "model", "p", "d", "q")

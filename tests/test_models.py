@@ -89,6 +89,51 @@ def test_autoregression_recovers_coefficients(series, frame):
         ar.fit_orders(df, "close", [(1, 1)])
 
 
+def squares(y, const, phi, theta):
+    """The conditional sum of squares by its recursion."""
+    e = np.zeros(len(y))
+    for t in range(len(phi), len(y)):
+        e[t] = y[t] - const - sum(f * y[t - 1 - i] for i, f in enumerate(phi)) - sum(w * e[t - 1 - j] for j, w in enumerate(theta) if t > j)
+    return e @ e
+
+
+@pytest.mark.parametrize("rows", [700, 65_536])
+def test_conditional_squares_fall_and_parameters_are_recovered(series, rows):
+    rng = np.random.default_rng(4)
+    n = 2500
+    e = rng.normal(0, 0.01, n)
+    y = np.zeros(n)
+    for t in range(1, n):
+        y[t] = 0.6 * y[t - 1] + e[t] - 0.5 * e[t - 1]  # nearly cancels: hard for the first fit
+    ma = e + 0.9 * np.r_[0, e[:-1]]
+    data = {"a": {"close": 100 * np.exp(np.cumsum(y))}, "b": {"close": 100 * np.exp(np.cumsum(ma))}, "c": {"close": np.exp(5 + ma[:400])}}
+    df = series(data).withColumn("split", F.lit("train"))
+    orders = [(1, 1, 1), (0, 1, 1), (2, 0, 2), (1, 1, 0)]
+    first = {(r.series_id, r.p, r.d, r.q): r for r in ar.fit_orders(df, "close", orders, block_rows=rows, refine=False).collect()}
+    last = {(r.series_id, r.p, r.d, r.q): r for r in ar.fit_orders(df, "close", orders, block_rows=rows).collect()}
+    assert set(first) == set(last) and len(first) == 12
+    for key, fit in last.items():
+        logs = np.log(data[key[0]]["close"])
+        values = np.diff(logs, n=key[2]) if key[2] else logs
+        before, after = (squares(values, f.const, f.phi, f.theta) for f in (first[key], fit))
+        assert after <= before * (1 + 1e-9)
+    np.testing.assert_allclose([*last["a", 1, 1, 1].phi, *last["a", 1, 1, 1].theta], [0.6, -0.5], atol=0.15)
+    np.testing.assert_allclose(last["b", 0, 1, 1].theta, [0.9], atol=0.03)
+
+
+def test_conditional_sums_against_differences():
+    y = RNG.normal(0, 1, 120)
+    y[40] = np.nan
+    beta, own = np.array([0.1, 0.5, -0.2, 0.4, 0.3]), np.arange(120) >= 30
+    sse, normal, slope = ar.conditional_sums(y, own, True, 2, beta)
+    for i in range(5):
+        step = np.zeros(5)
+        step[i] = 1e-5
+        up, down = (ar.conditional_sums(y, own, True, 2, beta + s)[0] for s in (step, -step))
+        assert abs((up - down) / 2e-5 - 2 * slope[i]) < 1e-4 * max(1, abs(slope[i]))
+    assert np.linalg.eigvalsh(normal).min() > 0 and sse > 0
+
+
 @pytest.mark.parametrize("d", [0, 1, 2])
 def test_projection_against_recursion(d):
     x = RNG.normal(0, 1, (3, 25)).cumsum(axis=1)
