@@ -98,16 +98,26 @@ def _window(rows: int, column: str = "x"):
 
 
 def lag_feature_table(
-    matrix: DataFrame, window: int, horizons: list[int], block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT
+    matrix: DataFrame, window: int, horizons: list[int], block_rows: int = BLOCK_ROWS, fit_splits: tuple[str, ...] = FIRST_FIT,
+    label: str = "step",
 ) -> DataFrame:
-    """``features`` = the ``window`` rows ending here, ``label_h`` = scaled return h rows on.
+    """``features`` = the ``window`` rows ending here, ``label_h`` = scaled return of the row h rows on (``step``), or the sum
+    of the scaled returns of the next h rows (``cumulative``: times ``std`` plus h times ``mean`` it is the whole return).
     A label is null unless the whole window and the label lie in the same split; the ``fit_splits`` count as one."""
+    if label not in ("step", "cumulative"):
+        raise ValueError("label must be 'step' or 'cumulative'")
     side = F.when(F.col("split").isin(*fit_splits), F.lit(fit_splits[0])).otherwise(F.col("split"))
 
+    def _ahead(h: int):
+        next_rows = ordered().rowsBetween(1, h)
+        if label == "step":
+            return F.lead("z", h).over(ordered())
+        return F.when(F.count("z").over(next_rows) == h, F.sum("z").over(next_rows))
+
     def add(t: DataFrame) -> DataFrame:
         o = ordered()
         first = F.lag(side, window - 1).over(o)
-        labels = {f"label_{h}": F.when(F.lead(side, h).over(o) == first, F.lead("z", h).over(o)) for h in horizons}
+        labels = {f"label_{h}": F.when(F.lead(side, h).over(o) == first, _ahead(h)) for h in horizons}
         return t.withColumns({"features": _window(window), **labels})
 
     table = over_blocks(matrix, add, behind=window - 1, ahead=max(horizons), block_rows=block_rows)

@@ -6,9 +6,15 @@ everything downstream (scores, stacks, tests) reads only that.
 
 from __future__ import annotations
 
+import math
+import random
+import statistics
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import HOLD_THRESHOLD, direction_signal, future_label, price_from_log_return
@@ -17,6 +23,8 @@ from barloom.operators.linear import least_squares
 from barloom.operators.ordered import last_two
 from barloom.plans.blocks import BLOCK_ROWS, KEY, POS, TS, attach_series, ordered, over_blocks, series_length, trailing
 
+AT_ONCE = 4  # fits that run at the same time
+_HELD_OUT = "held_out"
 PREDICTION_COLUMNS = [KEY, "model", TS, POS, "true", "pred", "base"]
 
 
@@ -104,14 +112,67 @@ def fit_direct(lag_table: DataFrame, learner, h: int, splits: tuple[str, ...] =
     return learner.fit(rows.select(array_to_vector("features").alias("vector"), F.col(f"label_{h}").alias("label")))
 
 
-def apply_direct(fitted, frames: DataFrame, name: str) -> DataFrame:
-    """Score walk-forward frames: a projection, no loop.  The learned value is a one-row scaled
-    log return; the price is the base times its exponential."""
+def validated_trees(**params) -> GBTRegressor:
+    """Boosted trees that stop where another tree no longer lowers the error of the validation rows."""
+    return boosted_trees(**({"maxIter": 200, "validationTol": 1e-4} | params)).setValidationIndicatorCol(_HELD_OUT)
+
+
+def is_validated(learner) -> bool:
+    return isinstance(learner, GBTRegressor) and learner.isSet("validationIndicatorCol")
+
+
+def fit_validated(lag_table: DataFrame, learner, h: int, splits: tuple[str, ...] = ("train",), valid: str = "valid"):
+    """Fit one horizon; a learner of ``validated_trees`` chooses its number of trees on the rows of ``valid``."""
+    if not is_validated(learner):
+        return fit_direct(lag_table, learner, h, splits)
+    check_horizon(h, lag_table)
+    rows = lag_table.where(F.col("split").isin(*splits, valid) & F.col(f"label_{h}").isNotNull())
+    held_out = F.col("split") == valid
+    if rows.where(held_out).isEmpty():
+        raise ValueError(f"no rows of split {valid} to choose the number of trees on")
+    return learner.fit(rows.select(array_to_vector("features").alias("vector"), F.col(f"label_{h}").alias("label"), held_out.alias(_HELD_OUT)))
+
+
+def fit_horizons(
+    lag_table: DataFrame, learner, horizons: list[int], splits: tuple[str, ...] = ("train",), valid: str = "valid",
+    at_once: int = AT_ONCE,
+) -> dict[int, object]:
+    """One fitted learner for each horizon.  The fits read one staged table and run ``at_once`` at a time, as Spark jobs
+    of their own."""
+    return concurrently({h: lambda h=h: fit_validated(lag_table, learner, h, splits, valid) for h in horizons}, at_once)
+
+
+def concurrently(work: dict, at_once: int = AT_ONCE) -> dict:
+    """Results of functions that submit Spark jobs, by key."""
+    own_thread = inheritable_thread_target(SparkSession.active())
+    with ThreadPool(max(1, min(at_once, len(work)))) as pool:
+        return dict(zip(work, pool.map(lambda f: own_thread(f)(), work.values()), strict=True))
+
+
+def with_rounds_of(learner, fitted):
+    """The learner for a refit on joined splits: as many trees as were chosen, and no validation any more."""
+    if not is_validated(learner):
+        return learner
+    again = learner.copy({learner.maxIter: max(1, fitted.getNumTrees)})
+    again.clear(again.validationIndicatorCol)
+    return again
+
+
+def refit(first, lag_table: DataFrame, learner, h: int, splits: tuple[str, ...] = ("train", "valid")):
+    """Fit again on ``splits`` with what the fit ``first`` has chosen."""
+    return fit_direct(lag_table, with_rounds_of(learner, first), h, splits)
+
+
+def apply_direct(fitted, frames: DataFrame, name: str, rows_ahead: int = 1) -> DataFrame:
+    """Score walk-forward frames: a projection, no loop.  The learned value is a scaled log return, of one row, or with
+    cumulative labels of ``rows_ahead`` rows; the price is the base times its exponential."""
     scored = fitted.transform(frames.withColumn("vector", array_to_vector("features")))
+    mean = F.col("mean") * rows_ahead
+    truth = F.col("true_return") if rows_ahead == 1 else F.log(F.col("true") / F.col("base"))
     return scored.select(
         KEY, F.lit(name).alias("model"), TS, POS, "true",
-        price_from_log_return("base", "scaled", "mean", "std").alias("pred"), "base", "true_return",
-        (F.col("scaled") * F.col("std") + F.col("mean")).alias("pred_return"),
+        price_from_log_return("base", "scaled", mean, "std").alias("pred"), "base", truth.alias("true_return"),
+        (F.col("scaled") * F.col("std") + mean).alias("pred_return"),
     )
 
 
@@ -123,15 +184,16 @@ def check_horizon(h: int, lag_table: DataFrame) -> None:
 
 
 def direct_forecast(
-    fitted, lag_table: DataFrame, matrix: DataFrame, h: int, freq: str, hold: float = HOLD_THRESHOLD
+    fitted, lag_table: DataFrame, matrix: DataFrame, h: int, freq: str, hold: float = HOLD_THRESHOLD, rows_ahead: int = 1
 ) -> DataFrame:
-    """Forecast from the last window of each series."""
+    """Forecast from the last window of each series; ``rows_ahead`` as in ``apply_direct``."""
     last = lag_table.groupBy(KEY).agg(F.max_by("features", POS).alias("features"))
     scale = matrix.groupBy(KEY).agg(
         F.max_by("mean", POS).alias("mean"), F.max_by("std", POS).alias("std"), F.max_by("close", POS).alias("base")
     )
     frames = last.join(scale, KEY).withColumn("vector", array_to_vector("features"))
-    preds = fitted.transform(frames).select(KEY, price_from_log_return("base", "scaled", "mean", "std").alias("pred"))
+    price = price_from_log_return("base", "scaled", F.col("mean") * rows_ahead, "std")
+    preds = fitted.transform(frames).select(KEY, price.alias("pred"))
     return final_forecast(preds, matrix, h, freq, hold)
 
 
@@ -144,23 +206,68 @@ def score_external(scaled: DataFrame, frames: DataFrame, name: str) -> DataFrame
     )
 
 
-def grid_search(lag_table: DataFrame, learners: dict[str, object], h: int, valid: str = "valid") -> DataFrame:
+def _validation_error(lag_table: DataFrame, learner, h: int, valid: str) -> tuple[float, int]:
+    """Mean absolute error on the validation rows, and their number."""
+    rows = lag_table.where((F.col("split") == valid) & F.col(f"label_{h}").isNotNull())
+    scored = fit_direct(lag_table, learner, h).transform(rows.withColumn("vector", array_to_vector("features")))
+    got = scored.agg(F.avg(F.abs(F.col("scaled") - F.col(f"label_{h}"))), F.count(F.lit(1))).first()
+    return (float("nan") if got[0] is None else float(got[0])), int(got[1])
+
+
+def _search_table(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "trial string, rounds int, mae double, rows bigint, pruned boolean").orderBy("pruned", F.desc("rounds"), "mae", "trial")
+
+
+def grid_search(lag_table: DataFrame, learners: dict[str, object], h: int, valid: str = "valid", at_once: int = AT_ONCE) -> DataFrame:
     """Mean absolute error of each learner on the validation rows of one horizon, best first."""
     if not learners:
         raise ValueError("at least one learner is needed")
-    table = None
-    for name, learner in learners.items():
-        fitted = fit_direct(lag_table, learner, h)
-        rows = lag_table.where((F.col("split") == valid) & F.col(f"label_{h}").isNotNull())
-        errors = fitted.transform(rows.withColumn("vector", array_to_vector("features"))).agg(
-            F.lit(name).alias("trial"),
-            F.avg(F.abs(F.col("scaled") - F.col(f"label_{h}"))).alias("mae"),
-            F.count(F.lit(1)).alias("rows"),
-        )
-        table = errors if table is None else table.unionByName(errors)
+    check_horizon(h, lag_table)
+    errors = concurrently({name: lambda l=l: _validation_error(lag_table, l, h, valid) for name, l in learners.items()}, at_once)
+    table = lag_table.sparkSession.createDataFrame([(name, *e) for name, e in errors.items()], "trial string, mae double, rows bigint")
     return table.orderBy("mae", "trial")
 
 
+def random_trees(trials: int = 15, seed: int = 42) -> dict[str, GBTRegressor]:
+    """Boosted trees with parameters drawn from fixed ranges (depth, step, rows and features of a tree, rows of a leaf)."""
+    # The ranges of the search.
+    depth, step, share, leaf = (3, 10), (0.005, 0.1), (0.7, 1.0), (1, 10)
+    draw, found = random.Random(seed), {}
+    for i in range(trials):
+        params = {
+            "maxDepth": draw.randint(*depth),
+            "stepSize": math.exp(draw.uniform(math.log(step[0]), math.log(step[1]))),
+            "subsamplingRate": draw.uniform(*share),
+            "featureSubsetStrategy": f"{draw.uniform(*share):.3f}",
+            "minInstancesPerNode": draw.randint(*leaf),
+        }
+        found[f"trial_{i:02d}"] = boosted_trees(**params)
+    return found
+
+
+def pruned_search(
+    lag_table: DataFrame, learners: dict[str, GBTRegressor], h: int, rungs: tuple[int, ...] = (2, 6, 18), valid: str = "valid",
+    at_once: int = AT_ONCE,
+) -> DataFrame:
+    """Errors of boosted trees on the validation rows, best first, with trials given up early.
+
+    All trials grow the trees of the first rung; those above the median error are pruned, the others grow on to the next, so a
+    rung costs half as many trials as the one before.  One row a trial, with the rounds it reached; those of the last rung
+    come first.
+    """
+    if not learners or list(rungs) != sorted(set(rungs)):
+        raise ValueError("a search needs learners and rising rungs")
+    check_horizon(h, lag_table)
+    alive, rows = dict(learners), []
+    for rounds in rungs:
+        grown = {name: l.copy({l.maxIter: rounds}) for name, l in alive.items()}
+        errors = concurrently({name: lambda l=l: _validation_error(lag_table, l, h, valid) for name, l in grown.items()}, at_once)
+        limit = statistics.median(e for e, _ in errors.values()) if rounds != rungs[-1] else math.inf
+        rows += [(name, rounds, *e, True) for name, e in errors.items() if e[0] > limit]
+        alive = {name: l for name, l in alive.items() if not errors[name][0] > limit}
+    return _search_table(lag_table.sparkSession, rows + [(name, rungs[-1], *errors[name], False) for name in alive])
+
+
 # --------------------------------------------------------------------- stacks
 
 

@@ -77,3 +77,11 @@ def order_grid(spark: SparkSession, p: list[int], d: list[int], q: list[int]) ->
         .select("p", F.explode(axes[1]).alias("d"))
         .select("p", "d", F.explode(axes[2]).alias("q"))
     )
+
+
+def orders_of(series: DataFrame, p: list[int], d: list[int], q: list[int]) -> DataFrame:
+    """All (p, d, q) combinations for each row of ``series``: lists of parameters unfold, nothing is joined or collected."""
+    out, rest = series, [c for c in series.columns if c != KEY]
+    for name, values in (("p", p), ("d", d), ("q", q)):
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out.select(KEY, "p", "d", "q", *rest)

@@ -10,11 +10,11 @@ from barloom.operators import datasets, forecasters, joins, metrics
 from barloom.operators.tests_of_series import dm_test
 from barloom.plans import tables as T
 from barloom.plans.blocks import KEY, over_blocks, trailing
-from barloom.plans.flows import evaluate_all
+from barloom.plans.flows import evaluate_all, evaluate_models
 from barloom.plans.staging import stage
 from barloom.queries import sqlparts as S
 from barloom.queries.statistics import H, PRED, test_predictions
-from barloom.queries.tables import EXTERNAL_SQL, WINDOW, external_predictions, matrix, staged_features
+from barloom.queries.tables import EXTERNAL_SQL, SCALED_ROWS, STEPS, WINDOW, both_matrices, external_predictions, matrix, staged_features
 
 _METRICS = f"""{PRED}, k AS (SELECT series_id, model, {S.mape_sql()} AS mape,
   avg(CASE WHEN sign("true" - base) = sign(pred - base) THEN 1.0 ELSE 0.0 END) * 100 AS da, count(*) AS rows
@@ -23,7 +23,8 @@ _SCORE = "series_id model mape:6 da:6 rows:i"
 _SIGNAL = """CASE WHEN {b} = 0 THEN sign({v} - {b}) WHEN ({v} - {b}) / {b} > 0.005 THEN 1.0
   WHEN ({v} - {b}) / {b} < -0.005 THEN -1.0 ELSE 0.0 END"""
 
-TREES = {"maxIter": 5, "maxDepth": 3}
+TRIALS = 15
+RUNGS = (1, 3, 9)  # trees that trials of the search grow before and after they are pruned
 
 
 @query(
@@ -166,12 +167,8 @@ def ar_order_search_two(spark, sf_dir):
 # ------------------------------------------------------------ direct learners
 
 
-def _direct(spark, sf_dir, name, learner):
-    m = matrix(spark, sf_dir)
-    table = stage(datasets.lag_feature_table(m, WINDOW, [H]), "lag-table")
-    fitted = forecasters.fit_direct(table, learner, H)
-    frames = datasets.walk_forward_frames(m, WINDOW, H, "valid")
-    return m, table, fitted, forecasters.apply_direct(fitted, frames, name)
+def _lag_table(m, fit_splits=datasets.FIRST_FIT, horizons=(H,), window=WINDOW):
+    return stage(datasets.lag_feature_table(m, window, list(horizons), fit_splits=fit_splits), "lag-table")
 
 
 def _scored(preds):
@@ -180,45 +177,157 @@ def _scored(preds):
     return metrics.score(preds).join(by_return, [KEY, "model"])
 
 
-@query("gbt_direct_fit", "rows:i mae:6 trees:i")
+@query("gbt_direct_fit", "horizon:i rows:i trees:i mae_train:6 mae_valid:6")
 def gbt_direct_fit(spark, sf_dir):
-    """Training error of the boosted trees of one horizon."""
-    m = matrix(spark, sf_dir)
-    table = stage(datasets.lag_feature_table(m, WINDOW, [H]), "lag-table")
-    fitted = forecasters.fit_direct(table, forecasters.boosted_trees(**TREES), H)
-    rows = table.where((F.col("split") == "train") & F.col(f"label_{H}").isNotNull())
-    scored = fitted.transform(rows.withColumn("vector", forecasters.array_to_vector("features")))
-    return scored.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg(F.abs(F.col("scaled") - F.col(f"label_{H}"))).alias("mae"),
-        F.lit(fitted.getNumTrees).alias("trees"),
-    )
+    """One model for each of the horizons 1..H, its number of trees chosen on the validation rows."""
+    table = _lag_table(matrix(spark, sf_dir), horizons=range(1, H + 1))
+    fitted = forecasters.fit_horizons(table, forecasters.validated_trees(), list(range(1, H + 1)))
+    rows = table.withColumn("vector", forecasters.array_to_vector("features")).where("split <> 'test'")
+    parts = []
+    for h, model in fitted.items():
+        error = F.abs(F.col("scaled") - F.col(f"label_{h}"))
+        scored = model.transform(rows.where(F.col(f"label_{h}").isNotNull()))
+        parts.append(
+            scored.agg(
+                F.lit(h).alias("horizon"), F.count(F.lit(1)).alias("rows"), F.lit(model.getNumTrees).alias("trees"),
+                *[F.avg(F.when(F.col("split") == s, error)).alias(f"mae_{s}") for s in ("train", "valid")],
+            )
+        )
+    return joins.union_splits(*parts)
+
+
+def _boosted(spark, sf_dir):
+    """Matrices, lag tables and fits of both stages: on train with trees chosen on valid, then on both splits."""
+    m = both_matrices(spark, sf_dir)
+    tables = {fit: _lag_table(m[fit], fit) for fit in m}
+    learner = forecasters.validated_trees()
+    first = forecasters.fit_validated(tables[datasets.FIRST_FIT], learner, H)
+    return m, tables, first, forecasters.refit(first, tables[datasets.REFIT], learner, H)
 
 
 @query("gbt_backtest", "series_id model mape:6 da:6 da_return:6 rows:i")
 def gbt_backtest(spark, sf_dir):
-    return _scored(_direct(spark, sf_dir, "gbt", forecasters.boosted_trees(**TREES))[3])
+    """Scores on valid of the first fit and on test of the fit on train and valid."""
+    m, _, first, again = _boosted(spark, sf_dir)
+    stages = ((first, datasets.FIRST_FIT, "valid"), (again, datasets.REFIT, "test"))
+    return _scored(
+        joins.union_splits(
+            *[forecasters.apply_direct(model, datasets.walk_forward_frames(m[fit], WINDOW, H, split), f"gbt_{split}") for model, fit, split in stages]
+        )
+    )
 
 
 @query("gbt_forecast", "series_id ts_future pred:4 sig:1")
 def gbt_forecast(spark, sf_dir):
-    m, table, fitted, _ = _direct(spark, sf_dir, "gbt", forecasters.boosted_trees(**TREES))
-    return forecasters.direct_forecast(fitted, table, m, H, "D")
+    """From the fit on train and valid."""
+    m, tables, _, again = _boosted(spark, sf_dir)
+    return forecasters.direct_forecast(again, tables[datasets.REFIT], m[datasets.REFIT], H, "D")
 
 
 @query("linear_direct_backtest", "series_id model mape:6 da:6 da_return:6 rows:i")
 def linear_direct_backtest(spark, sf_dir):
-    return _scored(_direct(spark, sf_dir, "linear", forecasters.linear_learner())[3])
+    m = matrix(spark, sf_dir)
+    fitted = forecasters.fit_direct(_lag_table(m), forecasters.linear_learner(), H)
+    return _scored(forecasters.apply_direct(fitted, datasets.walk_forward_frames(m, WINDOW, H, "valid"), "linear"))
 
 
-@query("grid_search_direct", "trial mae:6 rows:i")
-def grid_search_direct(spark, sf_dir):
-    table = stage(datasets.lag_feature_table(matrix(spark, sf_dir), WINDOW, [H]), "lag-table")
-    trials = {f"ridge_{r}": forecasters.linear_learner(regParam=r) for r in (1e-6, 0.1, 1.0)}
-    trials["trees_depth_2"] = forecasters.boosted_trees(maxIter=3, maxDepth=2)
+# Learners whose fit SQL can compute: a line through one column, and one tree of one split on columns of 0 and 1.
+_ONE_ROW = f"""{SCALED_ROWS}, lab AS (SELECT *, lead(z, {H}) OVER {S.W} AS label, lead(split, {H}) OVER {S.W} AS to_split,
+  lead(ts, {H}) OVER {S.W} AS ts_to, lead(close, {H}) OVER {S.W} AS "true", lead(target, {H}) OVER {S.W} AS true_return FROM zr),
+tr AS (SELECT * FROM lab WHERE split = 'train' AND to_split = 'train')"""
+_RETURNS_SCORED = f"""SELECT series_id, model, {S.mape_sql()} AS mape, {_HITS},
+  avg(CASE WHEN sign(pred_return) = sign(true_return) THEN 1.0 ELSE 0.0 END) * 100 AS da_return, count(*) AS rows FROM p GROUP BY 1, 2"""
+
+
+def _steps(scaled: str, fit: str, split: str, model: str) -> str:
+    return f"""p AS (SELECT series_id, '{model}' AS model, "true", close AS base, true_return, ({scaled}) * std + mean AS pred_return,
+      close * exp(({scaled}) * std + mean) AS pred FROM lab, {fit} WHERE split = '{split}' AND to_split = '{split}')"""
+
+
+_LINE = f"{_ONE_ROW}, ln AS (SELECT regr_slope(label, z) AS slope, regr_intercept(label, z) AS start FROM tr)"
+_STUMP = f"""{_ONE_ROW}, sp AS (SELECT name, avg(label) FILTER (hot = 1) AS one, avg(label) FILTER (hot = 0) AS zero,
+    var_pop(label) - (coalesce(var_pop(label) FILTER (hot = 1) * count(*) FILTER (hot = 1), 0)
+    + coalesce(var_pop(label) FILTER (hot = 0) * count(*) FILTER (hot = 0), 0)) / count(*) AS gain
+  FROM (SELECT label, unnest([{', '.join(f"'{c}'" for c in STEPS)}]) AS name, unnest([{', '.join(f'up_{c}' for c in STEPS)}]) AS hot FROM tr)
+  GROUP BY name), st AS (SELECT * FROM sp WHERE one IS NOT NULL AND zero IS NOT NULL ORDER BY gain DESC LIMIT 1)"""
+_STUMP_VALUE = f"CASE CASE name {' '.join(f"WHEN '{c}' THEN up_{c}" for c in STEPS)} END WHEN 1 THEN one ELSE zero END"
+
+
+def _one_row(spark, sf_dir, inputs, learner):
+    """Fit on a few values of the last row alone; ``inputs`` makes them from the scaled columns by name."""
+    scaled = {c: F.col("x")[S.NUMERIC.index(c)] for c in STEPS}
+    m = stage(matrix(spark, sf_dir).withColumn("x", F.array(*inputs(scaled))), "one-row")
+    table = _lag_table(m, window=1)
+    return m, table, forecasters.fit_direct(table, learner, H)
+
+
+def _line(spark, sf_dir):
+    return _one_row(spark, sf_dir, lambda z: [z["log_returns_close"]], forecasters.linear_learner(regParam=0.0))
+
+
+def _stump(spark, sf_dir):
+    ups = lambda z: [F.when(v > 0, 1.0).otherwise(0.0) for v in z.values()]
+    return _one_row(spark, sf_dir, ups, forecasters.boosted_trees(maxIter=1, maxDepth=1))
+
+
+@query("linear_direct_backtest_one_column", "series_id model mape:6 da:6 da_return:6 rows:i", f"WITH {_LINE}, {_steps('start + slope * z', 'ln', 'valid', 'line')} {_RETURNS_SCORED}")
+def linear_direct_backtest_one_column(spark, sf_dir):
+    m, _, fitted = _line(spark, sf_dir)
+    return _scored(forecasters.apply_direct(fitted, datasets.walk_forward_frames(m, 1, H, "valid"), "line"))
+
+
+@query("gbt_backtest_one_split", "series_id model mape:6 da:6 da_return:6 rows:i", f"WITH {_STUMP}, {_steps(_STUMP_VALUE, 'st', 'valid', 'stump')} {_RETURNS_SCORED}")
+def gbt_backtest_one_split(spark, sf_dir):
+    m, _, fitted = _stump(spark, sf_dir)
+    return _scored(forecasters.apply_direct(fitted, datasets.walk_forward_frames(m, 1, H, "valid"), "stump"))
+
+
+@query(
+    "gbt_direct_fit_one_split",
+    "rows:i mae:6",
+    f"WITH {_STUMP} SELECT count(*) AS rows, avg(abs(label - {_STUMP_VALUE})) AS mae FROM tr, st",
+)
+def gbt_direct_fit_one_split(spark, sf_dir):
+    _, table, fitted = _stump(spark, sf_dir)
+    rows = table.where((F.col("split") == "train") & F.col(f"label_{H}").isNotNull())
+    scored = fitted.transform(rows.withColumn("vector", forecasters.array_to_vector("features")))
+    return scored.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs(F.col("scaled") - F.col(f"label_{H}"))).alias("mae"))
+
+
+@query(
+    "gbt_forecast_one_split",
+    "series_id ts_future pred:4 sig:1",
+    f"""WITH {_STUMP}, o AS (SELECT series_id, ts, close AS v, close * exp(({_STUMP_VALUE}) * std + mean) AS pred FROM lab, st
+      QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY pos DESC) = 1)
+    SELECT series_id, strftime(ts + INTERVAL {H} DAY, '%Y-%m-%d') AS ts_future, pred, {_SIGNAL.format(v='pred', b='v')} AS sig FROM o""",
+)
+def gbt_forecast_one_split(spark, sf_dir):
+    m, table, fitted = _stump(spark, sf_dir)
+    return forecasters.direct_forecast(fitted, table, m, H, "D")
+
+
+@query(
+    "grid_search_lines",
+    "trial mae:6 rows:i",
+    f"""WITH {_ONE_ROW}, g AS (SELECT regr_slope(label, z) AS slope, regr_intercept(label, z) AS start, avg(label) AS middle FROM tr),
+    va AS (SELECT * FROM lab WHERE split = 'valid' AND to_split = 'valid')
+    SELECT 'line' AS trial, avg(abs(label - start - slope * z)) AS mae, count(*) AS rows FROM va, g
+    UNION ALL SELECT 'mean', avg(abs(label - middle)), count(*) FROM va, g""",
+)
+def grid_search_lines(spark, sf_dir):
+    """Two trials that SQL can fit: a line, and one so heavily shrunk that the mean is left."""
+    _, table, _ = _line(spark, sf_dir)
+    trials = {"line": forecasters.linear_learner(regParam=0.0), "mean": forecasters.linear_learner(regParam=1e12)}
     return forecasters.grid_search(table, trials, H)
 
 
+@query("grid_search_direct", "trial rounds:i mae:6 rows:i pruned")
+def grid_search_direct(spark, sf_dir):
+    """A search over random trees, trials above the median given up at each rung."""
+    table = _lag_table(matrix(spark, sf_dir))
+    return forecasters.pruned_search(table, forecasters.random_trees(TRIALS), H, RUNGS)
+
+
 # --------------------------------------------------------------------- stacks
 
 STACK = ["mean_7", "mean_30"]
@@ -285,12 +394,20 @@ def stack_forecast(spark, sf_dir):
 # ----------------------------------------------------------------- evaluation
 
 
+def _evaluation(spark, sf_dir):
+    learners = {"linear": forecasters.linear_learner(), "trees": forecasters.validated_trees()}
+    return evaluate_models(T.daily_split(spark, sf_dir), staged_features(spark, sf_dir), S.NUMERIC, H, WINDOW, learners=learners)
+
+
 @query("evaluate_all_models", "series_id model mape:6 da:6 rows:i")
 def evaluate_all_models(spark, sf_dir):
-    f = staged_features(spark, sf_dir)
-    learners = {"linear": forecasters.linear_learner(), "trees": forecasters.boosted_trees(maxIter=3, maxDepth=2)}
-    preds = evaluate_all(T.daily_split(spark, sf_dir), f, S.NUMERIC, H, WINDOW, learners=learners)
-    return metrics.leaderboard(metrics.score(preds))
+    return metrics.leaderboard(metrics.score(_evaluation(spark, sf_dir).predictions))
+
+
+@query("evaluate_all_forecasts", "series_id model ts_future pred:4 sig:1")
+def evaluate_all_forecasts(spark, sf_dir):
+    """Forecasts past the end of each series from every model."""
+    return _evaluation(spark, sf_dir).forecasts
 
 
 @query("evaluate_all_pairs", "series_id model_a model_b rows:i loss_a:4 loss_b:4 stat:6 p_a_worse:6 p_b_worse:6")

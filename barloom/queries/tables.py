@@ -29,6 +29,15 @@ def matrix(spark, sf_dir):
     return stage(datasets.model_matrix(staged_features(spark, sf_dir), S.NUMERIC, "log_returns_close"), "matrix")
 
 
+def both_matrices(spark, sf_dir):
+    """Learning data scaled by train, and by train and valid together for the fit before the test."""
+    rows = staged_features(spark, sf_dir)
+    return {
+        fit: stage(datasets.model_matrix(rows, S.NUMERIC, "log_returns_close", fit_splits=fit), "matrix")
+        for fit in (datasets.FIRST_FIT, datasets.REFIT)
+    }
+
+
 @query("macro_inner_join", "month:d fed_rate:6 m2_supply:2", f"WITH {S.MACRO} SELECT * FROM months")
 def macro_inner_join(spark, sf_dir):
     return joins.join_months(T.monthly_rate(spark, sf_dir), T.monthly_supply(spark, sf_dir))
@@ -90,11 +99,7 @@ def baseline_attach(spark, sf_dir):
 def order_grid(spark, sf_dir):
     """Every order for every series: the work list of an order search."""
     sizes = T.event_bars(spark, sf_dir, "h").groupBy(KEY).agg(F.count(F.lit(1)).alias("rows"))
-    packed = joins.order_grid(spark, list(range(7)), [1], list(range(7)))
-    orders = [tuple(r) for r in packed.collect()]  # 49 parameter rows
-    return sizes.withColumn(
-        "_o", F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("pdq", o)]) for o in orders]))
-    ).select(KEY, "_o.*", "rows")
+    return joins.orders_of(sizes, list(range(7)), [1], list(range(7)))
 
 
 _INDICATORS = "series_id ts:t sma_50:4 rsi_14:6 atr_14:4 obv:4 macd_12_26_9:3 macd_signal_12_26_9:3 macd_hist_12_26_9:3 price_vs_sma:6 rsi_state macd_crossover:i"
@@ -210,6 +215,18 @@ def lag_feature_table(spark, sf_dir):
     return table.withColumns(_digest("features"))
 
 
+@query(
+    "lag_feature_table_cumulative",
+    "series_id ts:t split label_1:6 label_7:6",
+    f"""WITH {_ZZ} SELECT *, CASE WHEN lag(split, {WINDOW - 1}) OVER {S.W} = lead(split, 1) OVER {S.W} THEN lead(z, 1) OVER {S.W} END AS label_1,
+    CASE WHEN lag(split, {WINDOW - 1}) OVER {S.W} = lead(split, 7) OVER {S.W} THEN {' + '.join(f'lead(z, {k}) OVER {S.W}' for k in range(1, 8))} END AS label_7
+    FROM zz QUALIFY count(*) OVER {S.rows(WINDOW - 1)} = {WINDOW}""",
+)
+def lag_feature_table_cumulative(spark, sf_dir):
+    """Labels over the whole way to the horizon."""
+    return datasets.lag_feature_table(matrix(spark, sf_dir), WINDOW, [1, 7], label="cumulative")
+
+
 @query(
     "seq2seq_windows",
     "series_id ts:t split inputs_total:4 first_target:6 first_row_total:4 last_row_total:4 last_target:6 rows:i width:i",
@@ -283,3 +300,9 @@ def price_from_log_return(spark, sf_dir):
 
 
 EXTERNAL_SQL = _SCALED
+STEPS = ("log_returns_close", "log_returns_volume", "rsi_14")
+# Rows ``zr`` with the scaled return, 1 or 0 for columns above or below their mean, and the scale, fitted on train.
+SCALED_ROWS = f"""{S.FEATURES}, zr AS (SELECT series_id, ts, pos, split, close, log_returns_close AS target, {_z('log_returns_close')} AS z,
+  {', '.join(f"CASE WHEN {_z(c)} > 0 THEN 1.0 ELSE 0.0 END AS up_{c}" for c in STEPS)},
+  avg(CASE WHEN split = 'train' THEN log_returns_close END) OVER (PARTITION BY series_id) AS mean,
+  stddev_pop(CASE WHEN split = 'train' THEN log_returns_close END) OVER (PARTITION BY series_id) AS std FROM features)"""
