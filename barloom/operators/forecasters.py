@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import HOLD_THRESHOLD, direction_signal, future_label, price_from_log_return
+from barloom.operators.frequency import future_label_by_gap, infer_frequency
 from barloom.operators.joins import align_predictions
 from barloom.operators.linear import least_squares
 from barloom.operators.ordered import last_two
@@ -70,21 +71,31 @@ def trailing_mean(
     )
 
 
-def naive_forecast(df: DataFrame, h: int, freq: str, hold: float = HOLD_THRESHOLD) -> DataFrame:
-    """Last value as forecast; the signal compares the last two values."""
-    return last_two(df).select(
+def _dated(ends: DataFrame, history: DataFrame, h: int, freq: str | None) -> DataFrame:
+    """``ends`` with ``ts_future``, h bars on in the given frequency, or in that of each series."""
+    if freq:
+        return ends.withColumn("ts_future", future_label("last_ts", h, freq))
+    gaps = infer_frequency(history).select(KEY, "gap_seconds", "gap_months")
+    return ends.join(gaps, KEY).withColumn("ts_future", future_label_by_gap("last_ts", h))
+
+
+def naive_forecast(df: DataFrame, h: int, freq: str | None = None, hold: float = HOLD_THRESHOLD) -> DataFrame:
+    """Last value as forecast; the signal compares the last two values.  Without ``freq`` it is inferred for each series."""
+    return _dated(last_two(df), df, h, freq).select(
         KEY,
-        future_label("last_ts", h, freq).alias("ts_future"),
+        "ts_future",
         F.col("last_value").alias("pred"),
         direction_signal("last_value", "prev_value", hold).alias("sig"),
     )
 
 
-def final_forecast(preds: DataFrame, history: DataFrame, h: int, freq: str, hold: float = HOLD_THRESHOLD) -> DataFrame:
+def final_forecast(
+    preds: DataFrame, history: DataFrame, h: int, freq: str | None = None, hold: float = HOLD_THRESHOLD
+) -> DataFrame:
     """``(series_id, pred)`` to the forecast record: date, value, signal against the last value."""
-    return preds.join(last_two(history), KEY).select(
+    return preds.join(_dated(last_two(history), history, h, freq), KEY).select(
         KEY,
-        future_label("last_ts", h, freq).alias("ts_future"),
+        "ts_future",
         "pred",
         direction_signal("pred", "last_value", hold).alias("sig"),
     )

@@ -9,6 +9,7 @@ from barloom.functions import columns as C
 from barloom.operators import bars as B
 from barloom.operators import grid, outliers
 from barloom.operators.features import drop_incomplete
+from barloom.operators.frequency import future_label_by_gap, infer_frequency
 from barloom.operators.ordered import lagged
 from barloom.plans import tables as T
 from barloom.plans.blocks import KEY, TS, epoch_seconds, over_blocks
@@ -103,14 +104,17 @@ def dataset_profile(spark, sf_dir):
     FROM (SELECT * FROM hv UNION ALL SELECT * FROM mv) AS v""",
 )
 def register_version(spark, sf_dir):
-    """The registry knows the hourly versions; hourly and minute versions are offered."""
+    """The registry gets the hourly versions, then twice hourly and minute versions together: each is recorded once."""
 
     def versions(freq):
         sizes = T.event_bars(spark, sf_dir, freq).groupBy(F.col(KEY).alias("dataset")).agg(F.count(F.lit(1)).alias("rows"))
         return sizes.withColumn("checksum", F.sha2(F.concat_ws("|", "dataset", F.col("rows").cast("string")), 256))
 
-    known = versions("h")
-    return files.register_versions(known.unionByName(versions("min")), known)
+    path, known = fresh_path(spark, "registry"), versions("h")
+    files.record_versions(known, path)
+    for _ in range(2):
+        registry = files.record_versions(known.unionByName(versions("min")), path)
+    return registry
 
 
 # ------------------------------------------------------------ scalar columns
@@ -227,6 +231,31 @@ def future_timestamp(spark, sf_dir):
     return last.withColumns({name: C.future_label(TS, 7, freq) for freq, name in names.items()})
 
 
+@query(
+    "future_timestamp_inferred",
+    "series_id freq gap_seconds:i gap_months:i ts_future",
+    f"""WITH {S.HOURLY}, {S.DAILY}, me AS (SELECT 'monthly' AS series_id, CAST(last_day(ts) AS TIMESTAMP) AS ts FROM d GROUP BY 2),
+    a AS (SELECT series_id, ts FROM h UNION ALL SELECT series_id, ts FROM d UNION ALL SELECT series_id, ts FROM me),
+    g AS (SELECT series_id, ts, lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS b FROM a),
+    x AS (SELECT *, CASE WHEN last_day(ts) = ts AND last_day(b) = b THEN date_diff('month', b, ts) ELSE 0 END AS m,
+      CAST(epoch(ts) - epoch(b) AS BIGINT) AS s FROM g WHERE b IS NOT NULL),
+    c AS (SELECT series_id, CASE WHEN m > 0 THEN 0 ELSE s END AS s, m, count(*) AS c, min(s) AS shortest FROM x GROUP BY 1, 2, 3),
+    k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY c DESC, shortest) = 1),
+    e AS (SELECT series_id, max(ts) AS ts FROM a GROUP BY 1)
+    SELECT k.series_id, CASE WHEN m = 1 THEN 'ME' WHEN m = 0 AND s = 3600 THEN 'h' WHEN m = 0 AND s = 86400 THEN 'D' END AS freq,
+      s AS gap_seconds, m AS gap_months, strftime(CASE WHEN m > 0 THEN CAST(last_day(ts + to_months(CAST(7 * m AS INTEGER))) AS TIMESTAMP)
+      ELSE ts + to_seconds(7 * s) END, '%Y-%m-%d') AS ts_future FROM k JOIN e ON e.series_id = k.series_id""",
+)
+def future_timestamp_inferred(spark, sf_dir):
+    """Seven bars on for hourly, daily and monthly series whose frequency nobody names."""
+    daily = T.daily_bars(spark, sf_dir)
+    monthly = B.resample_bars(daily, "ME").withColumn(KEY, F.lit("monthly"))
+    bars = [b.select(KEY, TS) for b in (T.event_bars(spark, sf_dir, "h"), daily, monthly)]
+    rows = stage(bars[0].union(bars[1]).union(bars[2]), "mixed-bars")
+    last = rows.groupBy(KEY).agg(F.max(TS).alias(TS))
+    return infer_frequency(rows).join(last, KEY).withColumn("ts_future", future_label_by_gap(TS, 7))
+
+
 # ---------------------------------------------------------------- resampling
 
 _RESAMPLED = """SELECT series_id, {bucket} AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low,
@@ -261,6 +290,22 @@ def grid_asfreq(spark, sf_dir):
     return grid.fill_grid(stage(T.event_bars(spark, sf_dir, "min"), "minute-bars"), 60, aligned=True)
 
 
+# Every 31st minute of an hour comes 30 seconds late.
+_LATE = "late_bars AS (SELECT * REPLACE (CASE WHEN minute(ts) = 31 THEN ts + INTERVAL 30 SECOND ELSE ts END AS ts) FROM m_bars)"
+
+
+@query(
+    "grid_off_rows",
+    S.BARS + " pos:i",
+    f"""WITH {S.MINUTES}, {_LATE}, k_bars AS (SELECT late_bars.* FROM late_bars JOIN (SELECT series_id, min(ts) AS st FROM late_bars GROUP BY 1) AS f
+      ON f.series_id = late_bars.series_id WHERE CAST(epoch(ts) - epoch(st) AS BIGINT) % 60 = 0), {S.grid('MINUTE', 'k_bars', 'g')} SELECT * FROM g""",
+)
+def grid_off_rows(spark, sf_dir):
+    """Rows that lie between the steps of the grid are left out."""
+    late = F.when(F.minute(TS) == 31, F.col(TS) + F.expr("INTERVAL '30' SECOND")).otherwise(F.col(TS))
+    return grid.fill_grid(stage(T.event_bars(spark, sf_dir, "min").withColumn(TS, late), "late-bars"), 60)
+
+
 @query(
     "missing_share",
     "series_id rows:i missing:i missing_pct:6",

@@ -48,7 +48,8 @@ def naive_backtest(spark, sf_dir):
     SELECT series_id, strftime(ts + INTERVAL {H} HOUR, '%Y-%m-%d') AS ts_future, v AS pred, {_SIGNAL.format(v='v', b='b')} AS sig FROM x""",
 )
 def naive_forecast(spark, sf_dir):
-    return forecasters.naive_forecast(T.hourly(spark, sf_dir), H, "h")
+    """The frequency is that of the series."""
+    return forecasters.naive_forecast(stage(T.hourly(spark, sf_dir), "hourly"), H)
 
 
 @query("backtest_metrics", _SCORE, f"WITH {_METRICS} SELECT * FROM k")

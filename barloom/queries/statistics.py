@@ -265,6 +265,16 @@ def dm_test_all_pairs(spark, sf_dir):
     return tests.dm_test(test_predictions(spark, sf_dir), BASES, norm=1)
 
 
+@query(
+    "dm_verdict",
+    "series_id model_a model_b better",
+    f"""SELECT *, CASE WHEN p_a_worse < 0.05 THEN model_b WHEN p_b_worse < 0.05 THEN model_a END AS better FROM ({_dm_sql(1)}) AS t""",
+)
+def dm_verdict(spark, sf_dir):
+    """The better model of each pair where the test decides."""
+    return tests.dm_verdict(tests.dm_test(test_predictions(spark, sf_dir), BASES, norm=1))
+
+
 @query("residuals", "series_id model ts:t residual:4", f'WITH {PRED} SELECT *, "true" - pred AS residual FROM p')
 def residuals(spark, sf_dir):
     return metrics.residuals(test_predictions(spark, sf_dir))

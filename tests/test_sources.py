@@ -37,6 +37,67 @@ def test_checksums(spark, tmp_path):
     assert {r.file for r in files.new_checksums(current, registry).collect()} == {"b.txt", "c.txt"}
 
 
+def test_files_in_pieces(spark, tmp_path):
+    """Large files are streamed; together with the small ones, and beyond the two gigabytes that a row can hold."""
+    bodies = {"a.bin": b"x" * 10, "b.bin": bytes(range(256)) * 40_000, "with space.bin": b"y" * 5_000_000, "empty.bin": b""}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.file: (r.bytes, r.checksum) for r in files.file_checksums(spark, str(tmp_path), "*.bin", 1000).collect()}
+    assert got == {name: (len(b), hashlib.sha256(b).hexdigest()) for name, b in bodies.items() if b}
+    size, digest = (1 << 31) + 12_345, hashlib.sha256()
+    with open(tmp_path / "big.zero", "wb") as f:
+        f.truncate(size)  # takes no disk
+    piece = bytes(1 << 24)
+    for _ in range(size >> 24):
+        digest.update(piece)
+    digest.update(bytes(size & ((1 << 24) - 1)))
+    row = files.file_checksums(spark, str(tmp_path), "*.zero").first()
+    assert (row.bytes, row.checksum) == (size, digest.hexdigest())
+
+
+def test_records_are_appended_once(spark, tmp_path):
+    path, schema = str(tmp_path / "registry"), "dataset string, checksum string, rows long"
+    first = spark.createDataFrame([("d", "c1", 1), ("e", "c/1 %", 2)], schema)
+    assert files.record_versions(first, path).count() == 2
+    offered = spark.createDataFrame([("d", "c1", 99), ("d", "c2", 3), ("d", "c2", 3)], schema)
+    for _ in range(2):  # a rerun adds nothing, and a known version keeps its record
+        got = sorted(tuple(r) for r in files.record_versions(offered, path).select("dataset", "checksum", "rows").collect())
+        assert got == [("d", "c1", 1), ("d", "c2", 3), ("e", "c/1 %", 2)]
+    assert files.read_registry(spark, str(tmp_path / "none"), first.schema).count() == 0
+    sums = spark.createDataFrame([("a.txt", 3, "s1")], "file string, bytes long, checksum string")
+    log = str(tmp_path / "checksums")
+    files.record_checksums(sums, log)
+    changed = sums.union(spark.createDataFrame([("a.txt", 4, "s2")], sums.schema))
+    assert sorted((r.dataset, r.checksum) for r in files.record_checksums(changed, log).collect()) == [("a.txt", "s1"), ("a.txt", "s2")]
+
+
+@pytest.mark.parametrize("rows", [3, 65_536])
+def test_frequency_of_each_series(spark, rows):
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from barloom.operators.forecasters import naive_forecast
+    from barloom.operators.frequency import future_label_by_gap, infer_frequency
+
+    stamps = {
+        "m": pd.date_range("2024-01-01", periods=50, freq="min"), "h": pd.date_range("2024-01-01", periods=40, freq="h").delete([3, 4, 9]),
+        "d": pd.date_range("2024-01-01", periods=80, freq="D").delete(slice(20, 40)), "w": pd.date_range("2024-01-07", periods=9, freq="W"),
+        "me": pd.date_range("2024-01-31", periods=8, freq="ME"), "quarter": pd.date_range("2024-03-31", periods=6, freq="QE"),
+        "ten": pd.date_range("2024-01-01", periods=12, freq="10s"), "one": pd.date_range("2024-01-01", periods=1),
+    }
+    pairs = [(k, str(t)) for k, v in stamps.items() for t in v]
+    df = spark.createDataFrame(pairs, "series_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(3)
+    last = df.groupBy("series_id").agg(F.max("ts").alias("ts"))
+    got = {r.series_id: r for r in infer_frequency(df, rows).join(last, "series_id").withColumn("to", future_label_by_gap("ts", 2)).collect()}
+    assert {k: r.freq for k, r in got.items()} == {"m": "min", "h": "h", "d": "D", "w": "W", "me": "ME", "quarter": None, "ten": None, "one": None}
+    assert got["quarter"].gap_months == 3 and got["quarter"].to == "2025-12-31" and got["me"].to == "2024-10-31"
+    assert got["ten"].gap_seconds == 10 and got["one"].to is None and got["w"].to == "2024-03-17"
+    bars = df.withColumn("close", F.lit(1.0)).withColumn("pos", F.lit(1).cast("long")).where("series_id = 'me'").dropDuplicates(["series_id", "ts"])
+    from barloom.plans.blocks import number_rows
+
+    assert naive_forecast(number_rows(bars.drop("pos"), 86400), 2).first().ts_future == "2024-10-31"
+
+
 def test_profile_and_versions(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01' AS ts, 1.0D AS close UNION ALL SELECT TIMESTAMP_NTZ'2024-01-05', 2.0D")
     row = files.dataset_profile(df, "d", checksum="c1").first()
