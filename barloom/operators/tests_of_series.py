@@ -23,6 +23,11 @@ def default_lags(n: int) -> int:
     return max(0, min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2))
 
 
+def longest_default(rows: DataFrame) -> int:
+    """The longest lag that any series of a numbered, staged table tries; reads one number."""
+    return default_lags(rows.agg(F.max(POS)).first()[0] or 0)
+
+
 def _adf_from_gram(gram: np.ndarray, m: int, lags: int, y: int) -> tuple[int | None, float]:
     """Pick the lag order by the information criterion on the common sample; none where no order leaves a residual.
     Columns: constant, level, lagged changes, and the change as column ``y``."""

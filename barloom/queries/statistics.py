@@ -197,8 +197,7 @@ def seasonal_decompose_monthly(spark, sf_dir):
 @query("adf_test", "series_id stat:6 p_value:6 used_lag:i nobs:i crit_1:6 crit_5:6 crit_10:6")
 def adf_test(spark, sf_dir):
     rows = stage(T.hourly(spark, sf_dir), "hourly")
-    longest = rows.agg(F.max(POS)).first()[0]
-    return tests.adf_test(rows, "close", tests.default_lags(longest))
+    return tests.adf_test(rows, "close", tests.longest_default(rows))
 
 
 _LEVEL = "CAST({} AS DOUBLE) + {} / CAST(m AS DOUBLE) + {} / pow(m, 2) + {} / pow(m, 3)"
@@ -217,6 +216,31 @@ def adf_test_no_lags(spark, sf_dir):
     return tests.adf_test(stage(T.hourly(spark, sf_dir), "hourly"), "close", 0)
 
 
+# Two regressions on centred sums: the change on the level, and on the level and the change before.
+_ADF_TWO = f"""{S.DAILY}, c0 AS (SELECT *, lag(close) OVER {S.W} AS x, close - lag(close) OVER {S.W} AS y FROM d),
+  c AS (SELECT *, lag(y) OVER {S.W} AS w FROM c0),
+  a AS (SELECT series_id, count(*) AS m, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy FROM c WHERE x IS NOT NULL GROUP BY 1),
+  b AS (SELECT series_id, count(*) AS m, var_pop(x) AS xx, var_pop(y) AS yy, var_pop(w) AS ww, covar_pop(x, y) AS xy,
+    covar_pop(x, w) AS xw, covar_pop(w, y) AS wy FROM c WHERE w IS NOT NULL GROUP BY 1),
+  f AS (SELECT *, xx * ww - xw * xw AS det, (xy * ww - wy * xw) / (xx * ww - xw * xw) AS bx, (wy * xx - xy * xw) / (xx * ww - xw * xw) AS bw FROM b),
+  g AS (SELECT *, m * (yy - xy * xy / xx) AS s0, m * (yy - bx * xy - bw * wy) AS s1 FROM f),
+  k AS (SELECT *, m * (ln(2 * pi() * s0 / m) + 1) + 4 AS aic0, m * (ln(2 * pi() * s1 / m) + 1) + 6 AS aic1 FROM g),
+  r AS (SELECT k.series_id, CASE WHEN aic1 < aic0 THEN 1 ELSE 0 END AS used_lag, least(aic0, aic1) AS aic,
+    CASE WHEN aic1 < aic0 THEN k.m ELSE a.m END AS m, CASE WHEN aic1 < aic0 THEN bx / sqrt(s1 / (k.m - 3) * ww / (k.m * det))
+    ELSE a.xy / a.xx / sqrt((a.yy - a.xy * a.xy / a.xx) / (a.m - 2) / a.xx) END AS stat FROM k JOIN a ON a.series_id = k.series_id)"""
+
+
+@query(
+    "adf_test_two_lags",
+    "series_id stat:6 used_lag:i nobs:i aic:3 crit_1:6 crit_5:6 crit_10:6",
+    f"""WITH {_ADF_TWO} SELECT series_id, stat, used_lag, m AS nobs, aic,
+    {', '.join(f'{_LEVEL.format(*v)} AS {k}' for k, v in UNIT_ROOT_CRITICAL.items())} FROM r""",
+)
+def adf_test_two_lags(spark, sf_dir):
+    """No lagged change or one, whichever the criterion prefers."""
+    return tests.adf_test(stage(T.daily(spark, sf_dir), "daily"), "close", 1)
+
+
 @query(
     "ljung_box",
     "series_id lags:i stat:4 p_value:6",
