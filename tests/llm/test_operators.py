@@ -4,7 +4,9 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -307,12 +309,99 @@ def test_html_extraction(spark):
 
 @pytest.mark.parametrize("source", ["<p", "<", "</p></p>", "<div><p>a</div>b", "<a href='>'>x</a>", "<!-- x", "<script>", "<li>a<li>b<ul><li>c</ul>", "&#x110000;&#0;", "<" * 2000])
 def test_broken_pages(source):
-    page_tree.article_blocks(source, page_tree.read(source), set())
+    page_tree.article_blocks(page_tree.read(source))
 
 
 def test_deep_pages():
     source = "<div>" * 5000 + "x" + "</div>" * 5000
-    assert page_tree.article_blocks(source, page_tree.read(source), set()) == ["x"]
+    assert page_tree.article_blocks(page_tree.read(source))[0] == ["x"]
+
+
+N = 100_000
+HARD = {
+    "open tags": "<a " * 10**6, "open quotes": "<a '" * N, "one quote": '<a b="x>' * N + "'", "nested": "<div>" * N + "x" + "</div>" * N,
+    "articles": "<article><p>x</p></article>" * N, "stray ends": "<i><div>" + "<b>" * N + "</i>" * N, "rules": "<b>" * N + "<hr>" * N,
+    "items": "<div>" * N + "<li></li>" * N, "raw": "<script>" + "</script " * N, "comments": "<!--" * N, "signs": "<" * 10**6,
+    "declarations": "<!x" * N, "classes": "<p " + 'class="' * N + ">x", "nested articles": "<article>" * N,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_reading_is_linear(name):
+    """Work follows the length: a quadratic reader would take hours for these."""
+    start = time.perf_counter()
+    page_tree.article_blocks(page_tree.read(HARD[name]))
+    assert time.perf_counter() - start < 20
+
+
+class _Plain(HTMLParser):
+    """Text of a page by a plain parser: blocks are split at block tags, marked elements left out."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.line, self.skip = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.cut(tag)
+        self.skip += self.skip > 0 or tag in ("nav", "footer", "script") if tag not in page_tree.VOID else 0
+
+    def handle_endtag(self, tag):
+        self.cut(tag)
+        self.skip -= self.skip > 0
+
+    def cut(self, tag):
+        if tag in page_tree.BLOCK:
+            self.close_line()
+        elif tag == "br" and not self.skip:
+            self.line.append(" ")
+
+    def close_line(self):
+        text = " ".join("".join(self.line).split())
+        self.blocks += [text] if text else []
+        self.line = []
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.line.append(data)
+
+
+def test_small_pages_against_a_plain_parser():
+    r = random.Random(12)
+
+    def element(depth):
+        kind = r.randrange(8)
+        if kind < 3 or depth > 4:
+            return r.choice(["a b", "x &amp; y", "&eacute;t&eacute;", " ", "1 &lt; 2", "\n t ", "&#8364;"])
+        if kind == 3:
+            return r.choice(["<br>", "<hr>", "<img alt='>'>", "<!-- <p> -->", "<script>'</p>' < 1</script>"])
+        tag = r.choice(["div", "section", "b", "a", "ul", "blockquote", "nav", "footer", "em"])
+        attributes = r.choice(["", " title='a > b'", ' data-x="1"', " lang=en"])
+        return f"<{tag}{attributes}>{''.join(element(depth + 1) for _ in range(r.randrange(4)))}</{tag}>"
+
+    for _ in range(400):
+        source = "<html><body>" + "".join(element(0) for _ in range(6)) + "</body></html>"
+        plain = _Plain()
+        plain.feed(source)
+        plain.close()
+        plain.close_line()
+        assert page_tree.article_blocks(page_tree.read(source))[0] == plain.blocks, source
+
+
+def test_templates_alone_decide_where_menus_change(spark):
+    """Nothing is marked: only what a host does on its pages tells menu, advert and footer from the text."""
+    r = random.Random(2)
+    rows = []
+    for k in range(12):
+        menu = "".join(f"<div><a href='/{r.randrange(999)}'>{prose(2, 1000 * k + i)}</a></div>" for i in range(5))
+        text = "".join(f"<p>{prose(40, 7000 + 10 * k + i)}</p>" for i in range(r.randint(1, 4)))
+        body = f"<div class=one><table><tr><td>{menu}</td></tr></table></div><div class=two><div>{text}</div></div><div class=three>{prose(6, 50 + k)}</div>"
+        rows.append((k, f"http://menus.example/{k}", f"<html><body>{body}</body></html>"))
+    rows += [(100 + k, f"http://few.example/{k}", rows[k][2]) for k in range(3)]  # too few pages to tell
+    got = {g.page_id: g for g in html_extraction.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        want = [w.split("</p>")[0] for w in rows[k][2].split("<p>")[1:]]
+        assert got[k].text.split("\n") == want and got[k].rule == "templates"
+    assert all(got[100 + k].rule == "marks" and len(got[100 + k].text) > len(got[k].text) for k in range(3))
 
 
 def test_language_id(spark):
