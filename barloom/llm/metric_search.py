@@ -6,11 +6,14 @@ on a sphere, where the largest inner product is the smallest distance, so the tr
 A query opens pages from the best bound down and skips pages and entries whose bound, from stored distances alone, can't
 reach its k-th score.  The few best of every shard meet in one ranking per query.
 
-Queries travel in blocks of ``QUERY_BLOCK`` to every shard; a shard has about ``SHARD_ROWS`` rows.  Of equal vectors in a
-shard only the ``k + 1`` smallest ids can be among the results, so a vector that a third of all rows share costs nothing.
+A shard has about ``SHARD_ROWS`` rows; queries come to it in chunks of about ``QUERY_CHUNK``, and a task holds one tree and one
+chunk.  Of equal vectors in a shard only the ``k + 1`` smallest ids can be among the results, so a vector that a third of all
+rows share costs nothing.  How much the bounds save depends on the vectors: nearly all where they cluster, nothing where they
+are spread evenly in many dimensions; there the work is that of every query against every row.
 
 Defined results: vectors that are null or have null or non-finite components, and rows without an id, take no part; of rows with
-one id the vector that sorts first counts; a missing component of a shorter vector counts as 0; an empty vector scores 0.
+one id the vector that sorts first counts; a missing component of a shorter vector counts as 0; an empty vector scores 0;
+components so large that an inner product may leave 64 bits are an error.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from __future__ import annotations
 import heapq
 import math
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.steps import discard, per_batch, written
+from barloom.llm.steps import discard, written
 from barloom.plans.staging import ship_package
 
 SHARD_ROWS = 8192
-PAGE = 64
+PAGE = 256
 FAN = 16  # children of an inner page
-QUERY_BLOCK = 256
+QUERY_CHUNK = 16_384
+TASKS = 8192  # partitions of searches at most
 SCALE = 1024
 
 
@@ -65,6 +68,7 @@ class MTree:
         square = (self.x.astype(np.float64) ** 2).sum(axis=1)
         self.top = float(square.max()) if len(square) else 0.0
         self._lifted = np.column_stack([self.x.astype(np.float64), np.sqrt(np.maximum(self.top - square, 0))])
+        self._plain = None  # the vectors as doubles, for products that doubles hold exactly
         self.pages: list[tuple] = []
         self._build(np.arange(len(self.ids)), 0)
         del self._lifted
@@ -98,10 +102,23 @@ class MTree:
         self.pages[here] = (pivot, radius, children, pivots, self._distance(pivots, pivot))
         return here
 
+    def _products(self, rows: np.ndarray, query: np.ndarray, exact: np.ndarray | None) -> np.ndarray:
+        return self.x[rows] @ query if exact is None else (self._plain[rows] @ exact).astype(np.int64)
+
+    def _exact(self, query: np.ndarray) -> np.ndarray | None:
+        """The query as doubles if all products with it are below 2**53."""
+        largest = float(np.abs(query).max(initial=0)) * math.sqrt(self.top) * max(len(query), 1)
+        if largest >= 2.0**53:
+            return None
+        if self._plain is None:
+            self._plain = self.x.astype(np.float64)
+        return query.astype(np.float64)
+
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[list[tuple[int, int]], int]:
         """The ``k`` best ``(score, vec_id)`` but ``own``, and how many inner products it took."""
         if not len(self.ids):
             return [], 0
+        exact = self._exact(query)
         square = float((query.astype(np.float64) ** 2).sum())
         both = square + self.top
         slack = 1 + 1e-9 * both
@@ -123,7 +140,7 @@ class MTree:
             if children is None:
                 use = rows[bound(np.abs(d - far)) >= worst]
                 work += len(use)
-                for s, v in zip((self.x[use] @ query).tolist(), self.ids[use].tolist(), strict=True):
+                for s, v in zip(self._products(use, query, exact).tolist(), self.ids[use].tolist(), strict=True):
                     if v != own and (len(best) < k or (s, -v) > best[0]):
                         heapq.heappush(best, (s, -v)) if len(best) < k else heapq.heapreplace(best, (s, -v))
                 if len(best) == k:
@@ -132,7 +149,7 @@ class MTree:
             radii = np.array([self.pages[c][1] for c in children])
             near = np.flatnonzero(bound(np.abs(d - far) - radii) >= worst)
             work += len(near)
-            to = np.sqrt(np.maximum(both - 2.0 * (self.x[rows[near]] @ query), 0))
+            to = np.sqrt(np.maximum(both - 2.0 * self._products(rows[near], query, exact), 0))
             for c, e, b in zip(near.tolist(), to.tolist(), bound(to - radii[near]).tolist(), strict=True):
                 if b >= worst:
                     heapq.heappush(heap, (-b, children[c], e))
@@ -151,35 +168,36 @@ def shard_trees(rows: DataFrame, shards: int, width: int, k: int) -> DataFrame:
     return dealt.groupBy("shard").applyInArrow(work, "shard int, tree binary")
 
 
-def query_blocks(rows: DataFrame, queries: str, shards: int) -> DataFrame:
-    """``(shard, ids, vectors)``: each block of queries once for every shard."""
-    asked = rows.where(queries)
-    blocks = max(1, asked.count() // QUERY_BLOCK)  # one number
-    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks))
-    asked = asked.groupBy(block.alias("block")).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vectors"))
-    return asked.select("ids", "vectors", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-
 def top_k(table: DataFrame, queries: str = "vec_id % 100 = 0", k: int = 10, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
     """``(query_id, rank, vec_id, score)`` of the ``k`` best rows for each row that meets ``queries``."""
     rows = written(quantised(table, vec, key), "vectors")
-    count, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()  # two numbers
-    shards = count // SHARD_ROWS + 1
+    largest = F.greatest(F.abs(F.array_max("v").cast("double")), F.abs(F.array_min("v").cast("double")))
+    numbers = rows.agg(F.count("*"), F.max(F.size("v")), F.max(largest), F.count_if(F.expr(queries))).first()  # four numbers
+    count, width, size, asked = (v or 0 for v in numbers)
+    if width * size * size >= 2.0**62:
+        raise ValueError(f"components up to {size:.0f} in {width} dimensions: an inner product may leave 64 bits")
+    shards, chunks = count // SHARD_ROWS + 1, asked // QUERY_CHUNK + 1
     trees = written(shard_trees(rows, shards, width, k), "trees")
-    pairs = query_blocks(rows, queries, shards).join(trees, "shard")
-
-    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for row in range(len(batch)):
-            tree = pickle.loads(batch.column("tree")[row].as_py())
-            asked, vectors = batch.column("ids")[row].as_py(), _matrix(batch.column("vectors")[row].as_py(), width)
-            out = []
-            for own, vector in zip(asked, vectors, strict=True):
+    tasks = min(shards * chunks, TASKS)  # one search a task as far as they go; searches are long, whatever their size in bytes
+    meet = ["shard", "chunk"]
+    per_chunk = trees.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(tasks, *meet)
+    chunk = F.pmod(F.xxhash64("vec_id", F.lit("chunk")), F.lit(chunks)).cast("int")
+    travel = rows.where(queries).select("vec_id", "v", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    travel = travel.repartition(tasks, *meet)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left) and len(right):
+            tree = pickle.loads(left.column("tree")[0].as_py())
+            vectors = _matrix(right.column("v").to_pylist(), width)
+            for own, vector in zip(right.column("vec_id").to_pylist(), vectors, strict=True):
                 out.extend((own, v, s) for s, v in tree.search(vector, own, k)[0])
-            columns = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
-    found = written(per_batch(pairs.select("tree", "ids", "vectors"), work, "query_id long, vec_id long, score long"), "found")
-    discard(trees)
+    searched = per_chunk.groupBy(*meet).cogroup(travel.groupBy(*meet))
+    found = written(searched.applyInArrow(work, "query_id long, vec_id long, score long"), "found")
+    discard(trees, rows)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -189,6 +189,22 @@ def test_metric_search(spark):
         score = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:10]
         assert [found[k + 1] for k in range(10)] == [(i, -s) for s, i in score]
     assert metric_search.top_k(empty(spark, "vec_id long, embedding array<double>")).count() == 0
+    large = [(0, [3e5, -1.0]), (100, [-2e5, 4e4]), (200, [1.0, 2.0])]  # products beyond what doubles hold exactly
+    good = {i: [math.floor(1024 * c) for c in v] for i, v in large}
+    for x in metric_search.top_k(spark.createDataFrame([*large, *[(i, [float(i), 1e5]) for i in range(1, 60)]], "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("shard", F.lit(2))).collect():
+        other = good.get(x.vec_id, [1024 * x.vec_id, 102_400_000])
+        assert x.score == sum(a * b for a, b in zip(good[x.query_id], other))
+    with pytest.raises(ValueError, match="64 bits"):
+        metric_search.top_k(spark.createDataFrame([(0, [1e200])], "vec_id long, embedding array<double>"))
+
+
+def test_chunks_and_shards_do_not_change_results(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    frame = spark.createDataFrame([(i, [float(v) for v in r.normal(size=5)]) for i in range(900)], "vec_id long, embedding array<double>")
+    want = sorted(metric_search.top_k(frame, "vec_id % 3 = 0", 4).collect())
+    monkeypatch.setattr(metric_search, "SHARD_ROWS", 200)
+    monkeypatch.setattr(metric_search, "QUERY_CHUNK", 70)
+    assert sorted(metric_search.top_k(frame, "vec_id % 3 = 0", 4).collect()) == want and len(want) == 1200
 
 
 def test_tree_saves_work_and_stays_exact():
