@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.mixing import _prefix
+from barloom.llm.mixing import prefix_sums
 from barloom.llm.steps import written
 
 SYSTEM = "system"
@@ -47,8 +47,7 @@ def perspectives(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     both = both.withColumn("_head", F.length(head)).withColumn("rendered", F.concat(head, "body", F.lit(CLOSE)))
     both = both.withColumn("_chunk", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62)))).withColumn("_size", F.length("rendered").cast("long"))
     order = ["turn", "speaker", "body", "_row"]
-    placed = _prefix(both, ["conv_id", "perspective"], "_chunk", order, "_size", "begin")
-    placed = _prefix(placed.withColumn("_one", F.lit(1)), ["conv_id", "perspective"], "_chunk", order, "_one", "seq")
+    placed = prefix_sums(both.withColumn("_one", F.lit(1)), ["conv_id", "perspective"], "_chunk", order, {"begin": "_size", "seq": "_one"})
     begin = F.when(F.col("trained"), F.col("begin") + F.col("_head"))
     placed = placed.withColumn("trained_from", begin).withColumn("trained_to", F.when(F.col("trained"), F.col("begin") + F.col("_size")))
     return placed.select("conv_id", "perspective", "turn", "seq", "role", "name", "rendered", "begin", "trained_from", "trained_to", "trained")

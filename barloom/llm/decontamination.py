@@ -6,10 +6,11 @@ the postings of the rarest give the places where the window could begin, the lis
 offsets, are intersected on ``(term, doc_id, pos)``, and what is left is compared word by word with the text.
 
 Skew: terms are looked up rarest first, so frequent words never expand; every other join has the document in its key.  The
-benchmark's terms and windows are broadcast only when counted and within ``BROADCAST_ROWS``, else joined by shuffle.
+benchmark's terms and windows are broadcast only when their bytes are counted and within ``BROADCAST_BYTES``, else joined by
+shuffle.
 
-Defined results: a null text has no words; an item without words has no window; equal items count once by ``item_id``; a null
-``item_id`` or ``doc_id`` is a value like others; rows with the same ``doc_id`` are each compared with their own text; other
+Defined results: a null text has no words; an item without words has no window; equal items count once by ``item_id``; the words
+of an item without id are hit like others, but it is not among the items; a null ``doc_id`` is a value like others; rows with the same ``doc_id`` are each compared with their own text; other
 columns pass through ``decontaminated``, whatever their names.
 """
 
@@ -22,7 +23,9 @@ from barloom.llm.steps import discard, written
 
 WIDTH = 13
 LISTS = 3  # posting lists intersected before the exact comparison
-BROADCAST_ROWS = 500_000  # of at most about 200 bytes
+BROADCAST_BYTES = 64 << 20
+TERM_BYTES = 32  # of a row with one term, as joined in memory
+WORD_BYTES = 96  # of a window's word with its probe, its letters aside
 SHARE = 20  # contaminated from one hit word in so many words
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,8 +40,15 @@ def _number_of_words(entries: str) -> Column:
     return F.size(entries) - 1 - F.when(F.element_at(entries, -1) == "", 1).otherwise(0)
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bounded(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast ``df`` if it has few bytes."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _window_bytes(ranked: DataFrame) -> int:
+    """Bytes of windows with their probes; one number."""
+    letters = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w))
+    return ranked.agg(F.sum(letters + WORD_BYTES * F.size("words"))).first()[0] or 0
 
 
 def item_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -54,7 +64,7 @@ def positional_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = written(terms.select(F.xxhash64("word").alias("term")).distinct(), "terms")
     words = docs.select("doc_id", F.posexplode(gapped_words()).alias("_at", "_word"))
     words = words.select(F.xxhash64("_word").alias("term"), "doc_id", (F.col("_at") - 1).alias("pos"))
-    return written(words.join(_bounded(wanted, wanted.count()), "term", "left_semi"), "postings")
+    return written(words.join(_bounded(wanted, TERM_BYTES * wanted.count()), "term", "left_semi"), "postings")
 
 
 def _ranked_windows(index: DataFrame, windows: DataFrame) -> DataFrame:
@@ -69,19 +79,22 @@ def _ranked_windows(index: DataFrame, windows: DataFrame) -> DataFrame:
 def phrase_candidates(index: DataFrame, windows: DataFrame, lists: int = LISTS) -> DataFrame:
     """``(item_id, at, words, doc_id, start)``: places that agree with a window on its ``lists`` rarest terms."""
     ranked = _ranked_windows(index, windows)
-    rows = ranked.count()
     probe = ranked.withColumn("term", F.expr("probes[0].term"))
-    found = index.join(_bounded(probe, rows), "term").withColumn("start", F.expr("pos - probes[0].off")).where("start >= 0")
-    found = found.drop("term", "pos")
+    found = index.join(_bounded(probe, _window_bytes(ranked)), "term").withColumn("start", F.expr("pos - probes[0].off")).where("start >= 0")
+    found = written(found.drop("term", "pos"), "candidates")
+    terms = TERM_BYTES * ranked.count()
     for k in range(1, lists):
         wanted = ranked.select(F.expr(f"get(probes, {k}).term").alias("term")).distinct()
-        postings = index.join(_bounded(wanted, rows), "term", "left_semi").select(
+        postings = index.join(_bounded(wanted, terms), "term", "left_semi").select(
             F.col("term").alias("_term"), F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos")
         )
         probed = found.where(F.size("probes") > k).withColumn("_t", F.expr(f"get(probes, {k}).term")).withColumn("_p", F.expr(f"start + get(probes, {k}).off"))
         same = (F.col("_t") == F.col("_term")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_p") == F.col("_pos"))
         both = probed.join(postings, same, "left_semi").drop("_t", "_p")
-        found = both.union(found.where(F.size("probes") <= k).select(both.columns))
+        fewer = written(both.union(found.where(F.size("probes") <= k).select(both.columns)), "candidates")
+        discard(found)
+        found = fewer
+    discard(ranked)
     return found.select("item_id", "at", "words", "doc_id", "start")
 
 
@@ -93,7 +106,7 @@ def exact_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
     place = F.struct("start", F.size("words").alias("length"), "item_id", "at", "words")
     places = phrase_candidates(index, windows).groupBy("doc_id").agg(F.collect_set(place).alias("_places"))
     places = written(places.withColumnRenamed("doc_id", "_doc"), "places")
-    discard(index)
+    discard(index, windows)
     both = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     both = both.withColumn("_entries", gapped_words())
     true = F.expr("filter(coalesce(_places, array()), p -> slice(_entries, p.start + 2, p.length) = p.words)")
@@ -107,7 +120,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, reach: int, width: int
     windows = written(item_windows(items, width), "item-windows")
     index = positional_index(docs, windows.select(F.explode("words").alias("word")))
     ranked = _ranked_windows(index, windows).withColumn("terms", F.array_distinct(F.col("probes.term")))
-    pivot = index.join(_bounded(ranked.withColumn("term", F.expr("probes[0].term")), ranked.count()), "term")
+    pivot = index.join(_bounded(ranked.withColumn("term", F.expr("probes[0].term")), _window_bytes(ranked)), "term")
     wanted = pivot.select("item_id", "at", "doc_id", "pos", F.size("terms").alias("_n"), F.explode("terms").alias("term"))
     cell = lambda c: F.floor(F.col(c) / (reach + 1))
     wanted = wanted.withColumn("_cell", F.explode(F.sequence(cell("pos") - 1, cell("pos") + 1)))
@@ -125,7 +138,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
         " 'hit', a.hit + greatest(0, m.start + m.length - greatest(a.upto, m.start))), a -> a.hit)"
     )
     found = found.withColumn("_n_hit", hit)
-    found = found.withColumn("_items", F.expr("array_sort(array_distinct(transform(_matches, m -> cast(m.item_id AS string))))"))
+    found = found.withColumn("_items", F.expr("array_sort(array_distinct(array_compact(transform(_matches, m -> cast(m.item_id AS string)))))"))
     return found.withColumn("_contaminated", F.expr(f"_n_hit > 0 AND {SHARE} * _n_hit >= _n_words")).drop("_matches", "_entries")
 
 

@@ -61,13 +61,20 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
 def _prefix(rows: DataFrame, by: list[str], chunk: str, order: list, value: str, name: str) -> DataFrame:
     """Exclusive running sum of ``value`` in the order of ``chunk`` then ``order``, within ``by``."""
-    sums = rows.groupBy(*by, chunk).agg(F.sum(value).alias("_sum"))
+    return prefix_sums(rows, by, chunk, order, {name: value})
+
+
+def prefix_sums(rows: DataFrame, by: list[str], chunk: str, order: list, sums: dict[str, str]) -> DataFrame:
+    """Exclusive running sums ``{new column: column}`` in the order of ``chunk`` then ``order``, within ``by``, in one pass."""
+    ends = rows.groupBy(*by, chunk).agg(*[F.sum(value).alias(f"_sum_{name}") for name, value in sums.items()])
     before = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(chunk).alias("_chunk_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
+    carries = [F.coalesce(F.sum(f"_sum_{name}").over(before), F.lit(0)).alias(f"_carry_{name}") for name in sums]
+    carry = ends.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(chunk).alias("_chunk_of"), *carries)
     same = reduce(lambda a, b: a & b, [rows[c].eqNullSafe(carry[f"_by_{c}"]) for c in by], rows[chunk] == carry["_chunk_of"])
     inside = Window.partitionBy(*by, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(carry, same).drop("_chunk_of", *[f"_by_{c}" for c in by])
-    return joined.withColumn(name, F.col("_carry") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_carry")
+    joined = joined.withColumns({n: F.col(f"_carry_{n}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for n, v in sums.items()})
+    return joined.drop(*[f"_carry_{name}" for name in sums])
 
 
 def token_lines(docs: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELE
   FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
 m AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw USING (s, n)),
 h AS (SELECT doc_id, count(DISTINCT p) AS hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(hit, 0) > 0 AND 20 * coalesce(hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
@@ -128,7 +128,7 @@ u AS (SELECT doc_id, 'line' AS kind, i - 1 AS line, l[i] AS text FROM (SELECT do
   UNION ALL SELECT doc_id, 'paragraph', e[k], array_to_string(l[e[k] + 1:e[k + 1] - 1], chr(10))
   FROM (SELECT doc_id, l, e, unnest(range(1, len(e))) AS k FROM e) WHERE e[k + 1] - e[k] > 2
   UNION ALL SELECT doc_id, 'text', 0, array_to_string(l, chr(10)) FROM e WHERE len(e) > 2),
-uw AS (SELECT doc_id, kind, line, {_PARTS} AS w FROM u), ug AS (SELECT doc_id, kind, line, {_PAIRS} AS g FROM uw WHERE len(w) BETWEEN 2 AND 600),
+uw AS (SELECT doc_id, kind, line, {_PARTS} AS w FROM u), ug AS (SELECT doc_id, kind, line, {_PAIRS} AS g FROM uw WHERE len(w) >= 2),
 t AS (SELECT * FROM (VALUES {_VALUES}) AS x(licence, variant, text)),
 tg AS (SELECT licence, variant, {_PAIRS} AS g FROM (SELECT licence, variant, {_PARTS} AS w FROM t)),
 s AS (SELECT doc_id, kind, line, licence, variant, 2.0::DOUBLE * len(list_intersect(ug.g, tg.g)) / (len(ug.g) + len(tg.g)) AS dice
