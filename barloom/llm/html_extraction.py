@@ -38,7 +38,7 @@ PLACE_SHARE = 0.3
 MAIN_SHARE = 0.5
 LINK_SHARE = 0.6
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-_ROW = "_page_host string, _page long, skeleton long, subtree long, depth int, chars long, links long"
+_ROW = "_page_host long, _page long, skeleton long, subtree long, depth int, chars long, links long"
 _LISTS = ("contents", "anywhere", "outside", "main")
 
 
@@ -61,7 +61,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
         columns += [pa.array([f[i] for f in found], t) for i, t in enumerate(types)]
         yield pa.record_batch(columns, [c.split()[0] for c in _ROW.split(", ")])
 
-    known = pages.where("html IS NOT NULL AND _page_host <> ''").select("_page_host", "_page", "html")
+    known = pages.where("html IS NOT NULL AND _page_host IS NOT NULL").select("_page_host", "_page", "html")
     return per_batch(known, work, _ROW)
 
 
@@ -89,7 +89,7 @@ def templates(found: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``pages`` with ``_page_text`` and ``_page_rule``."""
     host = F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))
-    marked = pages.withColumn("_page_host", host).withColumn("_page", F.xxhash64("html"))
+    marked = pages.withColumn("_page_host", F.when(host != "", F.xxhash64(host))).withColumn("_page", F.xxhash64("html"))
     found = written(subtrees(marked), "subtrees")
     recurring = written(templates(found, min_pages, min_share), "templates")
     values = F.explode(F.array(F.struct(F.lit(True).alias("c"), F.col("subtree").alias("value")), F.struct(F.lit(False).alias("c"), F.col("skeleton").alias("value"))))
@@ -99,7 +99,8 @@ def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     lists = written(listed.groupBy("_page", "_page_host").agg(*lists), "page-templates")
     discard(found, recurring)
     carried = pages.columns
-    both = marked.join(lists, ["_page", "_page_host"], "left").select(*carried, *[f"_page_{k}" for k in _LISTS])
+    # one way at every size: short lists would be broadcast, longer ones shuffle the pages
+    both = marked.join(lists.hint("merge"), ["_page", "_page_host"], "left").select(*carried, *[f"_page_{k}" for k in _LISTS])
     schema = T.StructType([*pages.schema.fields, T.StructField("_page_text", T.StringType()), T.StructField("_page_rule", T.StringType())])
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,7 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[\"'>]")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -57,7 +58,7 @@ class Element:
 def _is_furniture(tag: str, attributes: str, inside: bool) -> bool:
     if tag in FURNITURE or (tag == "header" and not inside):
         return True
-    if not attributes:
+    if not attributes or not _TELLING.search(attributes):
         return False
     if _HIDDEN.search(attributes):
         return True
@@ -138,6 +139,11 @@ def _raw_end(tag: str) -> re.Pattern:
     return re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
 
 
+def _place(parent: int, tag: str, attributes: str) -> int:
+    return _key(parent, tag, attributes if attributes and _TELLING.search(attributes) else "")
+
+
+@lru_cache(maxsize=1 << 16)
 def _key(parent: int, tag: str, attributes: str) -> int:
     names = sorted({w.lower() for m in _NAMES.finditer(attributes) for w in _CONTAINER_WORD.findall(m[1])}) if attributes else []
     return int.from_bytes(hashlib.blake2b(f"{parent} {tag} {names}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -185,7 +191,7 @@ def read(source: str) -> Element:
         up = open_[-1]
         inside = up.inside or up.tag in ("article", "main")
         furniture = up.furniture or _is_furniture(tag, attributes, inside)
-        node = Element(tag, start, up, furniture, inside, real.get(tag, 0) > 0, _key(up.skeleton, tag, attributes), len(open_), attributes, end)
+        node = Element(tag, start, up, furniture, inside, real.get(tag, 0) > 0, _place(up.skeleton, tag, attributes), len(open_), attributes, end)
         up.parts.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             depths.setdefault(tag, []).append(len(open_))
@@ -232,8 +238,11 @@ def subtree_hash(node: Element) -> int:
 
 
 def may_be_template(node: Element) -> bool:
-    """Paragraphs, headings and items of an article are its own text, however often a site repeats them."""
-    return node.tag in BLOCK and node.tag not in ("html", "body", "article", "main") and not (node.inside and node.tag in _OWN)
+    """Containers, and lines that stand in the page itself.  Paragraphs, headings and items of an article are its own text, however
+    often a site repeats them."""
+    if node.tag not in BLOCK or node.tag in ("html", "body", "article", "main"):
+        return False
+    return node.tag not in _OWN or node.parent.tag in ("", "html", "body")
 
 
 _OWN = HEADINGS | {"p", "li", "blockquote", "pre", "dd", "dt", "td", "th", "tr", "figcaption", "tbody", "thead", "tfoot"}
