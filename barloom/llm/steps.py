@@ -49,9 +49,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def numbered(df: DataFrame, key: str = "_row") -> DataFrame:
-    """Rows with a number of their own, so that equal rows stay apart; write the result before reading it twice."""
-    return df.withColumn(key, F.monotonically_increasing_id())
+HOT_SHARE = 1000  # a key with more than one row in so many is hot, so there are fewer than so many hot keys
+SALTS = 64
+
+
+def hot_keys(counts: DataFrame, key: list[str], n: str, rows: int) -> DataFrame:
+    """Keys of the table ``counts`` (a row for each key, with its rows in column ``n``) that have more than a ``HOT_SHARE``-th of
+    ``rows``: fewer than ``HOT_SHARE`` rows, whatever the table."""
+    return counts.where(F.col(n) * HOT_SHARE > rows).select(*key, F.lit(True).alias("_hot"))
+
+
+def join_hot(large: DataFrame, small: DataFrame, key: list[str], hot: DataFrame, spread: list[str]) -> DataFrame:
+    """Join on ``key`` where ``small`` has few rows for each key and ``large`` has keys with a large share of all rows: rows of
+    ``hot`` keys are dealt out by ``spread`` to ``SALTS`` copies of their partner."""
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    left = large.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*key, "_salt"]).drop("_salt")
 
 
 def discard(*tables: DataFrame) -> None:

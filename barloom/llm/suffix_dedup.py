@@ -9,9 +9,13 @@ Runs with the same content are one class.  Classes of one minimizer go to one sh
 prefixes tell which starts have a common prefix of ``WIDTH`` bytes with a neighbour; a class of several runs needs no
 sorting, each of its strings occurs in all of them.
 
-Skew: groups are counted and combined before anything is gathered; a shard has about ``SHARD_BYTES`` of content, and a
-minimizer with more than ``SHARD_CLASSES`` classes is not gathered: its strings are hashed to 128 bits, one row each, and
-counted.
+A minimizer with more than ``SHARD_CLASSES`` classes is split by radix.  Equal strings have it at the same offset, so the strings
+of a class are cut into two halves by the bytes before the minimizer, and each half is told apart by all the bytes around it
+that its strings have in common.  Groups that are still too large are cut again: the halves shrink, the common bytes grow,
+and after nine cuts they are the string itself.  All others are sorted.
+
+Skew: groups are counted and combined before anything is gathered; a shard has about ``SHARD_BYTES`` of content; joins back to
+the runs deal out keys that hold more than a thousandth of all runs.
 
 Defined results: a null text has no bytes; texts shorter than ``WIDTH`` lose nothing; equal rows are each other's copies, so
 they lose every string; documents with the same ``doc_id`` and text are told apart by number only; other columns pass through
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.llm.steps import discard, per_batch, written
+from barloom.llm.steps import discard, hot_keys, join_hot, per_batch, written
 from barloom.llm.suffix_array import permuted_common_prefixes, suffix_array
 from barloom.llm.wordtools import byte_sums, mix, signed, slices, text_bytes
 from barloom.plans.staging import ship_package
@@ -137,69 +141,97 @@ def repeated_in_shard(contents: list[bytes], width: int) -> list[np.ndarray]:
     return [_stretches(hit[a : a + n]) for a, n in zip(first.tolist(), size.tolist(), strict=True)]
 
 
-def _hits_by_suffix_array(contents: DataFrame, shards: int, width: int) -> DataFrame:
-    def work(group: pa.Table) -> pa.Table:
-        order = pc.sort_indices(group, [(k, "ascending") for k in _CLASS])
-        group = group.take(order)
-        found = repeated_in_shard(group.column("content").to_pylist(), width)
-        keep = [k for k, f in enumerate(found) if len(f)]
-        out = group.select(_CLASS).take(pa.array(keep, pa.int64()))
-        return out.append_column("hits", pa.array([found[k].astype(np.int32).tolist() for k in keep], pa.list_(pa.list_(pa.int32()))))
+_PART = f"{_CLASS_TYPES}, low int, high int, group binary, content binary"
+
 
-    ship_package(contents.sparkSession)
-    sharded = contents.withColumn("_shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+def _hits_by_suffix_array(parts: DataFrame, shards: int, width: int) -> DataFrame:
+    """``(class, hits)``: stretches of starts in the class whose strings occur elsewhere among the parts of their group."""
+
+    def work(shard: pa.Table) -> pa.Table:
+        shard = shard.take(pc.sort_indices(shard, [(k, "ascending") for k in (*_CLASS, "low")]))
+        found = repeated_in_shard(shard.column("content").to_pylist(), width)
+        keep = [k for k, f in enumerate(found) if len(f)]
+        out = shard.select(_CLASS).take(pa.array(keep, pa.int64()))
+        first = [v.as_py() for v in shard.column("first")]
+        hits = [(found[k] + first[k]).astype(np.int32).tolist() for k in keep]
+        return out.append_column("hits", pa.array(hits, pa.list_(pa.list_(pa.int32()))))
+
+    ship_package(parts.sparkSession)
+    # a part's first start in its class: the one with the most bytes before the minimizer
+    first = F.greatest(F.lit(0), F.col("lead") - F.col("high") + 1).alias("first")
+    sharded = parts.select(*_CLASS, "low", first, "content", F.pmod(F.xxhash64("group"), F.lit(shards)).alias("_shard"))
     return sharded.groupBy("_shard").applyInArrow(work, f"{_CLASS_TYPES}, hits array<array<int>>")
 
 
-def _hits_by_count(contents: DataFrame, width: int) -> DataFrame:
-    """The same for minimizers with too many classes for one shard: one row for each string."""
+def halves(parts: DataFrame, width: int, gram: int) -> DataFrame:
+    """Each part cut in two by the bytes before the minimizer, and grouped by the bytes that all strings of a half have.
+
+    A part holds the strings with ``low`` to ``high - 1`` bytes before the minimizer; all of them have ``low`` bytes before it and
+    ``width - gram - high + 1`` behind it.
+    """
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for part in slices(batch, "content"):
-            raw, rows = text_bytes(part.column("content"))
-            size = np.diff(rows) - width + 1
-            row = np.repeat(np.arange(len(size)), size)
-            off = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            at = rows[row] + off
-            hashes = []
-            for salt in (0, 1):
-                sums, down = byte_sums(raw, salt)
-                hashes.append(signed(mix((sums[at + width] - sums[at]) * down[at])))
-            kept = {k: part.column(k).take(pa.array(row)) for k in _CLASS}
-            yield pa.record_batch({**kept, "one": hashes[0], "two": hashes[1], "off": off.astype(np.int32)})
-
-    rows = written(per_batch(contents, work, f"{_CLASS_TYPES}, one long, two long, off int"), "strings")
-    often = rows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-    spans = rows.join(often, ["one", "two"]).groupBy(*_CLASS).agg(F.collect_list(F.array("off", F.col("off") + 1)).alias("hits"))
-    return written(spans, "string-hits")
+        out = []
+        for p in batch.to_pylist():
+            first = max(0, p["lead"] - p["high"] + 1)
+            middle = (p["low"] + p["high"] + 1) // 2
+            for low, high in ((p["low"], middle), (middle, p["high"])):
+                begin, last = max(0, p["lead"] - high + 1), min(p["starts"] - 1, p["lead"] - low)
+                if low < high and begin <= last:
+                    at = p["lead"] - first  # of the minimizer in the part's content
+                    common = p["content"][at - low : at + width - high + 1]
+                    group = hashlib.sha256(p["group"] + b"%d %d " % (low, high) + common).digest()[:16]
+                    out.append({**p, "low": low, "high": high, "group": group, "content": p["content"][begin - first : last - first + width]})
+        yield pa.RecordBatch.from_pylist(out, batch.schema)
+
+    return per_batch(parts, work, _PART)
+
+
+def _hits(contents: DataFrame, width: int, gram: int) -> DataFrame:
+    """``(class, hits)`` of the classes in ``contents``: suffix arrays over groups of at most ``SHARD_CLASSES`` parts."""
+    whole = [F.lit(0).alias("low"), F.lit(width - gram + 1).alias("high"), F.unhex(F.hex("anchor")).alias("group")]
+    parts, found = contents.select(*_CLASS, *whole, "content"), None
+    span = width - gram + 1
+    while True:
+        crowd = parts.groupBy("group").agg(F.count("*").alias("n")).where(f"n > {SHARD_CLASSES}")
+        crowd = written(crowd, "crowded")
+        few = parts.join(crowd.select("group"), "group", "left_anti")
+        volume = parts.agg(F.sum(F.length("content"))).first()[0] or 0  # one number
+        sorted_ = written(_hits_by_suffix_array(few, volume // SHARD_BYTES + 1, width), "hits")
+        found = sorted_ if found is None else found.union(sorted_)
+        if crowd.isEmpty():
+            return found
+        if span == 1:  # a group's parts are one string
+            same = parts.join(crowd.select("group"), "group").select(*_CLASS, F.array(F.array(F.col("lead") - F.col("low"), F.col("lead") - F.col("low") + 1)).alias("hits"))
+            return found.union(written(same, "hits"))
+        cut = written(halves(parts.join(crowd.select("group"), "group").select([f.split()[0] for f in _PART.split(", ")]), width, gram), "halves")
+        discard(crowd)
+        parts, span = cut, (span + 1) // 2
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """``(doc_id, _text, _spans)``: stretches ``[begin, end)`` of bytes to remove, which may overlap."""
     runs = written(minimizer_runs(docs, width, gram), "runs")
     shared = runs.groupBy("anchor").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-    shared = shared.where("n > 1").select("anchor", (F.col("low") < F.col("high")).alias("mixed"))
-    members = written(runs.join(shared, "anchor"), "members")
-    discard(runs)
+    shared = written(shared.where("n > 1").select("anchor", "n", (F.col("low") < F.col("high")).alias("mixed")), "shared")
+    rows = runs.count()
+    hot = hot_keys(shared, ["anchor"], "n", rows)
+    members = written(join_hot(runs, shared.drop("n"), ["anchor"], hot, ["doc_id", "begin"]), "members")
+    discard(runs, shared)
     place = F.min(F.struct("doc_id", "_text", "begin")).alias("at")
     classes = members.groupBy(*_CLASS, "mixed").agg(F.count("*").alias("n"), place).select(*_CLASS, "mixed", "n", "at.*")
     classes = written(classes, "classes")
     contents = written(class_contents(docs, classes.where("mixed"), width), "contents")
-    crowd = contents.groupBy("anchor").agg(F.count("*").alias("n")).where(f"n > {SHARD_CLASSES}").select("anchor")
-    crowd = written(crowd, "crowded")
-    volume = contents.agg(F.sum(F.length("content"))).first()[0] or 0  # one number
-    hits = _hits_by_suffix_array(contents.join(crowd, "anchor", "left_anti"), volume // SHARD_BYTES + 1, width)
-    hits = written(hits, "hits")
-    if not crowd.isEmpty():
-        hits = hits.union(_hits_by_count(contents.join(crowd, "anchor"), width))
+    hits = _hits(contents, width, gram)
     whole = classes.where("n > 1").select(*_CLASS, F.array(F.array(F.lit(0), "starts")).alias("hits"))
-    hits = written(hits.union(whole), "class-hits")
-    discard(contents, classes)
-    found = members.join(hits, _CLASS)
+    hits = hits.union(whole).groupBy(*_CLASS).agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    hits = written(hits, "class-hits")
+    discard(contents)
+    found = join_hot(members, hits, _CLASS, hot_keys(classes, _CLASS, "n", rows), ["doc_id", "begin"])
     bytes_of = F.transform("hits", lambda h: F.struct((F.col("begin") + h[0]).alias("begin"), (F.col("begin") + h[1] - 1 + width).alias("end")))
     found = found.select("doc_id", "_text", bytes_of.alias("s"))
     found = written(found.groupBy("doc_id", "_text").agg(F.flatten(F.collect_list("s")).alias("_spans")), "spans")
-    discard(members, hits)
+    discard(members, hits, classes)
     return found
 
 

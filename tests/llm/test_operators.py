@@ -234,9 +234,9 @@ def remove_repeats(bodies, width):
         yield len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("crowd", [suffix_dedup.SHARD_CLASSES, 1])
+@pytest.mark.parametrize("crowd", [suffix_dedup.SHARD_CLASSES, 1, 3])
 def test_suffix_dedup(spark, docs, documents, monkeypatch, crowd):
-    monkeypatch.setattr(suffix_dedup, "SHARD_CLASSES", crowd)  # 1: every mixed minimizer is counted by strings
+    monkeypatch.setattr(suffix_dedup, "SHARD_CLASSES", crowd)  # 1: every mixed minimizer is split by radix, down to single strings
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(docs).collect()}
     bodies = [(t or "").encode() for t in documents.text]
     assert got == dict(zip(documents.doc_id, remove_repeats(bodies, 400), strict=True))
