@@ -10,7 +10,8 @@ Training documents: label and ``doc_id`` not null, ``crc32(doc_id as text) % 3 <
 
 Defined results: ``und`` with score 0 for a null text, one without a letter, and if there was nothing to learn from; equal
 texts get equal results whatever their other columns; ties go to the first language in code point order; other columns pass
-through ``identified`` unless they begin with ``_lang``.
+through ``identified`` unless they begin with ``_lang``; the filter ``accepted`` keeps all documents, unjudged, if there was
+nothing to learn from; more than ``LANGUAGES`` labels are an error, since the model has a weight for each.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ FEATURES = 1 << 14
 SIZES = (1, 2, 3)
 SAMPLE = 3000  # labelled documents of the fit, in equal parts by language
 EPOCHS = 3
+LANGUAGES = 512
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.001
 UNKNOWN = "und"
 ACCEPT = 0.5  # the filter keeps documents at or above this score
@@ -152,7 +154,10 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(docs: DataFrame, idf: np.ndarray, sample: int = SAMPLE, epochs: int = EPOCHS) -> tuple[list[str], np.ndarray, float]:
     """Languages, weights ``(FEATURES, languages)`` and temperature."""
-    counts = dict(sorted((r.lang, r["count"]) for r in docs.groupBy("lang").count().collect()))  # a row a language
+    found = docs.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} labels")
+    counts = dict(sorted((r.lang, r["count"]) for r in found))
     langs = list(counts)
     if not langs:
         return [], np.zeros((FEATURES, 0)), 1.0
@@ -187,11 +192,16 @@ def fit(docs: DataFrame, idf: np.ndarray, sample: int = SAMPLE, epochs: int = EP
     return langs, np.frombuffer(row.w, dtype=np.float64).reshape(FEATURES, -1).copy(), row.heat
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_lang_pred``, ``_lang_score`` and ``_lang_held_out``."""
+def learned(docs: DataFrame) -> tuple[np.ndarray, list[str], np.ndarray, float]:
+    """Inverse frequencies, languages, weights and temperature from the training documents of ``docs``."""
     train = training_rows(docs)
     idf = inverse_frequencies(train)
-    langs, weights, heat = fit(train, idf)
+    return idf, *fit(train, idf)
+
+
+def identified(docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray, float] | None = None) -> DataFrame:
+    """``docs`` with ``_lang_pred``, ``_lang_score`` and ``_lang_held_out``, by a ``model`` of ``learned`` or one of ``docs``."""
+    idf, langs, weights, heat = model or learned(docs)
     model = docs.sparkSession.sparkContext.broadcast((idf, weights))
     schema = T.StructType(docs.schema.fields + T._parse_datatype_string("_lang_pred string, _lang_score double").fields)
 
@@ -220,6 +230,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = ACCEPT) -> DataFrame:
-    """``docs`` without the documents whose language can't be told: no letter, or a score below ``least``."""
-    done = identified(docs)
+    """``docs`` without the documents whose language can't be told: no letter, or a score below ``least``.  Without a labelled
+    document there is no model to judge by, and all stay."""
+    model = learned(docs)
+    if not model[1]:
+        return docs
+    done = identified(docs, model)
     return done.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)).select(docs.columns)

@@ -14,7 +14,8 @@ large partitions Spark splits.
 
 Defined results: a null text or one without words has no shingles and links with nothing; fewer than five words make one
 shingle of the whole sequence; rows with the same ``doc_id`` are one document, with the set that sorts first; a null
-``doc_id`` links with nothing; other columns are not read.
+``doc_id`` links with nothing; other columns are not read.  Of rows with the same ``doc_id``, ``deduplicated`` keeps one, the first
+by text, null last, then by the other columns.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.steps import discard, per_batch, written
@@ -252,6 +253,15 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that are not the smallest of their group."""
-    gone = near_groups(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without the documents that are not the smallest of their group, and one row for each ``doc_id``."""
+    groups = near_groups(docs)
+    gone = groups.where("NOT kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id")
+    again = written(again, "repeated-ids")
+    if again.isEmpty():
+        return kept
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *[F.to_json(F.struct(c)) for c in rest])
+    first = kept.join(again, "doc_id").withColumn("_near_row", F.row_number().over(order)).where("_near_row = 1")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).union(first.select(docs.columns))
