@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages, each a written table that the next one reads."""
+"""The corpus pipeline: five stages, each a written table that the next one reads.
+
+Defined results: documents with a null or empty text, or without a letter, go in the first stage; without any labelled document
+that stage judges none and keeps all.  Of rows with one ``doc_id`` the second stage keeps one; rows without ``doc_id`` are
+documents of their own there, lose passages never, and stay unless contaminated.  A null source is a source, a null language no label.  An
+empty table gives an empty mix, an empty benchmark contaminates nothing.  Extra columns pass to the last stage, which returns
+``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken``; names that begin with ``_`` are reserved.
+"""
 
 from __future__ import annotations
 
