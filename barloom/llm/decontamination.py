@@ -31,9 +31,10 @@ _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def gapped_words(text: str = "text") -> Column:
+def gapped_words(text: str | Column = "text") -> Column:
     """The words behind one empty entry; a last empty entry is possible.  Word ``i`` (from 0) is entry ``i + 1``."""
-    return F.split(F.concat(F.lit(" "), F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER)), _GAP)
+    c = F.col(text) if isinstance(text, str) else text
+    return F.split(F.concat(F.lit(" "), F.translate(F.coalesce(c, F.lit("")), _UPPER, _LOWER)), _GAP)
 
 
 def _number_of_words(entries: str) -> Column:

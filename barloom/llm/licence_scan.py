@@ -1,9 +1,13 @@
 """Licence texts and notices in documents, by Dice coefficient over word bigrams, in DataFrame functions only.
 
-Units are a document's lines, its paragraphs (between blank lines, if of more than one line) and the whole text (if of more
-than one paragraph).  A unit with ``a`` distinct bigrams can reach a coefficient of ``LEAST`` with a template of ``b`` only if
-``LEAST / (2 - LEAST) <= a / b <= (2 - LEAST) / LEAST``; units outside all templates' bounds never expand, and pairs outside
-theirs never count.  The templates are constants of this module, so their bigrams are a bounded broadcast.
+Units are a document's lines, its paragraphs (between blank lines, if of more than one line), the whole text (if of more than
+one paragraph), and stretches: the longest runs of words within a line whose neighbouring pairs all occur in templates, which
+finds a notice inside a longer line.  A unit with ``a`` distinct bigrams can reach a coefficient of ``LEAST`` with a template of
+``b`` only if ``LEAST / (2 - LEAST) <= a / b <= (2 - LEAST) / LEAST``, and only if ``LEAST / (2 - LEAST)`` of its own bigrams occur
+in templates at all; units that fail never expand, and pairs outside the bounds never count.
+
+Each word is hashed once; lines, paragraphs and texts share the hashes.  The templates are constants of this package (full
+texts in ``licences``), so their bigrams are a bounded set in the query and a bounded broadcast.
 
 Skew: counts are keyed by unit; a template that a third of all documents hold is one key for each of them.
 
@@ -13,12 +17,16 @@ licence and variant in text order wins; equal rows are reported each; other colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.decontamination import gapped_words
 
 LEAST = 0.8
+STRETCH = 3  # pairs of a stretch at least
+_TEXTS = Path(__file__).parent / "licences"
 
 # Public licence texts and notices, as (licence, variant, text).
 _WARRANTY = (
@@ -80,52 +88,78 @@ TEMPLATES = [
      " this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("CC0-1.0", "notice", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public"
      " domain worldwide. This work is distributed without any warranty."),
+    ("Unlicense", "text", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,"
+     " sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any"
+     " means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the"
+     " software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors."
+     " We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright"
+     " law. " + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + " For more information, please refer to"
+     " <https://unlicense.org>"),
+    *((path.stem, "full text", path.read_text("utf-8")) for path in sorted(_TEXTS.glob("*.txt"))),
     *((f"CC-{kind}-4.0", "notice", f"Licensed under CC {kind} 4.0.") for kind in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")),
 ]
 
 
-def bigrams(words):
-    """The distinct word pairs of an array made by ``gapped_words``, as 64-bit hashes."""
-    real = F.filter(words, lambda w: w != "")
-    pairs = F.arrays_zip(real.alias("a"), F.slice(real, 2, 1 << 30).alias("b"))
-    return F.array_distinct(F.transform(F.filter(pairs, lambda p: p["b"].isNotNull()), lambda p: F.xxhash64(p["a"], p["b"])))
+def word_hashes(text: Column) -> Column:
+    return F.transform(F.filter(gapped_words(text), lambda w: w != ""), lambda w: F.xxhash64(w))
+
+
+def pairs(hashes: str | Column) -> Column:
+    """Hashes of neighbouring words' pairs."""
+    h = F.col(hashes) if isinstance(hashes, str) else hashes
+    n = F.greatest(F.size(h) - 1, F.lit(0))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """``(licence, variant, grams, b)`` of the templates."""
     rows = spark.createDataFrame(TEMPLATES if templates is None else templates, "licence string, variant string, text string")
-    rows = rows.withColumn("grams", bigrams(gapped_words())).withColumn("b", F.size("grams"))
+    rows = rows.withColumn("grams", F.array_distinct(pairs(word_hashes(F.col("text"))))).withColumn("b", F.size("grams"))
     return rows.where("b > 0").select("licence", "variant", "grams", "b")
 
 
-def units(docs: DataFrame) -> DataFrame:
-    """``(_row, doc_id, kind, line, unit)``: ``line`` is the number of the line, from 0, where the unit begins."""
+def units(docs: DataFrame, known: str) -> DataFrame:
+    """``(_row, doc_id, kind, line, word, hashes)``: the unit's word hashes, and the numbers of the line and of the word in it, from
+    0, at which it begins.  ``known`` is the list of the templates' pairs, as SQL."""
     lines = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.split("text", "\n").alias("_lines"))
-    numbered = F.transform("_lines", lambda x, i: F.struct(F.lit("line").alias("kind"), i.cast("long").alias("line"), x.alias("unit")))
-    blank = F.expr("filter(sequence(-1, size(_lines)), i -> i < 0 OR i >= size(_lines) OR trim(_lines[i]) = '')")
-    blocks = lines.withColumn("_blank", blank)
-    paragraph = F.expr(
-        "filter(transform(sequence(0, size(_blank) - 2), k -> named_struct('kind', 'paragraph', 'line', cast(_blank[k] + 1 AS bigint), 'unit',"
-        " CASE WHEN _blank[k + 1] - _blank[k] > 2 THEN array_join(slice(_lines, _blank[k] + 2, _blank[k + 1] - _blank[k] - 1), '\\n') END)), u -> u.unit IS NOT NULL)"
-    )
-    whole = F.expr("CASE WHEN size(_blank) > 2 THEN array(named_struct('kind', 'text', 'line', 0L, 'unit', array_join(_lines, '\\n'))) ELSE array() END")
-    every = blocks.select("_row", "doc_id", F.explode(F.concat(numbered, paragraph, whole)).alias("_u"))
-    return every.select("_row", "doc_id", "_u.kind", "_u.line", "_u.unit")
+    lines = lines.withColumn("_hashes", F.transform("_lines", word_hashes))
+    lines = lines.withColumn("_blank", F.expr("filter(sequence(-1, size(_lines)), i -> i < 0 OR i >= size(_lines) OR trim(_lines[i]) = '')"))
+    unit = "named_struct('kind', '{}', 'line', cast({} AS bigint), 'word', cast({} AS bigint), 'hashes', {})"
+    own = F.expr("transform(_hashes, (h, i) -> " + unit.format("line", "i", 0, "h") + ")")
+    block = "CASE WHEN _blank[k + 1] - _blank[k] > 2 THEN flatten(slice(_hashes, _blank[k] + 2, _blank[k + 1] - _blank[k] - 1)) END"
+    paragraph = F.expr(f"filter(transform(sequence(0, size(_blank) - 2), k -> {unit.format('paragraph', '_blank[k] + 1', 0, block)}), u -> u.hashes IS NOT NULL)")
+    whole = F.expr(f"CASE WHEN size(_blank) > 2 THEN array({unit.format('text', 0, 0, 'flatten(_hashes)')}) ELSE array() END")
+    every = lines.select("_row", "doc_id", F.explode(F.concat(own, paragraph, whole)).alias("_u")).where("size(_u.hashes) > 1")
+    every = every.withColumn("_pairs", F.when(F.col("_u.kind") == "line", pairs("_u.hashes")))
+    # stretches lie between the pairs of a line that no template has
+    every = every.withColumn("_gaps", F.expr(f"filter(transform(_pairs, (g, i) -> CASE WHEN g IN ({known}) THEN -1 ELSE i END), i -> i >= 0)"))
+    ends = "concat(array(-1), _gaps, array(size(_pairs)))"
+    size = "(_ends[k + 1] - _ends[k] - 1)"
+    part = unit.format("stretch", "_u.line", "_ends[k] + 1", f"slice(_u.hashes, _ends[k] + 2, {size} + 1)")
+    long = f"filter(sequence(0, size(_ends) - 2), k -> {size} >= {STRETCH} AND {size} < size(_pairs))"
+    some = "_gaps IS NOT NULL AND size(_pairs) - size(_gaps) >= " + str(STRETCH)
+    every = every.withColumn("_ends", F.expr(f"CASE WHEN {some} THEN {ends} END"))
+    stretches = F.expr(f"CASE WHEN _ends IS NULL THEN array() ELSE transform({long}, k -> {part}) END")
+    return every.select("_row", "doc_id", F.explode(F.concat(F.array("_u"), stretches)).alias("_u")).select("_row", "doc_id", "_u.*")
 
 
 def matches(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, least: float = LEAST) -> DataFrame:
-    """``(doc_id, kind, line, licence, variant, dice)``: every unit's best template, if it reaches ``least``."""
+    """``(doc_id, kind, line, word, licence, variant, dice)``: every unit's best template, if it reaches ``least``."""
     known = template_table(docs.sparkSession, templates)
+    constants = known.collect()  # of this package: a bounded table
+    if not constants:
+        raise ValueError("no template has two words")
     low, high = least / (2 - least), (2 - least) / least
-    bounds = known.agg(F.min("b"), F.max("b")).first()  # two numbers
-    smallest, largest = (bounds[0] or 1) * low, (bounds[1] or 0) * high
-    cut = units(docs).withColumn("_words", gapped_words("unit")).where(F.size("_words") > smallest)
-    cut = cut.withColumn("_grams", bigrams(F.col("_words"))).withColumn("a", F.size("_grams")).where(F.col("a").between(smallest, largest))
-    rows = cut.select("_row", "doc_id", "kind", "line", "a", F.explode("_grams").alias("gram"))
-    grams = known.select("licence", "variant", "b", F.explode("grams").alias("gram"))  # constants: a bounded table
+    smallest, largest = min(r.b for r in constants) * low, max(r.b for r in constants) * high
+    every = ", ".join(f"{g}L" for g in sorted({g for r in constants for g in r.grams}))
+    cut = units(docs, every).where(F.size("hashes") > smallest)
+    cut = cut.withColumn("_grams", F.array_distinct(pairs("hashes"))).withColumn("a", F.size("_grams")).where(F.col("a").between(smallest, largest))
+    cut = cut.withColumn("_known", F.expr(f"filter(_grams, g -> g IN ({every}))")).where(F.size("_known") >= F.lit(low) * F.col("a") - 1e-6)
+    unit = ["_row", "doc_id", "kind", "line", "word"]
+    rows = cut.select(*unit, "a", F.explode("_known").alias("gram"))
+    grams = known.select("licence", "variant", "b", F.explode("grams").alias("gram"))
     both = rows.join(F.broadcast(grams), "gram").where((F.col("a") >= low * F.col("b")) & (F.col("a") <= high * F.col("b")))
-    shared = both.groupBy("_row", "doc_id", "kind", "line", "licence", "variant", "a", "b").agg(F.count("*").alias("shared"))
-    dice = F.expr("2.0D * shared / (a + b)")
-    good = shared.withColumn("dice", dice).where(F.col("dice") >= least)
-    best = good.groupBy("_row", "doc_id", "kind", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "licence", "variant")).alias("m"))
-    return best.select("doc_id", "kind", "line", "m.licence", "m.variant", (-F.col("m.d")).alias("dice"))
+    shared = both.groupBy(*unit, "licence", "variant", "a", "b").agg(F.count("*").alias("shared"))
+    good = shared.withColumn("dice", F.expr("2.0D * shared / (a + b)")).where(F.col("dice") >= least)
+    best = good.groupBy(*unit).agg(F.min(F.struct((-F.col("dice")).alias("d"), "licence", "variant")).alias("m"))
+    return best.select("doc_id", "kind", "line", "word", "m.licence", "m.variant", (-F.col("m.d")).alias("dice"))

@@ -122,19 +122,26 @@ def op8_licence_scan(spark, sf_dir):
 _VALUES = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in t) + ")" for t in licence_scan.TEMPLATES)
 _PAIRS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
 OP8_SQL = f"""
-WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-e AS (SELECT doc_id, l, list_filter(range(0, len(l) + 2), lambda i: i = 0 OR i = len(l) + 1 OR trim(l[i], ' ') = '') AS e FROM l),
-u AS (SELECT doc_id, 'line' AS kind, i - 1 AS line, l[i] AS text FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM e)
-  UNION ALL SELECT doc_id, 'paragraph', e[k], array_to_string(l[e[k] + 1:e[k + 1] - 1], chr(10))
-  FROM (SELECT doc_id, l, e, unnest(range(1, len(e))) AS k FROM e) WHERE e[k + 1] - e[k] > 2
-  UNION ALL SELECT doc_id, 'text', 0, array_to_string(l, chr(10)) FROM e WHERE len(e) > 2),
-uw AS (SELECT doc_id, kind, line, {_PARTS} AS w FROM u), ug AS (SELECT doc_id, kind, line, {_PAIRS} AS g FROM uw WHERE len(w) >= 2),
+WITH l AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+e AS (SELECT r, doc_id, l, list_filter(range(0, len(l) + 2), lambda i: i = 0 OR i = len(l) + 1 OR trim(l[i], ' ') = '') AS e FROM l),
+u AS (SELECT r, doc_id, 'line' AS kind, i - 1 AS line, l[i] AS text FROM (SELECT r, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM e)
+  UNION ALL SELECT r, doc_id, 'paragraph', e[k], array_to_string(l[e[k] + 1:e[k + 1] - 1], chr(10))
+  FROM (SELECT r, doc_id, l, e, unnest(range(1, len(e))) AS k FROM e) WHERE e[k + 1] - e[k] > 2
+  UNION ALL SELECT r, doc_id, 'text', 0, array_to_string(l, chr(10)) FROM e WHERE len(e) > 2),
 t AS (SELECT * FROM (VALUES {_VALUES}) AS x(licence, variant, text)),
 tg AS (SELECT licence, variant, {_PAIRS} AS g FROM (SELECT licence, variant, {_PARTS} AS w FROM t)),
-s AS (SELECT doc_id, kind, line, licence, variant, 2.0::DOUBLE * len(list_intersect(ug.g, tg.g)) / (len(ug.g) + len(tg.g)) AS dice
+known AS (SELECT DISTINCT unnest(g) AS p FROM tg),
+lw AS (SELECT r, doc_id, kind, line, 0 AS word, {_PARTS} AS w FROM u),
+hit AS (SELECT r, doc_id, line, w, i FROM (SELECT r, doc_id, line, w, unnest(range(1, len(w))) AS i FROM lw WHERE kind = 'line') JOIN known ON p = w[i] || ' ' || w[i + 1]),
+st AS (SELECT r, any_value(doc_id) AS doc_id, line, min(i) AS s, max(i) AS e, any_value(w) AS w
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY r, line ORDER BY i) AS island FROM hit) GROUP BY r, line, island),
+uw AS (SELECT r, doc_id, kind, line, word, w FROM lw WHERE len(w) >= 2
+  UNION ALL SELECT r, doc_id, 'stretch', line, s - 1, w[s:e + 1] FROM st WHERE e - s + 1 >= 3 AND e - s + 1 < len(w) - 1),
+ug AS (SELECT r, doc_id, kind, line, word, {_PAIRS} AS g FROM uw),
+s AS (SELECT r, doc_id, kind, line, word, licence, variant, 2.0::DOUBLE * len(list_intersect(ug.g, tg.g)) / (len(ug.g) + len(tg.g)) AS dice
   FROM ug JOIN tg ON 3 * len(ug.g) >= 2 * len(tg.g) AND 2 * len(ug.g) <= 3 * len(tg.g))
-SELECT doc_id, kind, line, licence, variant, dice FROM s WHERE dice >= 0.8
-  QUALIFY row_number() OVER (PARTITION BY doc_id, kind, line ORDER BY dice DESC, licence, variant) = 1"""
+SELECT doc_id, kind, line, word, licence, variant, dice FROM s WHERE dice >= 0.8
+  QUALIFY row_number() OVER (PARTITION BY r, kind, line, word ORDER BY dice DESC, licence, variant) = 1"""
 
 
 def op9_metric_search(spark, sf_dir):

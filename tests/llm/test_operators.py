@@ -141,17 +141,22 @@ def test_decontamination_sql(spark, docs, documents):
 
 
 def test_licence_scan_sql(spark):
-    apache = dict(((lic, kind), t) for lic, kind, t in licence_scan.TEMPLATES)
+    known = {(lic, kind): t for lic, kind, t in licence_scan.TEMPLATES}
+    gpl = known[("GPL-3.0", "full text")]
     rows = [
         (1, "x y z\nLicensed under the Apache License, Version 2.0.\nmore"), (2, "Released under the mit license"), (3, None), (4, ""),
-        (5, apache[("MIT", "text")]), (6, "a\n\n" + apache[("BSD-3-Clause", "text")].replace(". ", ".\n") + "\n\nb"), (7, "word"), (2, "Released under the mit license"),
+        (5, known[("MIT", "text")]), (6, "a\n\n" + known[("BSD-3-Clause", "text")].replace(". ", ".\n") + "\n\nb"), (7, "word"), (2, "Released under the mit license"),
+        (8, "Released under the MIT License. " * 200), (9, f"{prose(30, 1)} Released under the MIT License. {prose(25, 2)} Licensed under CC BY-NC 4.0. {prose(9, 3)}"),
+        (10, f"{prose(40, 4)}\n\n{gpl}"), (11, gpl.replace("\n", " ")), (12, known[("Apache-2.0", "full text")].replace("License", "Licence", 20)), (13, prose(9000, 5)), (14, known[("Unlicense", "text")]),
     ]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, r.kind, r.line): r.licence for r in licence_scan.matches(frame).collect()}
-    assert got[(1, "line", 1)] == "Apache-2.0" and got[(2, "line", 0)] == "MIT" and got[(5, "line", 0)] == "MIT"
-    assert got[(6, "paragraph", 2)] == "BSD-3-Clause"
-    unique = rows[:-1]
-    agree(licence_scan.matches(spark.createDataFrame(unique, "doc_id long, text string")), queries.OP8_SQL, documents=pd.DataFrame(unique, columns=["doc_id", "text"]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("line", F.lit(1)).withColumn("licence", F.lit("x"))
+    got = {(r.doc_id, r.kind, r.line, r.word): r.licence for r in licence_scan.matches(frame).collect()}
+    assert got[(1, "line", 1, 0)] == "Apache-2.0" and got[(2, "line", 0, 0)] == "MIT" and got[(5, "line", 0, 0)] == "MIT"
+    assert got[(6, "paragraph", 2, 0)] == "BSD-3-Clause" and got[(8, "line", 0, 0)] == "MIT"
+    assert got[(9, "stretch", 0, 30)] == "MIT" and got[(9, "stretch", 0, 60)] == "CC-BY-NC-4.0"  # notices within a line
+    assert got[(10, "text", 0, 0)] == "GPL-3.0" and got[(11, "line", 0, 0)] == "GPL-3.0" and got[(12, "text", 0, 0)] == "Apache-2.0"
+    assert got[(14, "line", 0, 0)] == "Unlicense" and not any(k[0] == 13 for k in got)
+    agree(licence_scan.matches(frame), queries.OP8_SQL, documents=pd.DataFrame(rows, columns=["doc_id", "text"]))
     assert licence_scan.matches(frame).where("doc_id = 2 AND kind = 'line'").count() == 2  # equal rows are reported each
     assert licence_scan.matches(empty(spark, "doc_id long, text string")).count() == 0
 
