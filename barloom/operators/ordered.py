@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.plans.blocks import (
@@ -14,7 +14,6 @@ from barloom.plans.blocks import (
     POS,
     TS,
     attach_series,
-    fill_forward,
     ordered,
     over_blocks,
     registered_blocks,
@@ -148,15 +147,19 @@ def on_balance_volume(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 def gap_aware_change(
     df: DataFrame, column: str = "close", step_seconds: int = 60, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Relative change to the previous row (nulls padded first); null right after a time gap."""
-    padded = fill_forward(df.withColumn("_pad", F.col(column)), ["_pad"], block_rows)
-
-    def add(t: DataFrame) -> DataFrame:
-        previous = lagged("_pad")
-        close_by = F.col(TS) - lagged(TS) <= F.make_dt_interval(secs=F.lit(step_seconds))
-        return t.withColumn("pct_change", F.when(close_by, F.try_divide("_pad", previous) - 1))
-
-    return over_blocks(padded, add, behind=1, block_rows=block_rows).drop("_pad")
+    """Relative change to the previous row (nulls padded first); null right after a time gap.
+
+    The padded value and the time before a block come from the ends of blocks, so rows are shuffled once."""
+    tagged = with_block(df, block_rows)
+    ends = tagged.groupBy(KEY, BLOCK).agg(F.expr(f"max_by(`{column}`, {POS}) FILTER (WHERE `{column}` IS NOT NULL)").alias("_pad"), F.max(TS).alias("_at"))
+    blocks_before = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(KEY, BLOCK, *[F.last(c, True).over(blocks_before).alias(c) for c in ("_pad", "_at")])
+    rows_before = ordered().rowsBetween(Window.unboundedPreceding, -1)
+    previous = F.coalesce(F.last(column, True).over(rows_before), F.col("_pad"))
+    rows = tagged.join(carry, [KEY, BLOCK]).withColumns({"_previous": previous, "_since": F.coalesce(lagged(TS), F.col("_at"))})
+    close_by = F.col(TS) - F.col("_since") <= F.make_dt_interval(secs=F.lit(step_seconds))
+    change = F.when(close_by, F.try_divide(F.coalesce(column, "_previous"), "_previous") - 1)
+    return rows.withColumn("pct_change", change).drop(BLOCK, "_pad", "_at", "_previous", "_since")
 
 
 def lagged_month_change(df: DataFrame, column: str, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -21,6 +21,7 @@ from barloom.plans.blocks import (
     ordered,
     over_blocks,
     renumber,
+    renumber_sized,
     series_length,
 )
 from barloom.plans.ranges import RANGE_ROWS, running_counts
@@ -176,13 +177,11 @@ def price_volume_correlation(df: DataFrame) -> DataFrame:
 def autocorrelation(df: DataFrame, column: str, lags: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Autocorrelation at lags 0..lags with denominators n, and the half-width of its band.
 
-    One pass for the mean, one for all lag products; only one row per series is shuffled
-    after the lag columns.
+    One pass for positions, length and mean, one for all lag products; only one row per series is
+    shuffled after the lag columns.
     """
-    rows = renumber(df.select(KEY, POS, column).where(F.col(column).isNotNull()), block_rows)
-    centred = attach_series(rows, series_length(rows, F.avg(column).alias("_mean")), block_rows=block_rows).select(
-        KEY, POS, "n", (F.col(column) - F.col("_mean")).alias("_d")
-    )
+    rows = renumber_sized(df.select(KEY, POS, column).where(F.col(column).isNotNull()), {"_sum": column}, block_rows)
+    centred = rows.select(KEY, POS, "n", (F.col(column) - F.col("_sum") / F.col("n")).alias("_d"))
 
     def add(t: DataFrame) -> DataFrame:
         return t.withColumn("_back", F.array(*[F.col("_d") * lagged("_d", k) for k in range(lags + 1)]))

@@ -113,6 +113,19 @@ def renumber(df: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return _rank_rows(old, _offsets(old, BLOCK), BLOCK, "_old").drop("_old")
 
 
+def renumber_sized(df: DataFrame, sums: dict[str, str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``renumber`` with the length ``n`` of each series and sums ``{new column: column}`` over it: the pass that counts the rows
+    of blocks also sums them up."""
+    old = df.withColumnRenamed(POS, "_old").withColumn(BLOCK, block_of("_old", block_rows))
+    blocks = _offsets(old, BLOCK, *[F.sum(c).alias(f"_s_{out}") for out, c in sums.items()])
+    whole = Window.partitionBy(KEY)  # block rows
+    totals = {"n": F.sum("rows").over(whole)} | {out: F.sum(f"_s_{out}").over(whole) for out in sums}
+    blocks = blocks.withColumns(totals).select(KEY, BLOCK, "offset", *totals)
+    inside = Window.partitionBy(KEY, BLOCK).orderBy("_old")
+    rows = old.join(blocks, [KEY, BLOCK]).withColumn(POS, (F.col("offset") + F.row_number().over(inside)).cast("bigint"))
+    return rows.drop("offset", BLOCK, "_old")
+
+
 # ------------------------------------------------------------ bounded frames
 
 
