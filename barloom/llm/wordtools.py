@@ -18,7 +18,6 @@ SLICE_BYTES = 1 << 20  # text per numpy pass; a longer text is a slice of its ow
 _SEED = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _SEED.integers(0, 1 << 64, 256, dtype=np.uint64)
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
-_ODD = _SEED.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BLANK, _NOTHING = pa.scalar(b" ", pa.large_binary()), pa.scalar(b"", pa.large_binary())
@@ -151,14 +150,17 @@ class Words:
 
 
 def windows(words: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
-    """Hash of each run of ``width`` words by its first word; runs may cross rows, the caller masks those."""
+    """Hash of each run of ``width`` words by its first word; runs may cross rows, the caller masks those.
+
+    A polynomial of the words' hashes by prefix sums: a few passes whatever the width, which is below 512 (see ``byte_sums``).
+    """
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, np.uint64(salt), dtype=np.uint64)
-    for k in range(width):
-        out += (words[k : k + n] ^ np.uint64(salt)) * _ODD[k]
-    return mix(out)
+    up, down = _POWERS.get(len(words) + 1)
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum((words ^ mix(np.uint64([salt]))) * up[:-1], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * down[:n])
 
 
 def signed(h: np.ndarray) -> np.ndarray:
