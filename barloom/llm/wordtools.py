@@ -66,14 +66,14 @@ class Powers:
 _POWERS = Powers()
 
 
-def byte_sums(raw: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def byte_sums(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of weighted bytes, and the factors that make ``(sums[e] - sums[s]) * down[s]`` a hash of ``raw[s:e]``.
 
     For stretches of fewer than 512 bytes: modulo 2**64, longer ones made of two letters by rule can cancel out.
     """
     up, down = _POWERS.get(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum((mix(_BYTE + np.uint64(salt)) if salt else _BYTE)[raw] * up[:-1], out=sums[1:])
+    np.cumsum(_BYTE[raw] * up[:-1], out=sums[1:])
     return sums, down
 
 
