@@ -191,7 +191,8 @@ def test_forecast_carries_errors_over_the_whole_history(series, order):
     close = 100 * np.exp(np.cumsum(e[1:] + 0.9 * e[:-1]))
     df = split_by_share(series({"a": {"close": close}, "b": {"close": close[:120]}, "short": {"close": close[:2]}}))
     fits = {r.series_id: r for r in ar.fit_orders(df, "close", [order], ("train", "valid", "test")).collect()}
-    got = {r.series_id: r.pred for r in ar.ar_forecast(df, order, h, "D", block_rows=64).collect()}
+    rows = 64 if order == (1, 0, 1) else 65_536  # in rounds over blocks, or in one task
+    got = {r.series_id: r.pred for r in ar.ar_forecast(df, order, h, "D", block_rows=rows).collect()}
     for key, size in (("a", n), ("b", 120)):
         f, logs = fits[key], np.log(close[:size])
         y = list(np.diff(logs, n=order[1]) if order[1] else logs)
