@@ -257,7 +257,7 @@ def conversations():
         for t in range(r.randrange(1, 14)):
             rows.append((c, t if r.random() > 0.1 else None, r.choice(["user", "assistant", None]), r.choice(lines[:3] if t < 6 else lines)))
     rows += [(c, t, "user", "same") for c in range(60, 95) for t in range(12)]  # copies
-    rows += [(200, t, "user", f"turn {t % 40}") for t in range(3000)] + [(201, t, "user", f"turn {t % 40}") for t in range(2500)]
+    rows += [(200, t, "user", f"turn {t % 40}") for t in range(420)] + [(201, t, "user", f"turn {t % 40}") for t in range(350)]
     rows += [(203, 1, "a", "tie"), (203, 1, "b", "tie"), (203, 1, "a", "tie"), (None, 1, "user", "x"), (300, None, None, None)]
     return rows
 
