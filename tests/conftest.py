@@ -15,6 +15,7 @@ def spark():
 
     s = session()
     s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.maxMetadataStringLength", "2000")  # plans name a file by its whole path, however long
     ship_package(s)
     yield s
     s.stop()
