@@ -247,6 +247,18 @@ def test_suffix_dedup(spark, docs, documents, monkeypatch, crowd):
     assert got == dict(zip(documents.doc_id, remove_repeats(bodies, 400), strict=True))
 
 
+def test_suffix_dedup_leaves_clean_texts_alone(spark):
+    """Two letters by rule around a middle that both texts have: their sums of bytes agree, and no string of 400 bytes does."""
+    r = random.Random(185)
+    middle = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(256))
+    there = "".join("Y-"[k.bit_count() & 1] for k in range(256))
+    back = there.translate(str.maketrans("Y-", "-Y"))
+    texts = [there + middle + back, back + middle + there]
+    got = suffix_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.orderBy("doc_id").collect()]
+    assert got == list(remove_repeats([t.encode() for t in texts], 400)) and got[0][1] == 0
+
+
 def test_suffix_array_against_sorting():
     r = np.random.default_rng(1)
     for trial in range(150):
